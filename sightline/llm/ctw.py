@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import read, stored
 from .textbits import _FOLD, word_numbers
 
-DEPTH, BLOCK_ROWS, GULP = 5, 8_000_000, 8 << 20
+DEPTH, BLOCK_ROWS = 5, 8_000_000
+#: Bytes of text at a time: counting holds no tables, scoring does.
+COUNT_GULP, SCORE_GULP = 12 << 20, 3 << 20
 END, BITS = 256, 9
 _LOG_HALF = math.log(0.5)
 
@@ -170,15 +172,15 @@ class Index:
         return out
 
 
-def _gulps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
-    """Batches, sliced, in groups of about GULP bytes of text."""
+def _gulps(batches: Iterator[pa.RecordBatch], column: int, gulp: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+    """Batches, sliced, in groups of about gulp bytes of text."""
     held, texts, size = [], [], 0
     for batch in batches:
         start = 0
         for i, text in enumerate(batch.column(column).to_pylist()):
             texts.append((text or "").encode())
             size += len(texts[-1])
-            if size >= GULP:
+            if size >= gulp:
                 held.append(batch.slice(start, i + 1 - start))
                 yield held, texts
                 held, texts, size, start = [], [], 0, i + 1
@@ -214,7 +216,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """kind, key, n over texts: kind 0 the runs, kind 1 the words (key 0: the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _gulps(batches, 0):
+        for _, texts in _gulps(batches, 0, COUNT_GULP):
             codes, _, raw = _runs(texts, depth)
             for kind, keys in ((0, codes), (1, word_numbers(raw)[0])):
                 keys, n = np.unique(keys, return_counts=True)
@@ -350,7 +352,7 @@ def _scorer(sent):
         depth, tokens, distinct, run, word = sent.value
         index, names = run and Index(run[2][0].codes), word and Index(word[2])
         even = math.log10(tokens + 0.1 * (distinct + 1))
-        for held, texts in _gulps(batches, 2):
+        for held, texts in _gulps(batches, 2, SCORE_GULP):
             codes, starts, raw = _runs(texts, depth)
             total, base, known, count = (np.zeros(len(texts)) for _ in range(4))
             if run:
