@@ -100,10 +100,7 @@ def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs with every span removed that smaller doc_ids keep whole. A code point cut
     in two by a span's edge goes with the span."""
-    names = {"_id", "_key", "_cuts"} & {c.lower() for c in docs.columns}
-    if names:
-        raise ValueError(f"input columns clash with the operator's: {sorted(names)}")
-    gone = spans(docs, span).where("removable = length").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
+    gone = spans(docs, span).where("removable = length").groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__sl_cuts"))
 
     @F.pandas_udf("string")
     def without(text, cuts):
@@ -118,9 +115,9 @@ def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
         return text.combine(cuts, one)
 
-    on = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    on = (F.col("doc_id").cast("long") == F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
     joined = docs.join(gone, on, "left")
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(without("text", "_cuts"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("__sl_cuts").isNull(), F.col("text")).otherwise(without("text", "__sl_cuts"))).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

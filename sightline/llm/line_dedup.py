@@ -8,7 +8,8 @@ them. The other lines stay in place.
 Null text: one empty line, kept; the text returned is then null as it was given
 (the query's digest takes it as empty). Rows that repeat a doc_id count as one
 document, and each is cut by its own text. Null doc_ids count as one document, which
-is smaller than any other. Other columns pass through untouched. An empty table gives
+is smaller than any other. Other columns pass through untouched, but for
+n_lines and n_dropped, which are this operator's. An empty table gives
 an empty table; very long texts are arrays of lines of one row and nothing more.
 """
 
@@ -50,26 +51,24 @@ def common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with their texts cut, and the long columns n_lines and n_dropped. The only
     rows that meet again by document are those of lines dropped."""
-    names = {"n_lines", "n_dropped", "_doc", "_row", "_at"} & {c.lower() for c in docs.columns}
-    if names:
-        raise ValueError(f"input columns clash with the result's: {sorted(names)}")
+    docs = docs.drop("n_lines", "n_dropped")
     common = common_lines(docs, min_chars, min_docs)
     gone = (
         _long_keys(docs, min_chars)
         .join(common, ["a", "b"])
         .where(F.col("doc") != F.col("keeper"))
-        .groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row"))
-        .agg(F.collect_set("pos").alias("_at"))
+        .groupBy(F.col("doc").alias("__sl_doc"), F.col("row").alias("__sl_row"))
+        .agg(F.collect_set("pos").alias("__sl_at"))
     )
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64("text"))
+    keyed = docs.withColumn("__sl_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__sl_row", F.xxhash64("text"))
     lines = F.split(F.col("text"), "\n", -1)
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_at")), lambda i: F.get("_lines", i))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__sl_lines") - 1), F.col("__sl_at")), lambda i: F.get("__sl_lines", i))
     cut = (
-        keyed.join(gone, ["_doc", "_row"], "left")
+        keyed.join(gone, ["__sl_doc", "__sl_row"], "left")
         .withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_at"), F.lit(0)).cast("long"))
-        .withColumn("_lines", F.when(F.col("_at").isNotNull(), lines))
-        .withColumn("text", F.when(F.col("_at").isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text")))
+        .withColumn("n_dropped", F.coalesce(F.size("__sl_at"), F.lit(0)).cast("long"))
+        .withColumn("__sl_lines", F.when(F.col("__sl_at").isNotNull(), lines))
+        .withColumn("text", F.when(F.col("__sl_at").isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text")))
     )
     return cut.select(*docs.columns, "n_lines", "n_dropped")
 

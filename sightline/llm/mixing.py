@@ -17,7 +17,8 @@ rows is summed by 1,024 tasks' worth of keys; the driver sees a row per source.
 
 Null texts have size 0; null sources are one source, last by code point. Identical
 rows are taken alike; rows that share a doc_id only are documents of their own. An
-empty table, or one without words, gives targets of 0 and takes no words.
+empty table, or one without words, gives targets of 0 and takes no words. Other columns
+pass through `mix`; a column named position is replaced.
 """
 
 from __future__ import annotations
@@ -102,12 +103,11 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: docs' rows, each once per copy taken, range-sorted by the
     extra column position. The only wide moves of the texts are the join with the
     plan and the range sort."""
-    if "position" in {c.lower() for c in docs.columns}:
-        raise ValueError("input column clashes with the result's: position")
-    taken = plan(docs, **params).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "positions")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = keyed.join(taken, on).select(*docs.columns, F.explode("positions").alias("position"))
+    docs = docs.drop("position")
+    taken = plan(docs, **params).where("copies > 0").select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key"), F.col("source").alias("__sl_source"), F.col("positions").alias("__sl_at"))
+    keyed = docs.withColumn("__sl_text_key", F.xxhash64("text"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id")) & (F.col("__sl_text_key") == F.col("__sl_key")) & F.col("source").eqNullSafe(F.col("__sl_source"))
+    out = keyed.join(taken, on).select(*docs.columns, F.explode("__sl_at").alias("position"))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 

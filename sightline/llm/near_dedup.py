@@ -265,8 +265,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group, the smallest doc_id."""
-    gone = near_groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    on = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    gone = near_groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
+    on = (F.col("doc_id").cast("long") == F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
     return docs.join(gone, on, "left_anti")
 
 

@@ -144,8 +144,8 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the rules reject; columns as they were."""
-    bad = judged(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    bad = judged(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
     return docs.join(bad, on, "left_anti")
 
 
