@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -57,7 +58,7 @@ def safe_name(c: Column) -> Column:
     return c.rlike("^[A-Za-z0-9_-]{1,64}$")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_round(values: pd.Series, digits: pd.Series) -> pd.Series:
     """Correct rounding of the binary value, as Python's round; Spark's own goes
     through the shortest decimal. For sinks, not for the hot path."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from ..schema import REPORT, VERSION
+from ..schema import REPORT, RUN, SHAPES, SLIDES, VERSION
 
 
 def read_reports(spark: SparkSession, paths) -> DataFrame:
@@ -15,7 +15,7 @@ def read_reports(spark: SparkSession, paths) -> DataFrame:
 
 
 def _texts() -> Column:
-    return F.transform(F.flatten(F.transform("s.texts", lambda t: F.coalesce(t["runs"], F.array()))), lambda r: F.struct(r["text"].alias("text"), r["color"].alias("color"), r["size_pt"].alias("size_pt")))
+    return F.transform(F.flatten(F.transform("s.texts", lambda t: F.coalesce(t["runs"], F.array().cast(f"array<struct<{RUN}>>")))), lambda r: F.struct(r["text"].alias("text"), r["color"].alias("color"), r["size_pt"].alias("size_pt")))
 
 
 def elements(reports: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def elements(reports: DataFrame) -> DataFrame:
     has = F.coalesce(F.size("elements") > 0, F.lit(False))
     own = head.where(has).select("report_id", "canvas_w", "canvas_h", F.col("coordsys").alias("report_coordsys"), F.posexplode("elements").alias("ord", "e"))
     own = own.select("report_id", "ord", "canvas_w", "canvas_h", "e.*", F.lit(None).cast("string").alias("name")).withColumn("coordsys", F.col("coordsys"))
-    shapes = F.flatten(F.transform(F.coalesce("slides", F.array().cast(REPORT["slides"].dataType)), lambda s: F.coalesce(s["shapes"], F.array().cast(REPORT["slides"].dataType.elementType["shapes"].dataType))))
+    shapes = F.flatten(F.transform(F.coalesce("slides", F.array().cast(SLIDES)), lambda s: F.coalesce(s["shapes"], F.array().cast(SHAPES))))
     rest = head.where(~has).select("report_id", "canvas_w", "canvas_h", F.posexplode(shapes).alias("ord", "s"))
     none = lambda t: F.lit(None).cast(t)
     rest = rest.select(
