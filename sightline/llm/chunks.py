@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 BITS, LEAST, MOST, SPAN = 5, 16, 1024, 100
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
@@ -78,6 +78,7 @@ def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     first_doc_id is the smallest doc_id that holds any of its chunks."""
     every = chunks(docs)
     common = every.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").drop("other")
+    common = stored(common, "common-chunks")  # a plain exchange on either side of the join lets Spark split a hot digest's rows
     hit = every.join(common, "digest").drop("digest").distinct()
     order = W.partitionBy("doc_id", "text_key").orderBy("start")
     fresh = F.coalesce((F.lag(F.col("start") + F.col("length")).over(order) != F.col("start")).cast("int"), F.lit(1))
