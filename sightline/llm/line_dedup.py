@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, lower_ascii, read
+from .common import WS, lower_ascii, read, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs with their texts cut, and the long columns n_lines and n_dropped. The only
     rows that meet again by document are those of lines dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    common = common_lines(docs, min_chars, min_docs)
+    common = stored(common_lines(docs, min_chars, min_docs), "common-lines")  # plain exchanges let Spark split a hot line's rows
     gone = (
         _long_keys(docs, min_chars)
         .join(common, ["a", "b"])
