@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import delete, fresh, read, stored
 
 LEAST, PER_FILE, DATE = 100, 20_000, "20000101000000"
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
+#: Repeated digests up to this many (some 100 bytes each) are sent to every executor.
+BROADCAST_DIGESTS = 200_000
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -195,6 +197,9 @@ def _identity(page: Column) -> Column:
 def convert(records: DataFrame, again: DataFrame, least: int = LEAST) -> DataFrame:
     """record: WARC records, without the blank lines that end them. again: as records, without payloads."""
     first = again.where((F.col("payload_bytes") >= least) & F.col("error").isNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(first, "repeated-payloads")
+    if first.count() <= BROADCAST_DIGESTS:  # then no payload moves; beyond, payloads are joined by digest
+        first = F.broadcast(first)
     d = records.where(F.col("error").isNull()).join(first, "payload_digest", "left")
     revisit = F.coalesce((F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()), F.lit(False)) & (F.col("payload_bytes") >= least)
     digits = F.rpad(F.col("date"), 14, "0")
@@ -265,6 +270,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
     arc, warc = fresh(spark, "arc"), fresh(spark, "warc")
     write_arc(read(spark, sf_dir, "pages").select("page_id", "url", "html"), arc)
     write_warc(convert(read_arc(spark, arc), read_arc(spark, arc, payloads=False)), warc)
+    delete(spark, arc)
     return read_warc(spark, warc)
 
 
