@@ -13,7 +13,9 @@ sequences of their own too. Other columns of the input are ignored by `pieces`.
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import block_of, range_bounds, stored
 
 MAX_LEN, END_ID = 2048, 1
-#: Words kept with their ids in each Python worker, about 60 MB.
-CACHE = 300_000
+#: Words kept with their ids in each Python worker, about 120 MB.
+CACHE = 600_000
 #: The vocabulary's own word rule, written out for ASCII and Latin-1 letters; a text with other characters goes to the library whole.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\rA-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
 _OTHER = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
@@ -56,7 +58,7 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        got = self[word] = self.merge.encode_to_numpy(word, disallowed_special=()).astype("<u4").tobytes()
+        got = self[word] = struct.pack(f"<{len(ids := self.merge._encode_single_piece(word))}I", *ids)
         return got
 
     def ids(self, text: str) -> bytes:
@@ -67,6 +69,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _PLAIN.findall(text)))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(folder: str | None = None) -> Encoder:
+    """One a Python worker: vocabulary and cache outlive a task."""
+    return Encoder(folder)
+
+
 def cuts(n: int, max_len: int = MAX_LEN) -> Iterator[tuple[int, int]]:
     """(start, length) of each piece of a document of n tokens; max_len is a power of two."""
     at = 0
@@ -90,7 +98,7 @@ def pieces(docs: DataFrame, folder: str | None = None, max_len: int = MAX_LEN, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode, end = Encoder(folder), end_id.to_bytes(4, "little")
+        encode, end = encoder(folder), end_id.to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
         for batch in batches:
             out: list[tuple] = []
