@@ -38,8 +38,8 @@ from .common import read, stored
 from .textbits import _FOLD, word_numbers
 
 DEPTH, BLOCK_ROWS = 5, 8_000_000
-#: Bytes of text at a time: counting holds no tables, scoring does.
-COUNT_GULP, SCORE_GULP = 12 << 20, 3 << 20
+#: Bytes of text at a time, and how many runs a counting task holds before it hands them on.
+GULP, HELD = 3 << 20, 2_000_000
 END, BITS = 256, 9
 _LOG_HALF = math.log(0.5)
 
@@ -112,6 +112,12 @@ class Layer:
         return out
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of all parts (keys, counts), with the sums of their counts."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
 def _reduced(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs shortened to `depth` context bytes, sorted, with their counts."""
     keys, back = np.unique(codes & np.uint64((1 << (8 * depth + BITS)) - 1), return_inverse=True)
@@ -215,14 +221,25 @@ def held_out() -> Column:
 def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """kind, key, n over texts: kind 0 the runs, kind 1 the words (key 0: the end)."""
 
+    def batch(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _gulps(batches, 0, COUNT_GULP):
+        held: dict[int, list] = {0: [], 1: []}
+        for _, texts in _gulps(batches, 0, GULP):
             codes, _, raw = _runs(texts, depth)
-            for kind, keys in ((0, codes), (1, word_numbers(raw)[0])):
-                keys, n = np.unique(keys, return_counts=True)
-                if kind:
-                    keys, n = np.append(keys, np.uint64(0)), np.append(n, len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+            held[0].append(np.unique(codes, return_counts=True))
+            del codes  # the words need the room
+            keys, n = np.unique(word_numbers(raw)[0], return_counts=True)
+            held[1].append((np.append(keys, np.uint64(0)), np.append(n, len(texts))))
+            for kind, parts in held.items():
+                if sum(len(k) for k, _ in parts) >= HELD:
+                    parts[:] = [_merged(parts)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield batch(kind, *parts.pop())
+        for kind, parts in held.items():
+            if parts:
+                yield batch(kind, *_merged(parts))
 
     return docs.select("text").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -352,7 +369,7 @@ def _scorer(sent):
         depth, tokens, distinct, run, word = sent.value
         index, names = run and Index(run[2][0].codes), word and Index(word[2])
         even = math.log10(tokens + 0.1 * (distinct + 1))
-        for held, texts in _gulps(batches, 2, SCORE_GULP):
+        for held, texts in _gulps(batches, 2, GULP):
             codes, starts, raw = _runs(texts, depth)
             total, base, known, count = (np.zeros(len(texts)) for _ in range(4))
             if run:
