@@ -158,8 +158,8 @@ def wall_facts(px: DataFrame, key: str = "image_id") -> DataFrame:
 
 def wall_groups(facts: DataFrame) -> DataFrame:
     """Counts by category, by tone and by family in one pass."""
-    facts.createOrReplaceTempView("sightline_facts")
-    return facts.sparkSession.sql("SELECT category, tone, family, count(*) AS n FROM sightline_facts GROUP BY GROUPING SETS ((category), (tone), (family))")
+    sets = [["category"], ["tone"], ["family"]]
+    return facts.groupingSets(sets, "category", "tone", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
 # whole images ---------------------------------------------------------------------

@@ -468,3 +468,42 @@ def analyze_protocol(spark, sf):
 def neighbour_gaps(spark, sf):
     w = W.partitionBy("report_id").orderBy("x1", "ord")
     return P.elements(spark, sf).withColumn("gap", F.lead("x1").over(w) - F.col("x2")).where("gap > 0").select("report_id", "ord", "gap")
+
+
+_PX = "px AS (SELECT p_brand AS image_id, (p_partkey * 73) % 256 AS r, (p_partkey * 151) % 256 AS g, (p_partkey * 211) % 256 AS b FROM part)"
+
+
+def _linear(c: str) -> str:
+    return f"CASE WHEN {c} / 255.0 <= 0.03928 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"
+
+
+@query(f"""WITH {_PX}, l AS (SELECT image_id, 0.2126 * r + 0.7152 * g + 0.0722 * b AS lum, 0.2126 * ({_linear("r")}) + 0.7152 * ({_linear("g")}) + 0.0722 * ({_linear("b")}) AS rel FROM px)
+SELECT image_id, round(CAST(avg(lum) AS DOUBLE), 6) AS mean, round(CAST(stddev_pop(lum) AS DOUBLE), 6) AS std, round(CAST(min(lum) AS DOUBLE), 6) AS min, round(CAST(max(lum) AS DOUBLE), 6) AS max, round((max(rel) + 0.05) / (min(rel) + 0.05), 6) AS contrast FROM l GROUP BY image_id""")
+def tonal_stats(spark, sf):
+    d = R.tonal(_px(spark, sf))
+    return d.select("image_id", *[rounded(F.col(c)).alias(c) for c in ("mean", "std", "min", "max", "contrast")])
+
+
+@query("""WITH c AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS g, count(*) AS n FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER lo AS n0, sum(n * g) OVER lo AS s0, sum(n) OVER al AS nt, sum(n * g) OVER al AS st FROM c
+  WINDOW lo AS (PARTITION BY l_returnflag ORDER BY g ROWS UNBOUNDED PRECEDING), al AS (PARTITION BY l_returnflag)),
+b AS (SELECT l_returnflag, g, CASE WHEN nt > n0 THEN CAST(n0 AS DOUBLE) * (nt - n0) * pow(s0 / n0 - (st - s0) / (nt - n0), 2) ELSE 0.0 END AS v FROM r),
+t AS (SELECT l_returnflag, arg_max(g, v) AS threshold FROM b GROUP BY l_returnflag)
+SELECT l_returnflag, round(sum(CASE WHEN g < threshold THEN n ELSE 0 END) / sum(n), 6) AS foreground FROM c JOIN t USING (l_returnflag) GROUP BY l_returnflag""")
+def foreground_share(spark, sf):
+    """Thresholds are one row a flag; the join sends those, not the rows."""
+    d = P.read(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("g"))
+    return R.foreground(d, ["l_returnflag"], "g", R.otsu(d, ["l_returnflag"], "g")).withColumn("foreground", rounded(F.col("foreground")))
+
+
+@query(f"""WITH {P.ELEMENTS_SQL}, c AS (SELECT kind, least(2, floor(x1 / 800 * 3)) AS gx, least(2, floor(y1 / 600 * 3)) AS gy, count(*) AS n FROM el GROUP BY 1, 2, 3),
+a AS (SELECT kind, avg(n) AS mean, coalesce(avg(n) FILTER (WHERE gy = 0), 0) AS t, coalesce(avg(n) FILTER (WHERE gy = 2), 0) AS b, coalesce(avg(n) FILTER (WHERE gx = 0), 0) AS l, coalesce(avg(n) FILTER (WHERE gx = 2), 0) AS r, coalesce(avg(n) FILTER (WHERE gx = 1 AND gy = 1), 0) AS m FROM c GROUP BY kind)
+SELECT kind, CASE WHEN t > 1.3 * mean THEN 'top' WHEN b > 1.3 * mean THEN 'bottom' WHEN l > 1.3 * mean THEN 'left' WHEN r > 1.3 * mean THEN 'right' WHEN m > 1.1 * mean THEN 'center' ELSE 'uniform' END AS label FROM a""")
+def region_labels(spark, sf):
+    d = P.elements(spark, sf).select("kind", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return R.density_label(R.heat_map(d, ["kind"], 800, 600, 3).withColumnRenamed("n", "weight"), ["kind"])
+
+
+@query()
+def wall_categories(spark, sf):
+    return R.wall_groups(R.wall_facts(_px(spark, sf)))
