@@ -6,8 +6,8 @@ the number of steps of ratio BASE below 1, truncated to a byte: exponentially sp
 minima, mergeable by maximum, equal with a chance that follows the Jaccard likeness.
 
 1. Equal sets are one class, held by its smallest doc_id.
-2. Classes meet in buckets: BANDS runs of ROWS registers. At 85 % likeness a pair
-   misses every bucket with a chance below 1e-6.
+2. Classes meet in buckets: BANDS runs of ROWS registers. At 80 % likeness a pair
+   misses every bucket with a chance below 1e-6: (1 - 0.8^5)^35.
 3. A bucket is compared in blocks of BLOCK classes, so that no task holds a bucket,
    and no pair is emitted. A pair lives in the first band it shares; it is dropped if
    its set sizes forbid the likeness or if the joint likelihood of its registers over
@@ -35,7 +35,7 @@ from .common import read, stored
 from .textbits import folded, mix64, shingles, word_numbers
 
 WORDS, PERCENT = 5, 85
-BASE, RATE, BANDS, ROWS = 1.09, 20.0, 24, 5
+BASE, RATE, BANDS, ROWS = 1.09, 20.0, 35, 5
 M, BLOCK, EVIDENCE = BANDS * ROWS, 512, 13.0
 #: Candidate ids up to this many are sent to every executor (16 MB at most); beyond, they are joined.
 BROADCAST_IDS = 1_000_000

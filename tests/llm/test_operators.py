@@ -195,6 +195,20 @@ def test_near_groups(docs, rows, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_pipeline_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(204)]  # 200 shingles; k new words at the end change k of them
+    rows = [(i, " ".join([*w[: 204 - k], *(f"x{i}-{j}" for j in range(k))]), "s") for i, k in enumerate((0, 18, 20, 22, 23, 40))]
+    want = brute_groups(rows, 80)
+    assert [c for _, c in want.values()] == [0, 0, 0, 0, 4, 5]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, d, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 4, 5]
+    j = 0.8**near_dedup.ROWS
+    assert (1 - j) ** near_dedup.BANDS < 1e-6
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
