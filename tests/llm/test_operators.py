@@ -240,6 +240,22 @@ def test_chunks_resist_shifts(spark, empty):
     assert chunks.spans(empty).count() == 0 and chunks.cut_repeats(empty).count() == 0
 
 
+def test_passages_over_50_words_are_found_to_their_ends(spark):
+    rng = random.Random(11)
+    docs, want = [], {}
+    for k in range(150):
+        p = " ".join(["la"] * 51) if k == 7 else some(rng, 51)
+        for d in (2 * k, 2 * k + 1):
+            head = some(rng, rng.randint(5, 40)) + f" {'ab'[d % 2]}< "
+            docs.append((d, f"{head}{p} >{'ab'[d % 2]} {some(rng, 30)}"))
+            want[d] = (len(head) - 2, len(p) + 4, 2 * k)  # the marks differ, "< " and " >" do not
+    got = defaultdict(list)
+    for r in chunks.spans(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["first_doc_id"]))
+    assert all(len(got[d]) == 1 and got[d][0][1] >= 140 for d in (14, 15))  # one word again and again: ends may be a few words short
+    assert {d: s for d, s in got.items() if d not in (14, 15)} == {d: [w] for d, w in want.items() if d not in (14, 15)}
+
+
 def test_chunk_ends_are_whole():
     data = random.Random(1).randbytes(5000) + b"a" * 5000
     e = chunks.ends(data)
