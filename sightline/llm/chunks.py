@@ -202,9 +202,11 @@ def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with every span removed that smaller doc_ids keep whole. A code point cut
-    in two by a span's edge goes with the span."""
-    gone = spans(docs, span).where("removable = length").groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__sl_cuts"))
+    """docs without the stretches of span bytes or more that smaller doc_ids keep, also
+    where a stretch touches repeats that the document keeps itself. A code point cut
+    in two by a stretch's edge goes with the stretch."""
+    lost = _runs(repeats(docs).where("keeper < doc_id")).groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("length"))
+    gone = lost.where(F.col("length") >= span).groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__sl_cuts"))
 
     @F.pandas_udf("string")
     def without(text, cuts):

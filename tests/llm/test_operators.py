@@ -256,6 +256,17 @@ def test_passages_over_50_words_are_found_to_their_ends(spark):
     assert {d: s for d, s in got.items() if d not in (14, 15)} == {d: [w] for d, w in want.items() if d not in (14, 15)}
 
 
+def test_cut_repeats_beside_repeats_of_its_own(spark):
+    rng = random.Random(12)
+    p, left, right = some(rng, 60), some(rng, 60), some(rng, 60)
+    whole = f"{left} | {p} | {right}"
+    d = spark.createDataFrame([(1, f"{some(rng, 30)} < {p} > {some(rng, 30)}"), (2, whole), (3, whole), (4, some(rng, 90))], "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in chunks.cut_repeats(d).collect()}
+    before = {r["doc_id"]: r["text"] for r in d.collect()}
+    assert cut[1] == before[1] and cut[4] == before[4] and cut[3] == ""
+    assert cut[2] == f"{left} || {right}"
+
+
 def test_chunk_ends_are_whole():
     data = random.Random(1).randbytes(5000) + b"a" * 5000
     e = chunks.ends(data)
