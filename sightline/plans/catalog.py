@@ -303,6 +303,23 @@ def text_similarity(spark, sf):
     return d.select("conv_id", "turn", F.lower("a").alias("a"), F.lower("b").alias("b"), rounded(X.similarity(F.col("a"), F.col("b"))).alias("sim"))
 
 
+@query()
+def dict_correct_texts(spark, sf):
+    """Every word of every turn, by its place in the text; dict_correct takes the first one."""
+    words = "submit cancel ok save delete edit search settings login logout back next done close open new yes no the of and to".split()
+    t = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text").distinct()
+    t = t.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("place", "w")).withColumn("conf", F.lit(1.0))
+    return X.corrected(t, "w", "conf", words).select("conv_id", "turn", "place", "w", "corrected", rounded(F.col("corrected_conf"), 3).alias("corrected_conf"))
+
+
+@query()
+def text_similarity_texts(spark, sf):
+    """Whole texts of turns that follow each other; text_similarity compares first words."""
+    w = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("a")).distinct()
+    y = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return w.join(y, ["conv_id", "turn"]).select("conv_id", "turn", F.length("a").alias("a_chars"), F.length("b").alias("b_chars"), rounded(X.similarity(F.col("a"), F.col("b"))).alias("sim"))
+
+
 _LINES = """ln AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'focus_changed' WHEN 'purchase' THEN 'windows_changed' WHEN 'view' THEN 'workspaces_changed' WHEN 'error' THEN 'overview_toggled' ELSE 'other' END AS kind FROM events)"""
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import struct
 import zlib
 
@@ -239,3 +240,34 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_conversation_queries_take_whole_texts(spark, tmp_path):
+    said = [(1, 0, "Please sav the fil, then logot"), (1, 1, "please save the file, then log out"), (1, 2, None), (2, 0, "ok"), (2, 1, " OK "), (2, 2, "well ok then"), (2, 2, "well ok then"), (3, 0, "123"), (3, 1, "")]
+    spark.createDataFrame(said, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    listed = "submit cancel ok save delete edit search settings login logout back next done close open new yes no the of and to".split()
+    want = []
+    for c, t, text in set(said):
+        for i, w in enumerate(re.findall("[a-z]+", text or "")):
+            d, _, best = min((distance(w, x), k, x) for k, x in enumerate(listed))
+            want.append((c, t, i, w, best, 0.9) if len(w) >= 2 and d <= 1 else (c, t, i, w, w, 1.0))
+    got = [tuple(r) for r in catalog.QUERIES["dict_correct_texts"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (1, 0, 5, "logot", "logout", 0.9) in got
+
+    def sim(a, b):
+        a, b = a.strip(" ").lower(), b.strip(" ").lower()
+        if not a or not b:
+            return 0.0
+        return 1.0 if a == b else 0.7 if a in b or b in a else round(1 - distance(a, b) / max(len(a), len(b)), 6)
+
+    pairs = [(c, t, len(a), len(b), sim(a, b)) for c, t, a in set(said) for d, u, b in set(said) if c == d and u == t + 1 and a is not None and b is not None]
+    assert sorted(tuple(r) for r in catalog.QUERIES["text_similarity_texts"](spark, str(tmp_path)).collect()) == sorted(pairs) and len(pairs) == 4
