@@ -5,7 +5,8 @@ register is the least of one hash per shingle, read as an exponential time and k
 the number of steps of ratio BASE below 1, truncated to a byte: exponentially spaced
 minima, mergeable by maximum, equal with a chance that follows the Jaccard likeness.
 
-1. Equal sets are one class, held by its smallest doc_id.
+1. Equal sets are one class, held by its smallest doc_id; a null one only if there is
+   no other. A class of nulls goes by a hash of its set until components are named.
 2. Classes meet in buckets: BANDS runs of ROWS registers. At 80 % likeness a pair
    misses every bucket with a chance below 1e-6: (1 - 0.8^5)^35.
 3. A bucket is compared in blocks of BLOCK classes, so that no task holds a bucket,
@@ -18,8 +19,10 @@ minima, mergeable by maximum, equal with a chance that follows the Jaccard liken
 
 Lower case is A-Z; words are runs without white space. Fewer than five words are one
 shingle. Null, empty and blank texts have an empty set and are linked with nothing, not
-even each other. Rows that share a doc_id are linked by their own texts. An empty table
-gives an empty table. Other columns pass through `keep_one`.
+even each other. Rows that share a doc_id are linked by their own texts. Rows with a null
+doc_id are linked like any; a component is named by its smallest doc_id, and only one of
+nulls alone has a null name and keeps its rows, as do empty texts. An empty table gives
+an empty table. Other columns pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from .textbits import folded, mix64, shingles, word_numbers
 WORDS, PERCENT = 5, 85
 BASE, RATE, BANDS, ROWS = 1.09, 20.0, 35, 5
 M, BLOCK, EVIDENCE = BANDS * ROWS, 512, 13.0
-#: Candidate ids up to this many are sent to every executor (16 MB at most); beyond, they are joined.
+#: Candidate ids up to this many are sent to every executor (24 MB at most); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(9)
@@ -213,7 +216,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     light = classes.select("id", "n", "regs")
     dealt = _blocks(classes).join(light, "id").select(*key, "id", "side", "n", "regs")
     found = stored(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(candidates, "band int, key long, i int, j int, id long, side int"), "near-candidates")
-    wanted = found.select("id").distinct().join(classes.select("id", "text_key"), "id").select(F.col("id").alias("doc_id"), "text_key")
+    wanted = found.select("id").distinct().join(classes.select("id", F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")), "id")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
@@ -222,8 +225,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
             sets = [shingles(word_numbers(folded((t or "").encode()))[0], WORDS).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"])
-    full = stored(texts.select("doc_id", "text").mapInArrow(items, "id long, items binary").dropDuplicates(["id"]), "near-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__sl_id")) & (F.col("text_key") == F.col("__sl_key")))
+    full = stored(texts.select("id", "text").mapInArrow(items, "id long, items binary").dropDuplicates(["id"]), "near-sets")
     both = found.join(full.join(light, "id"), "id").select(*key, "id", "side", "n", "regs", "items")
     return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "x long, y long").distinct()
 
@@ -252,21 +256,24 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sk = stored(sketches(docs), "sketches")
     some = sk.where("n_shingles > 0")
     classes = stored(
-        some.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("regs").alias("regs"))
-        .select("a", "b", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("text_key"), "regs"),
+        some.groupBy("a", "b", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"), F.first("regs").alias("regs"))
+        .select("a", "b", F.col("n_shingles").alias("n"), F.coalesce("r.doc_id", F.xxhash64("a", "b", "n_shingles")).alias("id"), "r.doc_id", "r.text_key", "regs"),
         "classes",
     )
     roots = components(links(docs, classes, percent))
-    named = classes.join(roots, "id", "left").select("a", "b", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
-    out = some.join(named, ["a", "b", "n_shingles"]).select("doc_id", "text_key", "n_shingles", "component_id")
+    named = classes.join(roots, "id", "left").select("a", "b", F.col("n").alias("n_shingles"), "doc_id", F.coalesce("root", "id").alias("component_id"))
+    if not classes.where("doc_id IS NULL").isEmpty():
+        named = stored(named, "named")
+        named = named.join(named.groupBy("component_id").agg(F.min("doc_id").alias("least")), "component_id").drop("component_id").withColumnRenamed("least", "component_id")
+    out = some.join(named.drop("doc_id"), ["a", "b", "n_shingles"]).select("doc_id", "text_key", "n_shingles", "component_id")
     empty = sk.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group, the smallest doc_id."""
     gone = near_groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
-    on = (F.col("doc_id").cast("long") == F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
     return docs.join(gone, on, "left_anti")
 
 

@@ -209,6 +209,19 @@ def test_pipeline_links_from_80_percent(spark):
     assert (1 - j) ** near_dedup.BANDS < 1e-6
 
 
+def test_near_groups_with_null_ids(spark):
+    rng = random.Random(21)
+    a, b, c = some(rng, 200), some(rng, 200), some(rng, 200)
+    rows = [(5, a), (None, a), (7, a), (None, a + " more"), (None, b), (9, b + " more"), (None, c), (None, c + " more"), (1, some(rng, 50)), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(d).collect())
+    size = lambda t: len({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)})
+    name = [5, 5, 5, 5, 9, 9, None, None, 1, None]
+    assert got == Counter((i, size(t), n, i == n) for (i, t), n in zip(rows, name, strict=True))
+    kept = Counter(map(tuple, near_dedup.keep_one(d).collect()))
+    assert kept == Counter(r for r, n in zip(rows, name, strict=True) if r[0] == n)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
