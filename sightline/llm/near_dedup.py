@@ -5,12 +5,13 @@ register is the least of one hash per shingle, read as an exponential time and k
 the number of steps of ratio BASE below 1, truncated to a byte: exponentially spaced
 minima, mergeable by maximum, equal with a chance that follows the Jaccard likeness.
 
-1. Equal sets are one class, held by its smallest doc_id; a null one only if there is
-   no other. A class of nulls goes by a hash of its set until components are named.
+1. Rows with equal sets are one class, numbered when the table of classes is written.
+   Links, buckets and components know classes by that number alone; the row that holds a
+   class (its smallest doc_id, nulls last) is a label beside it.
 2. Classes meet in buckets: BANDS runs of ROWS registers. At 80 % likeness a pair
    misses every bucket with a chance below 1e-6: (1 - 0.8^5)^35.
-3. A bucket is compared in blocks of BLOCK classes, so that no task holds a bucket,
-   and no pair is emitted. A pair lives in the first band it shares; it is dropped if
+3. A bucket is compared in blocks of about BLOCK classes or BLOCK_ITEMS shingles, so that
+   no task holds a bucket, and no pair is emitted. A pair lives in the first band it shares; it is dropped if
    its set sizes forbid the likeness or if the joint likelihood of its registers over
    all likenesses at or above the threshold lies EVIDENCE below that over all.
 4. What is left is compared on full sets, in the same blocks, likeliest first; a pair
@@ -19,10 +20,14 @@ minima, mergeable by maximum, equal with a chance that follows the Jaccard liken
 
 Lower case is A-Z; words are runs without white space. Fewer than five words are one
 shingle. Null, empty and blank texts have an empty set and are linked with nothing, not
-even each other. Rows that share a doc_id are linked by their own texts. Rows with a null
-doc_id are linked like any; a component is named by its smallest doc_id, and only one of
-nulls alone has a null name and keeps its rows, as do empty texts. An empty table gives
-an empty table. Other columns pass through `keep_one`.
+even each other. Rows that share a doc_id are linked by their own texts, each in its own
+class. Rows with a null doc_id are linked like any; a component is named by its smallest
+doc_id, and only one of nulls alone has a null name. `near_groups` calls a row kept if its
+doc_id is its component's name, so rows that share that doc_id are kept together. `keep_one`
+keeps exactly one row of a component: of the smallest doc_id (nulls last) and there of the
+smallest hash of the text; of rows alike in both, one by its other columns. Empty texts
+all stay. Very long texts are one row's set and split their buckets into more blocks. An
+empty table gives an empty table. Other columns pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ from .textbits import folded, mix64, shingles, word_numbers
 WORDS, PERCENT = 5, 85
 BASE, RATE, BANDS, ROWS = 1.09, 20.0, 35, 5
 M, BLOCK, EVIDENCE = BANDS * ROWS, 512, 13.0
+#: Shingles a block of a bucket holds, about: 16 MB of full sets.
+BLOCK_ITEMS = 2_000_000
 #: Candidate ids up to this many are sent to every executor (24 MB at most); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -170,9 +177,10 @@ def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
 def _blocks(classes: DataFrame) -> DataFrame:
     """band, key, i, j, id, side: the classes of every bucket of two or more, dealt into pairs of blocks."""
     runs = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.expr(f"substring(regs, {k * ROWS + 1}, {ROWS})")).alias("key")) for k in range(BANDS)])
-    bands = classes.select("id", F.explode(runs).alias("r")).select("r.band", "r.key", "id")
-    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    dealt = bands.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    bands = classes.select("id", "n", F.explode(runs).alias("r")).select("r.band", "r.key", "id", "n")
+    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("items")).where("count > 1")
+    blocks = F.least("count", F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS))).cast("int")
+    dealt = bands.drop("n").join(full.select("band", "key", blocks.alias("blocks")), ["band", "key"])
     dealt = dealt.withColumn("side", F.pmod(F.hash("id"), F.col("blocks")))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "side"
@@ -251,30 +259,59 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("x").alias("id"), F.col("y").alias("root"))
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, n_shingles, component_id, kept."""
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and the classes with the label of their component:
+    a, b, n_shingles, doc_id and text_key (the row that holds the class), component_id,
+    and first (whether that row is the component's first)."""
     sk = stored(sketches(docs), "sketches")
-    some = sk.where("n_shingles > 0")
-    classes = stored(
-        some.groupBy("a", "b", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"), F.first("regs").alias("regs"))
-        .select("a", "b", F.col("n_shingles").alias("n"), F.coalesce("r.doc_id", F.xxhash64("a", "b", "n_shingles")).alias("id"), "r.doc_id", "r.text_key", "regs"),
-        "classes",
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")
+    classes = sk.where("n_shingles > 0").groupBy("a", "b", F.col("n_shingles").alias("n")).agg(holder, F.first("regs").alias("regs"))
+    # the numbers are drawn while the table is written; whoever reads it finds the same ones
+    classes = stored(classes.select("a", "b", "n", F.monotonically_increasing_id().alias("id"), "r.doc_id", "r.text_key", "regs"), "classes")
+    roots = stored(components(links(docs, classes, percent)), "roots")
+    members = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    light = classes.select("a", "b", F.col("n").alias("n_shingles"), "id", "doc_id", "text_key")
+    held = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "id")
+    least = members.join(light, "id").groupBy("root").agg(F.min(held).alias("least"))
+    named = members.join(least, "root").select("id", F.col("least.doc_id").alias("name"), F.col("least.id").alias("lead"))
+    named = light.join(named, "id", "left")
+    alone = F.col("lead").isNull()
+    return sk, named.select(
+        "a", "b", "n_shingles", "doc_id", "text_key",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
+        (alone | (F.col("lead") == F.col("id"))).alias("first"),
     )
-    roots = components(links(docs, classes, percent))
-    named = classes.join(roots, "id", "left").select("a", "b", F.col("n").alias("n_shingles"), "doc_id", F.coalesce("root", "id").alias("component_id"))
-    if not classes.where("doc_id IS NULL").isEmpty():
-        named = stored(named, "named")
-        named = named.join(named.groupBy("component_id").agg(F.min("doc_id").alias("least")), "component_id").drop("component_id").withColumnRenamed("least", "component_id")
-    out = some.join(named.drop("doc_id"), ["a", "b", "n_shingles"]).select("doc_id", "text_key", "n_shingles", "component_id")
+
+
+def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, text_key, n_shingles, component_id, kept."""
+    sk, named = _labelled(docs, percent)
+    key = ["a", "b", "n_shingles"]
+    out = sk.where("n_shingles > 0").join(named.select(*key, "component_id"), key).select("doc_id", "text_key", "n_shingles", "component_id")
     empty = sk.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group, the smallest doc_id."""
-    gone = near_groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
-    return docs.join(gone, on, "left_anti")
+    """docs with one row of each component, and all empty texts. Rows go by an anti-join
+    with the keys of those that don't hold their component; only rows alike in doc_id
+    and text, of which one stays, are numbered."""
+    sk, named = _labelled(docs, percent)
+    key = ["a", "b", "n_shingles"]
+    held = named.select(*key, F.struct("doc_id", "text_key").alias("holder"), "first")
+    some = sk.where("n_shingles > 0").join(held, key)
+    own = F.struct("doc_id", "text_key")
+    gone = some.where(~F.col("first") | ~own.eqNullSafe(F.col("holder"))).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
+    kept = docs.join(gone, match, "left_anti")
+    same = sk.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).agg(F.count(F.lit(1)).alias("__sl_n")).where("__sl_n > 1")
+    same = stored(same.drop("__sl_n"), "repeated-rows")
+    if same.isEmpty():
+        return kept
+    rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    once = kept.join(same, match).withColumn("__sl_rest", F.xxhash64(*rest) if rest else F.lit(0)).groupBy("__sl_id", "__sl_key")
+    once = once.agg(F.min_by(F.struct(*docs.columns), "__sl_rest").alias("r")).select("r.*")
+    return kept.join(same, match, "left_anti").unionByName(once)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

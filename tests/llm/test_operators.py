@@ -219,7 +219,37 @@ def test_near_groups_with_null_ids(spark):
     name = [5, 5, 5, 5, 9, 9, None, None, 1, None]
     assert got == Counter((i, size(t), n, i == n) for (i, t), n in zip(rows, name, strict=True))
     kept = Counter(map(tuple, near_dedup.keep_one(d).collect()))
-    assert kept == Counter(r for r, n in zip(rows, name, strict=True) if r[0] == n)
+    of_c = [k for k in kept if k in rows[6:8]]
+    assert len(of_c) == 1 and kept == Counter([(5, a), (9, b + " more"), *of_c, *rows[8:]])
+
+
+def test_near_groups_with_shared_ids_and_repeated_rows(spark):
+    rng = random.Random(22)
+    a, b, c, e = (some(rng, 200) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (3, b + " more", "x"), (4, c, "q"), (4, c, "p"), (4, c, "q"), (None, e, "x"), (None, e, "x"), (6, c + " end", "x"), (7, "", "x"), (7, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(d).collect())
+    assert got == Counter([(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False)] + [(4, 4, True)] * 3 + [(None, None, True)] * 2 + [(6, 4, False)] + [(7, 7, True)] * 2)
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.keep_one(d).collect())
+    assert kept == Counter([(1, a), (1, b), (4, c), (None, e), (7, ""), (7, "")])
+
+
+def test_links_by_brute_force_with_ids_in_disorder(spark):
+    rng = random.Random(23)
+    rows, n = [], 0
+    for _ in range(12):
+        base = some(rng, rng.choice((4, 30, 120, 400))).split()
+        for _ in range(rng.randint(1, 5)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"q{rng.randrange(9)}"
+            rows.append((n := n + 1, " ".join(w), "s"))
+    ids = list(range(-20, -20 + len(rows)))
+    rng.shuffle(ids)
+    rows = [(i, t, s) for i, (_, t, s) in zip(ids, rows, strict=True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for percent in (80, 85):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(d, percent).collect()} == brute_groups(rows, percent)
 
 
 def test_sketches_merge_and_estimate():
