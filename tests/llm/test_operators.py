@@ -406,6 +406,67 @@ def test_crf_held_out_accuracy_and_cases(spark):
     assert out[0][1] == "A & B\n\nOne two three bold.\n\nFour < five." and out[1:] == [(2, "", 0), (3, "", 0), (3, "", 0)]
 
 
+def test_crf_on_pages_labelled_by_hand():
+    from .labelled_pages import PAGES
+
+    crf, right, found, wanted = html_crf.fitted(), 0, 0, 0
+    for page, want in PAGES:
+        got = html_crf.main_blocks(page, crf)
+        assert crf.labels(html_crf.blocks(page)) == crf.decode(html_crf.features(html_crf.blocks(page)))
+        right += sum((Counter(got) & Counter(want)).values())
+        found, wanted = found + len(got), wanted + len(want)
+    assert 2 * right / (found + wanted) > 0.95
+
+
+def test_crf_loses_no_page():
+    crf, art = html_crf.fitted(), "<article><h1>Big News</h1><p>Some long text is here for you to read.</p>"
+    both = ["Big News", "Some long text is here for you to read."]
+    for before in ("<html><head><title>t</title><body>", "<head><title>t</title>", "<body><noscript><p>Turn on scripts.</p>", "<title>t", "<body><template>", "<body><div class='a>", "<head><noscript><link rel=x></noscript>"):
+        assert html_crf.main_blocks(before + art, crf) == both, before
+    assert html_crf.main_blocks("<article><p>Before <object data=x>the fallback</object> and <math><mi>a</mi><mo>=</mo><mi>b</mi></math> after.</p></article>", crf) == ["Before the fallback and a=b after."]
+    bare = "<p>Some long text is here for you to read.</p><p>Another paragraph follows the first.</p>"
+    assert html_crf.main_blocks(bare, crf) == ["Some long text is here for you to read.", "Another paragraph follows the first."]
+    assert html_crf.main_blocks("<p>a &#" + "9" * 5000 + "; b", crf) == ["a \ufffd b"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 90_000 + "x" + "</div>" * 90_000, "<div class='c'>text here" * 40_000, '<div class=">text <p>' * 50_000, "<a '" * 250_000, "<a " * 300_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 200_000, "<" * 1_000_000, "<title>x" * 100_000])
+def test_crf_reads_hostile_pages_in_linear_time(page):
+    import time
+
+    crf, began = html_crf.fitted(), time.process_time()
+    html_crf.main_blocks(page, crf)
+    assert time.process_time() - began < 5  # about a second; square cost took minutes
+
+
+def test_crf_decodes_and_learns_as_by_enumeration():
+    import itertools
+
+    rng = random.Random(4)
+    crf = html_crf.Crf()
+    crf.weights = {k: [rng.gauss(0, 1), rng.gauss(0, 1)] for k in "abcd"}
+    crf.moves, crf.start = [[rng.gauss(0, 1) for _ in "01"] for _ in "01"], [rng.gauss(0, 1) for _ in "01"]
+    page, y = [["a", "b"], ["c"], ["a", "d"], ["b"], []], [1, 0, 0, 1, 1]
+
+    def log_score(labels):
+        return crf.start[labels[0]] + sum(crf.weights[k][v] for f, v in zip(page, labels, strict=True) for k in f) + sum(crf.moves[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+    every = list(itertools.product((0, 1), repeat=len(page)))
+    assert tuple(crf.decode(page)) == max(every, key=log_score)
+
+    def likelihood():
+        return log_score(y) - math.log(sum(math.exp(log_score(v)) for v in every))
+
+    slope = {}
+    for k in "abcd":  # by differences
+        low = likelihood()
+        crf.weights[k][1] += 1e-6
+        slope[k] = (likelihood() - low) / 1e-6
+        crf.weights[k][1] -= 1e-6
+    before = {k: crf.weights[k][1] for k in "abcd"}
+    crf.step(page, y, 1e-4, 0.0)
+    assert all(math.isclose((crf.weights[k][1] - before[k]) / 1e-4, slope[k], abs_tol=1e-3) for k in "abcd")
+
+
 def test_crf_gradient_step_raises_the_likelihood():
     page = [["a"], ["b"], ["a"]]
     crf = html_crf.Crf()
