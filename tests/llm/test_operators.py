@@ -368,18 +368,58 @@ def test_ctw_is_a_distribution_and_follows_its_definition():
 
 def test_warc_round_trip(spark):
     same = "x" * 150
-    rows = [(3, "u", same), (1, "a b\n", same), (2, None, same), (4, "u", None), (5, "u", "y"), (6, "u", "y"), (None, "u", same), (7, "http://é", "ä\r\n\r\nWARC/1.0\r\n" * 50)]
+    rows = [(3, "u:", same), (1, "a: b\n", same), (2, None, same), (4, "u:", None), (5, "u:", "y"), (6, "u:", "y"), (None, "u:", same), (7, "http://é", "ä\r\n\r\nWARC/1.0\r\n" * 50), (8, "u:" + "v" * 600_000, "z" * 3_000_000), (9, "u:", "end")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record string")
     for version in (1, 2):
         arc, out = warc.fresh(spark, "arc"), warc.fresh(spark, "warc")
-        warc.write_arc(d, arc, version, per_file=2)
-        warc.write_warc(warc.convert(warc.read_arc(spark, arc), warc.read_arc(spark, arc, payloads=False)), out, per_file=3)
-        got = {r["page_id"]: r for r in warc.read_warc(spark, out).collect()}
+        warc.write_arc(d, arc, version, per_file=2, file_bytes=300)
+        read = warc.read_arc(spark, arc)
+        assert warc.errors(read).count() == 0 and read.where("kind = 'warcinfo'").count() >= 4
+        warc.write_warc(warc.convert(read, warc.read_arc(spark, arc, payloads=False)), out, per_file=3)
+        every = warc.read_warc(spark, out).collect()
+        assert sum(r["record_type"] == "warcinfo" for r in every) >= 4
+        got = {r["page_id"]: r for r in every if r["record_type"] != "warcinfo"}
+        assert len(got) == len(rows) and len({r["record_id"] for r in got.values()}) == len(rows)
         for p, _, html in rows:
             data = (html or "").encode()
             assert (got[p]["payload_bytes"], got[p]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
             assert (got[p]["record_type"], got[p]["refers_to"]) == (("revisit", 1) if html == same and p != 1 else ("response", None))
-        assert got[7]["warc_date"] == "2000-01-01T00:00:00Z"
+            assert got[p]["refers_to_id"] == (got[1]["record_id"] if html == same and p != 1 else None)
+        assert got[7]["warc_date"] == "2000-01-01T00:00:00Z" and len(got[8]["url"]) == 600_002
+
+
+def test_archives_of_empty_and_long_tables(spark, tmp_path):
+    kind = "page_id long, url string, html string"
+    arc, out = warc.fresh(spark, "arc"), warc.fresh(spark, "warc")
+    warc.write_arc(spark.createDataFrame([], kind), arc)
+    warc.write_warc(warc.convert(warc.read_arc(spark, arc), warc.read_arc(spark, arc, payloads=False)), out)
+    assert warc.read_warc(spark, out).count() == 0
+    many = spark.createDataFrame([(i, "u:", "t" * 1000) for i in range(4000)], kind).coalesce(1)
+    arc = str(tmp_path / "arc")
+    warc.write_arc(many, arc, file_bytes=2_000_000)  # 4 MB and more in rows of 1 MB: three files
+    sizes = [sum(len(r.get("block", b"")) for r in warc.parse_arc(f.read_bytes())) for f in (tmp_path / "arc").glob("*.gz")]
+    assert len(sizes) == 3 and max(sizes) < 3_200_000 and warc.read_arc(spark, arc).where("kind = 'response'").count() == 4000
+    assert all(next(warc.parse_arc(f.read_bytes()))["opening"] for f in (tmp_path / "arc").glob("*.gz"))
+
+
+def test_damage_is_reported_and_sound_records_are_kept(spark, tmp_path):
+    import gzip
+
+    rec = lambda n: b"http://a/%d 1.2.3.4 20010203040506 text/html 5\nhell%d\n" % (n, n)
+    long = b"http://" + b"v" * 600_000 + b" 1.2.3.4 20010203 text/html 2\nhi\n"
+    data = b"nonsense of some kind\nand more\n" + rec(1) + b"http://b 1.2.3.4 20010203040506 text/html 9999999\nshort\n" + rec(2) + long + b"x" * 200_000 + b"\n" + rec(3)
+    for packed in (data, gzip.compress(data[:50]) + gzip.compress(data[50:])):
+        got = list(warc.parse_arc(packed))
+        assert [r["block"] for r in got if "error" not in r] == [b"hell1", b"hell2", b"hi", b"hell3"]
+        assert [r["error"][:20] for r in got if "error" in r] == ["bad header line: non", "the declared length ", "bad header line: xxx"]
+    (tmp_path / "a.txt").write_bytes(data)
+    read, again = (warc.read_arc(spark, str(tmp_path), p) for p in (True, False))
+    assert warc.errors(read).agg(F.sum("n")).first()[0] == 3
+    assert warc.convert(read, again, skip_errors=True).count() == 4
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.convert(read, again).collect()
+    cut = gzip.compress(data)[:-9]
+    assert sum("error" not in r for r in warc.parse_arc(cut)) >= 2
 
 
 def test_arc_parser_follows_versions_and_lengths():
@@ -387,10 +427,18 @@ def test_arc_parser_follows_versions_and_lengths():
     rec = b"http://a b/c 1.2.3.4 20010203040506 text/html 5\nhello\n"
     got = list(warc.parse_arc(v1 + b"\n" + rec + rec))
     assert [g["url"] for g in got[1:]] == ["http://a b/c"] * 2 and got[1]["block"] == b"hello"
-    assert "error" in list(warc.parse_arc(v1 + b"\nhttp://a 1 2 t 99\nshort"))[-1]
+    assert "error" in list(warc.parse_arc(v1 + b"\nhttp://a 1.1.1.1 20010203 t 99\nshort"))[-1]
     assert "error" in list(warc.parse_arc(v1 + b"\nnonsense\n"))[-1]
 
 
+def test_dates_of_any_length(spark):
+    d = [(1, "u:", x, "response", 1, 0, "d", b"HTTP/1.0 200 OK\r\n\r\n", b"", None) for x in ("20010203040506", "200102030405", "20010203")]
+    kind = "version int, url string, date string, kind string, page_id long, payload_bytes long, payload_digest string, head binary, payload binary, error string"
+    r = spark.createDataFrame(d, kind)
+    said = sorted(re.search(rb"WARC-Date: (\S+)", bytes(x["record"]))[1] for x in warc.convert(r, r).collect())
+    assert said == [b"2001-02-03T00:00:00Z", b"2001-02-03T04:05:00Z", b"2001-02-03T04:05:06Z"]
+
+
 def test_crf_held_out_accuracy_and_cases(spark):
     crf, rng = html_crf.fitted(), random.Random(77)
     right = total = 0
