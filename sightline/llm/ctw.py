@@ -9,19 +9,28 @@ from the leaves up. Scoring mixes along the path: at each node the posterior sha
 its own estimate, else what the longer context says. A context never seen says 1/2.
 
 Training counts every (DEPTH + 1)-byte run of every training text. Counts are reduced in
-each task and then by run; trees are weighted in parts by the last two context bytes,
-and only depths 0 and 1 (at most 2 x 131,072 sums) meet on the driver. Tables go to the
-executors in blocks of at most `block_rows` runs or words: one pass over the texts
-for each block, each scoring the positions that are its own, so the tables' size in
-memory is bounded while the model is not cut.
+each task and then by run. Trees are weighted in parts, a part being the runs with the same
+last two context bytes; a part with more than 1 of SPLIT of all runs is split by the third
+byte, and its depth 2 (at most 257 runs a part, so 257 x SPLIT) joins depths 0 and 1 (at
+most 2 x 131,072 sums), which meet on the driver and go to the executors.
+
+Scoring reads the texts once, however large the model is. The commonest runs and words
+(2 x `often` of each at most) are on every executor with what they are worth; of
+all others a task gathers the distinct ones of a chunk of its texts, which travel to
+the part of the tree they belong to, and back to the chunk, where each text has kept the
+numbers of those it needs. What a part is asked is streamed past its tree, and a part
+asked for more than ASKED runs is dealt out to several tasks. Nothing that grows with the
+corpus is on the driver or broadcast.
 
 Base score: unigram over words with 0.1 added, as the contract has it; words are told
-apart by 64-bit numbers (two share one with a chance near 2^-60).
+apart by 64-bit numbers (two share one with a chance near 2^-60). bits_per_byte is the code
+length per byte, null for empty texts.
 
 Null and empty texts hold the end alone. Null doc_ids are training rows, as their text is
 no number. With no training text every decision has probability 1/2 and the base score is
-even over nothing known. Repeated rows are scored alike, a row each. Other columns are
-ignored.
+even over nothing known. Repeated rows are scored alike, a row each, and so are rows that
+share a doc_id by their own texts. A very long text is read whole by one task (some 60 bytes
+of memory for each of its own). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +46,11 @@ from pyspark.sql import functions as F
 from .common import read, stored
 from .textbits import _FOLD, word_numbers
 
-DEPTH, BLOCK_ROWS = 5, 8_000_000
-#: Bytes of text at a time, and how many runs a counting task holds before it hands them on.
-GULP, HELD = 3 << 20, 2_000_000
+DEPTH, OFTEN = 5, 1 << 19
+#: Bytes of text at a time; how many runs a task holds before it hands them on; bytes of text of a chunk.
+GULP, HELD, CHUNK = 3 << 20, 2_000_000, 64 << 20
+#: A part with over 1 of SPLIT of all runs is split; one asked for more than ASKED runs is dealt out.
+SPLIT, ASKED = 512, 20_000_000
 END, BITS = 256, 9
 _LOG_HALF = math.log(0.5)
 
@@ -244,169 +255,303 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _table(df: DataFrame, *names: str) -> list[np.ndarray]:
-    got = df.select(*names).toArrow()
-    return [got.column(c).to_numpy() for c in names]
+class Solver:
+    """The tops of the trees and which parts are split: what every task needs to weigh a part."""
+
+    def __init__(self, depth: int, tops: list):
+        self.depth, self.tops = depth, tops
+
+    def values(self, codes: np.ndarray, counts: np.ndarray, asked: np.ndarray, split: bool) -> np.ndarray:
+        """log10 probabilities of the runs asked, by the trees of the runs counted (sorted)."""
+        top = 3 if split else 2
+        layers = weighted(codes, counts, top, self.depth)[0] if len(codes) else [Layer(codes, counts)] * (self.depth - top + 1)
+        tops = self.tops if split else self.tops[1:]
+        return log10_probability(asked, [*layers, *tops], self.depth)
+
+
+#: Set in the numbers of split parts; above it stands the salt of a part that is dealt out.
+_SPLIT, _SALT = 1 << 24, 32
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(split, counted runs, their counts, asked runs, their chunks) of a few parts at a time,
+    from rows (part, asks, key, n) sorted by part and asks. A part's counts are together; what it
+    is asked may come in several turns, each with its counts."""
+
+    def turn(part, asks, key, n):
+        for split in (False, True):
+            own = (part & _SPLIT != 0) == split
+            yes, no = own & (asks == 1), own & (asks == 0)
+            if own.any():
+                order = np.argsort(key[no])
+                yield split, key[no][order], n[no][order], key[yes], n[yes]
+
+    held, size = [], 0
+    for batch in batches:
+        part, asks, key, n = (np.asarray(batch.column(i)) for i in range(4))
+        held.append((part, asks, key.view(np.uint64), n))
+        size += len(part)
+        if size < HELD:
+            continue
+        rows = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        last = rows[0] == rows[0][-1]  # this part may go on
+        counting = rows[1][-1] == 0
+        now, keep = (~last, last) if counting else (np.ones(len(last), bool), last & (rows[1] == 0))
+        yield from turn(*(c[now] for c in rows))
+        held, size = [tuple(c[keep] for c in rows)], 0
+    if held:
+        yield from turn(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 class Model:
-    """The fitted counts (in the shared folder) and the tops of the trees."""
+    """The fitted counts (in the shared folder), the tops of the trees and the commonest runs and words."""
 
-    def __init__(self, docs: DataFrame, depth: int = DEPTH, block_rows: int = BLOCK_ROWS):
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, often: int = OFTEN, split: int = SPLIT):
         if not 2 <= depth <= 6:
             raise ValueError("depth is 2 to 6: a run is a 64-bit number")
-        self.depth, self.block_rows = depth, block_rows
+        spark = docs.sparkSession
+        self.depth = depth
         counted = stored(corpus_counts(docs, depth), "counts")
         got = {r["kind"]: r for r in counted.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
         self.tokens, self.distinct = (int(got[1]["n"]), got[1]["rows"]) if 1 in got else (0, 0)
-        self.rows = got[0]["rows"] if 0 in got else 0
         self.runs, self.words = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
-        self.parted = self.runs.withColumn("part", F.shiftright("key", BITS).bitwiseAND(0xFFFF)).repartition("part")
-        self.layers = self._tops()
+        rows = got[0]["rows"] if 0 in got else 0
+        large = self.runs.groupBy(self._two().alias("two")).count().where(F.col("count") * split > rows)
+        self.hot = sorted(r["two"] for r in large.collect()) if depth > 2 else []  # at most `split` rows
+        self.solver = spark.sparkContext.broadcast(Solver(depth, self._tops()))
+        self.often = spark.sparkContext.broadcast((self._often_runs(often), self._often_words(often)))
+
+    @staticmethod
+    def _two() -> Column:
+        return F.shiftright("key", BITS).bitwiseAND(0xFFFF)
+
+    def _part(self) -> Column:
+        two = self._two()
+        return F.when(two.isin(self.hot), F.shiftright("key", BITS).bitwiseAND(0xFFFFFF) + _SPLIT).otherwise(two) if self.hot else two
+
+    def _counted(self) -> DataFrame:
+        return self.runs.select(self._part().cast("long").alias("part"), F.lit(0).cast("byte").alias("asks"), "key", "n")
 
     def _tops(self) -> list:
-        """Layers 1 and 0, from sums over the parts."""
+        """Layers 2 (of split parts), 1 and 0, from sums over the parts."""
         depth = self.depth
 
         def sums(batches):
-            codes, counts = _whole(batches)
-            if not len(codes):
-                return
-            _, (keys, logs) = weighted(codes, counts, 2, depth)
-            short, n = _reduced(codes, counts, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, short).view(np.int64)), pa.array(np.append(logs, n.astype(float))), pa.array(np.append(np.ones(len(keys), np.int8), np.zeros(len(short), np.int8)))], names=["key", "value", "log"])
-
-        got = self.parted.select("key", "n").mapInArrow(sums, "key long, value double, log byte").groupBy("log", "key").agg(F.sum("value").alias("value")).orderBy("log", "key")
-        key, value, log = _table(got, "key", "value", "log")
-        key = key.view(np.uint64)
-        if not len(key):
-            return [Layer(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
-        is_log = log == 1
-        one = Layer(key[~is_log], np.rint(value[~is_log]).astype(np.int64))
-        below = one.weigh(1, (key[is_log], value[is_log]))
+            for split, codes, counts, _, _ in _gathered(batches):
+                top = 3 if split else 2
+                _, (keys, logs) = weighted(codes, counts, top, depth)
+                short, n = _reduced(codes, counts, top - 1)
+                size = len(keys) + len(short)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, top - 1, np.int8)), pa.array(np.append(np.ones(len(keys), np.int8), np.zeros(len(short), np.int8))), pa.array(np.append(keys, short).view(np.int64)), pa.array(np.append(logs, n.astype(float)))],
+                    names=["depth", "log", "key", "value"],
+                )
+
+        parted = self._counted().repartition("part").sortWithinPartitions("part")
+        got = parted.mapInArrow(sums, "depth byte, log byte, key long, value double").groupBy("depth", "log", "key").agg(F.sum("value").alias("value")).toArrow()
+        d, log, key, value = (got.column(c).to_numpy() for c in ("depth", "log", "key", "value"))
+        key, none = key.view(np.uint64), (np.zeros(0, np.uint64), np.zeros(0))
+        of = {}
+        for level in (2, 1):
+            for kind in (0, 1):
+                at = (d == level) & (log == kind)
+                order = np.argsort(key[at])
+                of[level, kind] = (key[at][order], value[at][order])
+        two = Layer(of[2, 0][0], np.rint(of[2, 0][1]).astype(np.int64))
+        up = two.weigh(2, of[2, 1]) if len(two.codes) else none
+        short = _reduced(two.codes, two.counts, 1)
+
+        def added(a, b):
+            keys, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+            return keys, np.bincount(back, np.concatenate([a[1], b[1]]), len(keys))
+
+        codes, n = added(of[1, 0], short)
+        one = Layer(codes, np.rint(n).astype(np.int64))
+        if not len(codes):
+            return [two, one, Layer(*none)]
+        below = one.weigh(1, added(of[1, 1], up))
         zero = Layer(*_reduced(one.codes, one.counts, 0))
         zero.weigh(0, below)
-        return [one, zero]
+        return [two, one, zero]
+
+    @staticmethod
+    def _common(df: DataFrame, often: int) -> DataFrame:
+        """The rows with the largest n: 2 x often at most."""
+        rows = df.count()
+        if rows <= 2 * often:
+            return df
+        least = df.agg(F.percentile_approx("n", 1 - often / rows, 10_000)).first()[0]
+        while df.where(F.col("n") > least).count() > 2 * often:
+            least *= 2
+        return df.where(F.col("n") > least)
+
+    def _often_runs(self, often: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and log10 probabilities of the commonest runs."""
+        solver = self.solver
 
-    def run_blocks(self) -> Iterator[tuple[int, int, list, np.ndarray]]:
-        """(block, blocks, layers depth..0, log10 probabilities of the runs of full depth)."""
-        blocks, depth, tops = max(1, -(-self.rows // self.block_rows)), self.depth, self.layers
+        def solve(batches):
+            for split, codes, counts, asked, _ in _gathered(batches):
+                if len(asked):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(solver.value.values(codes, counts, asked, split))], names=["key", "value"])
+
+        common = self._common(self.runs, often).select(self._part().cast("long").alias("part"), F.lit(1).cast("byte").alias("asks"), "key", F.lit(0).cast("long").alias("n"))
+        rows = self._counted().unionByName(common).repartition("part").sortWithinPartitions("part", "asks")
+        return self._table(rows.mapInArrow(solve, "key long, value double"))
+
+    def _often_words(self, often: int) -> tuple[np.ndarray, np.ndarray]:
+        return self._table(self._common(self.words, often).select("key", F.col("n").cast("double").alias("value")))
+
+    @staticmethod
+    def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = df.toArrow()
+        return got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
+
+    def _answers(self, asks: DataFrame) -> DataFrame:
+        """chunk, kind, key, value of what chunks ask (chunk, kind, key)."""
+        solver = self.solver
+        runs = asks.where("kind = 0").select(self._part().cast("long").alias("part"), F.lit(1).cast("byte").alias("asks"), "key", F.col("chunk").alias("n"))
+        counted = self._counted()
+        many = runs.groupBy("part").count().where(F.col("count") > ASKED).select("part", F.ceil(F.col("count") / ASKED).cast("int").alias("salts"))
+        many = [(r["part"], r["salts"]) for r in many.collect()]  # no more than there are parts
+        if many:
+            table = F.broadcast(asks.sparkSession.createDataFrame(many, "part long, salts int"))
+            salts, salted = F.coalesce("salts", F.lit(1)), F.col("part") + F.shiftleft(F.col("salt").cast("long"), _SALT)
+            counted = counted.join(table, "part", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("part", salted)
+            runs = runs.join(table, "part", "left").withColumn("salt", F.pmod(F.hash("n"), salts)).withColumn("part", salted)
+            counted, runs = (d.drop("salt", "salts") for d in (counted, runs))
 
         def solve(batches):
-            codes, counts = _whole(batches)
-            if not len(codes):
-                return
-            layers, _ = weighted(codes, counts, 2, depth)
-            score = log10_probability(layers[0].codes, [*layers, *tops], depth)
-            for k, layer in enumerate(layers):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(layer.codes), depth - k, np.int8)), pa.array(layer.codes.view(np.int64)), pa.array(layer.counts), pa.array(score.astype(np.float32) if k == 0 else np.zeros(len(layer.codes), np.float32)), pa.array([r.tobytes() for r in layer.w] if k else [None] * len(layer.codes), pa.binary())],
-                    names=["depth", "key", "n", "score", "w"],
-                )
+            for split, codes, counts, asked, chunk in _gathered(batches):
+                if len(asked):
+                    new, back = np.unique(asked, return_inverse=True)
+                    value = solver.value.values(codes, counts, new, split)[back]
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.zeros(len(asked), np.int8)), pa.array(asked.view(np.int64)), pa.array(value)], names=["chunk", "kind", "key", "value"])
 
-        solved = stored(self.parted.select("key", "n").mapInArrow(solve, "depth byte, key long, n long, score float, w binary"), "tree")
-        solved = solved.withColumn("block", F.shiftright("key", BITS).bitwiseAND(0xFFFF) % blocks)
-        for block in range(blocks):
-            layers, score = [], np.zeros(0, np.float32)
-            for d in range(depth, 1, -1):
-                rows = solved.where((F.col("block") == block) & (F.col("depth") == d))
-                got = rows.select(*["key", "n", "score"] if d == depth else ["key", "n", "w"]).toArrow()
-                key = got.column("key").to_numpy().view(np.uint64)
-                order = np.argsort(key)
-                layer = Layer(key[order], got.column("n").to_numpy()[order])
-                if d == depth:
-                    score, layer.w = got.column("score").to_numpy()[order], np.ones((1, BITS), np.float32)
-                elif len(key):
-                    layer.w = np.frombuffer(b"".join(got.column("w").to_pylist()), np.float32).reshape(-1, BITS)[order]
-                layer.counts = None
-                layers.append(layer)
-            yield block, blocks, [*layers, *self.layers], score
-
-    def word_blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        blocks = max(1, -(-self.distinct // self.block_rows))
-        for block in range(blocks):
-            key, n = _table(self.words.where(F.pmod("key", F.lit(blocks)) == block), "key", "n")
-            yield block, blocks, key.view(np.uint64), n
+        rows = counted.unionByName(runs).repartition("part").sortWithinPartitions("part", "asks")
+        of_runs = rows.mapInArrow(solve, "chunk long, kind byte, key long, value double")
+        words = asks.where("kind = 1").select("chunk", "kind", "key").join(self.words, "key", "left")
+        return of_runs.unionByName(words.select("chunk", "kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("value")))
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, row, n_tokens, n_known, base_score, score: one row per row of docs."""
-        spark = docs.sparkSession
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-        parts = []
-        for run, word in _pairs(self.run_blocks(), self.word_blocks()):  # one block of each at a time on the driver
-            sent = spark.sparkContext.broadcast((self.depth, self.tokens, self.distinct, run, word))
-            parts.append(rows.mapInArrow(_scorer(sent), "doc_id long, row long, n_tokens long, n_known long, base_score double, score double"))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.union(part)
-        if len(parts) > 1:
-            out = out.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-        return out
-
+        """doc_id, n_bytes, n_tokens, n_known, base_score, score, bits_per_byte: one row per row of docs."""
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        read_ = stored(rows.mapInArrow(_reader(self.often, self.depth, self.tokens, self.distinct), _READ), "texts-read")
+        answers = self._answers(read_.where("kind < 2").select("chunk", "kind", "key"))
+        texts = read_.where("kind = 2").withColumn("value", F.lit(None).cast("double"))
+        both = texts.unionByName(answers, allowMissingColumns=True).select("chunk", "kind", "key", "value", *_TEXT)
+        dealt = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "key")
+        out = dealt.mapInArrow(_finisher(self.tokens, self.distinct), "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+        return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")))
 
-def _whole(batches) -> tuple[np.ndarray, np.ndarray]:
-    """All rows (key, n) of a partition, sorted by key."""
-    got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key, n = (np.concatenate(c) for c in zip(*got, strict=True))
-    key = key.view(np.uint64)
-    order = np.argsort(key)
-    return key[order], n[order]
 
+_TEXT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "runs": pa.binary(), "words": pa.binary()}
+#: What reading gives: kinds 0 and 1 ask for a run's and a word's worth; kind 2 is a text, the sums of
+#: what is common in it, and the places of the rest (32 bits each) among what its chunk asks for, in order.
+_READ = "chunk long, kind byte, key long, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double, runs binary, words binary"
 
-def _pairs(runs, words):
-    """Blocks of runs and of words side by side; None where one kind has no more."""
-    while True:
-        run, word = next(runs, None), next(words, None)
-        if run is None and word is None:
-            return
-        yield run, word
 
+def _reader(often, depth: int, tokens: int, distinct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _scorer(sent):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depth, tokens, distinct, run, word = sent.value
-        index, names = run and Index(run[2][0].codes), word and Index(word[2])
+        (keys, worth), (names, counts) = often.value
+        index, named = Index(keys), Index(names)
         even = math.log10(tokens + 0.1 * (distinct + 1))
-        for held, texts in _gulps(batches, 2, GULP):
+        chunk, first = TaskContext.get().partitionId() << 24, True
+        held: list[tuple] = []  # by gulp: columns of its texts, runs asked and their texts, words asked and theirs
+        size = bytes_ = 0
+
+        def close():
+            asked, places = [], []
+            for kind in (0, 1):
+                every = np.concatenate([h[1][kind][0] for h in held])
+                new, back = np.unique(every, return_inverse=True)
+                asked.append(new)
+                places.append(np.split(back.astype(np.int32), np.cumsum([len(h[1][kind][0]) for h in held])[:-1]))
+            n = sum(map(len, asked))
+            if n:
+                none = [pa.nulls(n, t) for t in _TEXT.values()]
+                kinds = np.repeat(np.array([0, 1], np.int8), [len(a) for a in asked])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(kinds), pa.array(np.concatenate(asked)), *none], names=["chunk", "kind", "key", *_TEXT])
+            for g, (cols, need) in enumerate(held):
+                n = len(cols[1])
+                lists = []
+                for kind in (0, 1):
+                    cut = np.searchsorted(need[kind][1], np.arange(n + 1))
+                    at = places[kind][g]
+                    lists.append(pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, 2, np.int8)), pa.nulls(n, pa.int64()), *cols, *lists], names=["chunk", "kind", "key", *_TEXT])
+
+        for group, texts in _gulps(batches, 1, GULP):
             codes, starts, raw = _runs(texts, depth)
-            total, base, known, count = (np.zeros(len(texts)) for _ in range(4))
-            if run:
-                block, blocks, layers, logs = run
-                own = np.flatnonzero((codes >> np.uint64(BITS) & np.uint64(0xFFFF)) % np.uint64(blocks) == np.uint64(block)) if blocks > 1 else slice(None)
-                mine = codes[own]
-                at = index.find(mine)
-                value = np.zeros(len(codes))
-                got = logs[at].astype(float) if len(logs) else np.zeros(len(mine))
-                lost = np.flatnonzero(at < 0)
-                if len(lost):
-                    new, back = np.unique(mine[lost], return_inverse=True)
-                    got[lost] = log10_probability(new, layers, depth)[back]
-                value[own] = got
-                total = np.add.reduceat(value, starts)
+            at = index.find(codes)
+            known = at >= 0
+            total = np.add.reduceat(np.where(known, worth[at], 0.0) if len(worth) else np.zeros(len(codes)), starts)
+            lost = np.flatnonzero(~known)
+            of = np.searchsorted(starts, lost, "right") - 1
+            asks = [(codes[lost].view(np.int64), of)]
+            del codes, at, known
             numbers, places = word_numbers(raw)
             begin = np.concatenate([[0], np.cumsum([len(t) + depth + 1 for t in texts])])
-            doc = np.searchsorted(begin, places, "right") - 1
-            if word:
-                block, blocks, keys, n = word
-                numbers = np.append(numbers, np.zeros(len(texts), np.uint64))
-                doc = np.append(doc, np.arange(len(texts)))
-                if blocks > 1:
-                    own = np.mod(numbers.view(np.int64), blocks) == block
-                    numbers, doc = numbers[own], doc[own]
-                at = names.find(numbers)
-                c = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(at))
-                base = np.bincount(doc, np.log10(c + 0.1) - even, len(texts))
-                known = np.bincount(doc, c > 0, len(texts))
-                count = np.bincount(doc, minlength=len(texts))
-            columns = [pa.concat_arrays([b.column(i) for b in held]) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score"])
-
-    return score
+            doc = np.append(np.searchsorted(begin, places, "right") - 1, np.arange(len(texts)))
+            numbers = np.append(numbers, np.zeros(len(texts), np.uint64))
+            order = np.argsort(doc, kind="stable")
+            numbers, doc = numbers[order], doc[order]
+            at = named.find(numbers)
+            known = at >= 0
+            c = counts[at[known]] if len(counts) else np.zeros(0)
+            base = np.bincount(doc[known], np.log10(c + 0.1) - even, len(texts)).astype(float)
+            found = np.bincount(doc[known], minlength=len(texts))
+            asks.append((numbers[~known].view(np.int64), doc[~known]))
+            count = np.bincount(doc, minlength=len(texts))
+            ids = pa.concat_arrays([b.column(0) for b in group])
+            cols = [ids, pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(count.astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(base), pa.array(total)]
+            held.append((cols, asks))
+            size, bytes_ = size + sum(len(a) for a, _ in asks), bytes_ + len(raw)
+            if size >= HELD or bytes_ >= CHUNK:
+                yield from close()
+                held.clear()
+                size = bytes_ = 0
+                chunk += 1
+        if held:
+            yield from close()
+
+    return run
+
+
+def _finisher(tokens: int, distinct: int):
+    even = math.log10(tokens + 0.1 * (distinct + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, values = None, {0: [], 1: []}, {}
+        for batch in batches:
+            chunk, kind, value = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(chunk)) + 1
+            for a, b in zip([0, *edges], [*edges, len(chunk)], strict=True):
+                if a == b:
+                    continue
+                if chunk[a] != now:
+                    now, parts, values = chunk[a], {0: [], 1: []}, {}
+                for k in (0, 1):
+                    parts[k].append(value[a:b][kind[a:b] == k])
+                texts = np.flatnonzero(kind[a:b] == 2) + a
+                if not len(texts):
+                    continue
+                if not values:  # all answers stand before the texts
+                    values = {k: np.concatenate(v) for k, v in parts.items()}
+                    words = np.log10(values[1] + 0.1) - even
+                rows = batch.slice(int(texts[0]), len(texts))
+                need = [[np.frombuffer(x, np.int32) for x in rows.column(i).to_pylist()] for i in (10, 11)]
+                known, base, score = (rows.column(i).to_numpy() for i in (7, 8, 9))
+                score = score + np.array([values[0][x].sum() for x in need[0]], float)
+                base = base + np.array([words[x].sum() for x in need[1]], float)
+                known = known + np.array([np.count_nonzero(values[1][x]) for x in need[1]], np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(4), rows.column(5), rows.column(6), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = Model(docs.where(~held_out()))
-    return model.score(docs).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return model.score(docs).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -328,10 +328,99 @@ def test_ctw_base_and_probability(docs, rows, empty):
         assert (one[d]["n_tokens"], one[d]["n_known"]) == (len(w), sum(x in c for x in w))
         assert math.isclose(one[d]["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
         assert one[d]["score"] <= 0
-    parts = ctw.Model(docs.where(~ctw.held_out()), depth=3, block_rows=500)  # many blocks, the same scores
-    two = {r["doc_id"]: r for r in parts.score(docs).collect()}
-    assert all(math.isclose(one[d]["score"], two[d]["score"], rel_tol=1e-6) and one[d]["n_known"] == two[d]["n_known"] for d in one)
-    assert ctw.Model(empty).score(docs).count() == len(rows)
+        assert one[d]["n_bytes"] == len((t or "").encode()) and (one[d]["bits_per_byte"] is None) == (not t)
+    assert ctw.Model(empty).score(docs).count() == len(rows) and model.score(empty).count() == 0
+    assert {round(r["score"] / r["n_tokens"], 6) for r in ctw.Model(empty).score(docs.where("text IS NULL OR text = ''")).collect()} == {round(math.log10(0.5), 6)}
+
+
+def naive_ctw(train, text, depth):
+    """log10 probability of text by the definition: recursion over contexts, decision by decision."""
+    seen = defaultdict(Counter)
+
+    def decisions(symbol):
+        bits = [symbol >> 8 & 1] if symbol == 256 else [0, *(symbol >> i & 1 for i in range(7, -1, -1))]
+        return [((i, tuple(bits[:i])), b) for i, b in enumerate(bits)]
+
+    def symbols(t):
+        data = b"\n" * depth + bytes(ord(chr(c).lower()) if 65 <= c <= 90 else c for c in t.encode())
+        return [(data[i - depth : i], data[i] if i < len(data) else 256) for i in range(depth, len(data) + 1)]
+
+    for t in train:
+        for context, s in symbols(t):
+            for key, bit in decisions(s):
+                for d in range(depth + 1):
+                    seen[key, context[depth - d :]][bit] += 1
+    children = defaultdict(set)
+    for key, context in seen:
+        if context:
+            children[key, context[1:]].add((key, context))
+
+    def kt(n0, n1):
+        return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+
+    memo = {}
+
+    def log_w(node):
+        if node not in memo:
+            own = kt(seen[node][0], seen[node][1])
+            memo[node] = own if len(node[1]) == depth else np.logaddexp(own, sum(log_w(c) for c in children[node])) - math.log(2)
+        return memo[node]
+
+    total = 0.0
+    for context, s in symbols(text):
+        for key, bit in decisions(s):
+            p = None
+            for d in range(depth, -1, -1):
+                node = (key, context[depth - d :])
+                n = seen[node] if node in seen else Counter()
+                if not n:
+                    p = 0.5
+                    continue
+                est = (n[bit] + 0.5) / (n[0] + n[1] + 1)
+                share = 1.0 if d == depth else math.exp(kt(n[0], n[1]) - math.log(2) - log_w(node))
+                p = share * est + (1 - share) * p if d < depth else est
+            total += math.log10(p)
+    return total
+
+
+def test_ctw_scores_by_definition_however_the_model_is_dealt(spark, monkeypatch):
+    rng = random.Random(31)
+    train = [some(rng, rng.randint(3, 25)) for _ in range(12)] + ["", "Ünï ABC", "aaaa aaaa"]
+    texts = [*train[:4], some(rng, 12), "quite unlike ß anything", "", None, "e " * 40]
+    fit = spark.createDataFrame([(t,) for t in train], "text string")
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, runs string")
+    want = {d: {i: naive_ctw(train, t or "", d) for i, t in enumerate(texts)} for d in (2, 4)}
+    for depth, often, split, held, asked, chunk in ((4, 1 << 19, 512, 2_000_000, 10**7, 1 << 26), (4, 0, 512, 50, 30, 100), (4, 20, 60, 64, 10**7, 300), (2, 5, 60, 40, 20, 1 << 26)):
+        for k, v in (("HELD", held), ("ASKED", asked), ("CHUNK", chunk), ("GULP", 60 if chunk < 1000 else 3 << 20)):
+            monkeypatch.setattr(ctw, k, v)
+        model = ctw.Model(fit, depth, often, split)
+        if split == 6 and depth > 2:
+            model.hot or pytest.fail("no part was split")
+        got = {r["doc_id"]: r["score"] for r in model.score(d).collect()}
+        assert got.keys() == want[depth].keys() and all(math.isclose(got[i], want[depth][i], rel_tol=1e-5, abs_tol=1e-6) for i in got), (depth, often, split)
+
+
+def test_parts_are_gathered_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((p + (ctw._SPLIT if p % 3 == 0 else 0), a, rng.randrange(1, 10**6), rng.randrange(9)) for p in range(12) for a in (0, 1) for _ in range(rng.choice((0, 1, 5, 40))))
+    rows.sort(key=lambda r: r[:2])
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + 7]], t) for i, t in enumerate((pa.int64(), pa.int8(), pa.int64(), pa.int64()))], names=list("pakn")) for k in range(0, len(rows), 7)]
+    part_of = {r[2]: r[0] for r in rows}
+    whole = {p: sorted(r[2] for r in rows if r[0] == p and r[1] == 0) for p, *_ in rows}
+    for held in (1, 20, 10**6):
+        monkeypatch.setattr(ctw, "HELD", held)
+        asked = Counter()
+        for split, codes, _, asks, _ in ctw._gathered(iter(batches)):
+            own = defaultdict(list)
+            for c in codes.tolist():
+                own[part_of[c]].append(c)
+            for a in asks.tolist():
+                assert own[part_of[a]] == whole[part_of[a]] and split == bool(part_of[a] & ctw._SPLIT)
+                asked[a] += 1
+            assert all(sorted(v) == whole[p] for p, v in own.items())
+        assert asked == Counter(r[2] for r in rows if r[1] == 1)
 
 
 def test_ctw_is_a_distribution_and_follows_its_definition():
