@@ -7,81 +7,104 @@ document whose words lie around fraction u of what the source gives gets the tim
 which that demand reaches u. Documents are then range-sorted by that position.
 
 Targets: the shares of share x all words by weight, none above max_repeat times its
-source's words; what is cut goes to the others by weight until none is above. A
+source's words; what is cut goes to the others by weight until none is above. Sources
+are ranked, and their targets found, as a table: the driver sees a few sums. A
 source's documents are taken in an order fixed by a hash of doc_id and text, whole
 passes first; in the last pass a document is taken if its middle word lies before the
 target, so taken words miss the target by at most half a document.
 
-Running sums are kept per source and hash bucket, so that a source with a third of all
-rows is summed by 1,024 tasks' worth of keys; the driver sees a row per source.
+Running sums are kept per source and hash bucket, of which there are as many as
+BUCKET_ROWS asks for, so that a source with a third of all rows is summed by many tasks.
+Rows alike in doc_id, text and source stand one behind the other and are taken each
+by its own middle word; a long row of them is dealt out before it is written one by one.
 
-Null texts have size 0; null sources are one source, last by code point. Identical
-rows are taken alike; rows that share a doc_id only are documents of their own. An
+Null texts have size 0; null sources are one source, last by code point. Rows that share a
+doc_id only are documents of their own. Very long texts are counted whole, in one row. An
 empty table, or one without words, gives targets of 0 and takes no words. Other columns
-pass through `mix`; a column named position is replaced.
+pass through `mix`, where rows alike in doc_id, text and source are all given the columns of
+one of them; a column named position is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, read, stored
 
-WEIGHTS, SHARE, MAX_REPEAT, BUCKETS = (5, 2, 1), 1.5, 2, 1024
+WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
 #: (first, last) of the schedule that goes with each of WEIGHTS: heavy sources evenly, light ones later and later.
 SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (0.0, 2.0))
-
-
-def targets(sizes: Mapping, weights: Mapping, total: float, max_repeat: float = MAX_REPEAT) -> dict:
-    """Words to take of each source: total by weight, none above max_repeat x size."""
-    out, open_, left = {}, {s for s in sizes if sizes[s] > 0}, float(total)
-    out |= {s: 0.0 for s in sizes if sizes[s] <= 0}
-    while open_:
-        unit = left / sum(weights[s] for s in open_)
-        full = {s for s in open_ if unit * weights[s] > max_repeat * sizes[s]}
-        if not full:
-            return out | {s: unit * weights[s] for s in open_}
-        out |= {s: float(max_repeat * sizes[s]) for s in full}
-        left -= sum(out[s] for s in full)
-        open_ -= full
-    return out
-
-
-def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_repeat: int = MAX_REPEAT, buckets: int = BUCKETS) -> DataFrame:
-    """One row per distinct (doc_id, text_key, source): rows (how many input rows it
-    stands for), size, source_size, target, copies, positions array<double> in [0, 1]."""
-    spark = docs.sparkSession
+#: Rows of a bucket, about; equal rows written by one task; sources up to which their table is sent to every executor.
+BUCKET_ROWS, EQUAL_ROWS, BROADCAST_SOURCES = 100_000, 4096, 100_000
+
+
+def targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """sizes (source, words) with target, and first and last of its schedule. Weights and
+    schedules repeat over sources in order of code points, null last."""
+    order = (F.col("source").isNull(), F.col("source"))
+    s = stored(sizes.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "sources")
+    before = s.groupBy("pid").count().withColumn("base", F.sum("count").over(W.orderBy("pid")) - F.col("count"))  # a row a partition
+    rank = F.row_number().over(W.partitionBy("pid").orderBy(*order)) - 1 + F.col("base")
+    of = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int"))
+    s = s.join(F.broadcast(before.drop("count")), "pid").withColumn("rank", rank)
+    s = stored(s.select("source", "words", of(weights).alias("weight"), of([a for a, _ in schedules]).alias("first"), of([z for _, z in schedules]).alias("last")), "ranked-sources")
+    cap, some = max_repeat * F.col("words"), F.col("words") > 0
+    total = share * float(s.agg(F.sum("words")).first()[0] or 0)
+    unit, full = 0.0, -1
+    while True:  # each round either caps another source or is the last
+        over = some & (unit * F.col("weight") > cap)
+        r = s.agg(F.count_if(over).alias("full"), F.sum(F.when(over, cap)).alias("capped"), F.sum(F.when(some & ~over, F.col("weight"))).alias("open")).first()
+        if r["full"] == full or not r["open"]:
+            break
+        full, unit = r["full"], (total - float(r["capped"] or 0)) / r["open"]
+    goal = F.when(~some, 0.0).when(unit * F.col("weight") > cap, cap).otherwise(unit * F.col("weight")).cast("double")
+    return s.select("source", F.col("words").alias("source_size"), goal.alias("target"), "first", "last")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """One row per distinct (doc_id, text_key, source): size, and rows, how many input rows it stands for."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_key"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
     )
-    sized = stored(sized.groupBy("doc_id", "text_key", "source").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")
-    found = {r["source"]: int(r["words"]) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).collect()}
-    order = sorted(found, key=lambda s: (s is None, s or ""))  # Python compares strings by code point
-    kind = {s: i % len(weights) for i, s in enumerate(order)}
-    goal = targets(found, {s: weights[kind[s]] for s in order}, share * sum(found.values()), max_repeat)
-    table = spark.createDataFrame(
-        [(s, found[s], goal[s], *map(float, schedules[kind[s]])) for s in order],
-        "s_source string, source_size long, target double, first double, last double",
-    )
+    return stored(sized.groupBy("doc_id", "text_key", "source").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One row per row of docs: doc_id, text_key, source, rows (how many are alike), size,
+    source_size, target, copies, positions array<double> in [0, 1]."""
+    return _planned(_sized(docs), weights, schedules, share, max_repeat)
+
+
+def _planned(sized: DataFrame, weights, schedules, share, max_repeat) -> DataFrame:
+    words = F.col("size") * F.col("rows")
+    goals = stored(targets(sized.groupBy("source").agg(F.sum(words).alias("words")), weights, schedules, share, max_repeat), "targets")
+    table = goals.withColumnRenamed("source", "s_source")
+    if goals.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
+    facts = sized.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
     h = F.xxhash64("doc_id", "text_key")
-    hashed = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned(h, 40), F.lit(buckets)))
-    sums = hashed.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
+    hashed = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned(h, 20), F.lit(max(1, -(-facts["n"] // BUCKET_ROWS)))))
+    sums = hashed.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "text_key").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        hashed.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0)))
+        hashed.withColumn("within", F.coalesce(F.sum(words).over(inside), F.lit(0)))
         .join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-        .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s_source")))  # a row per source
+        .join(table, F.col("source").eqNullSafe(F.col("s_source")))
     )
-    middle = (F.col("base") + F.col("within") + F.col("size") * F.col("rows") / 2).cast("double")
+    row = lambda lo, hi, step=1: F.explode(F.sequence(lo, hi, F.lit(step).cast("long")))
+    if (facts["most"] or 0) > EQUAL_ROWS:
+        placed = placed.withColumn("part", row(F.lit(0).cast("long"), F.col("rows") - 1, EQUAL_ROWS)).repartition("h", "part")
+        placed = placed.withColumn("row", row(F.col("part"), F.least(F.col("rows"), F.col("part") + EQUAL_ROWS) - 1))
+    else:
+        placed = placed.withColumn("row", row(F.lit(0).cast("long"), F.col("rows") - 1))
+    middle = (F.col("base") + F.col("within") + F.col("size") * (F.col("row") + 0.5)).cast("double")
     turns = F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda k: F.col("middle") + k * F.col("source_size"))
     a, d = F.col("first"), F.col("last") - F.col("first")
     mean = (F.col("first") + F.col("last")) / 2
@@ -99,20 +122,33 @@ def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = S
     )
 
 
-def mix(docs: DataFrame, **params) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed corpus: docs' rows, each once per copy taken, range-sorted by the
     extra column position. The only wide moves of the texts are the join with the
     plan and the range sort."""
     docs = docs.drop("position")
-    taken = plan(docs, **params).where("copies > 0").select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key"), F.col("source").alias("__sl_source"), F.col("positions").alias("__sl_at"))
-    keyed = docs.withColumn("__sl_text_key", F.xxhash64("text"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id")) & (F.col("__sl_text_key") == F.col("__sl_key")) & F.col("source").eqNullSafe(F.col("__sl_source"))
-    out = keyed.join(taken, on).select(*docs.columns, F.explode("__sl_at").alias("position"))
+    sized = _sized(docs)
+    planned = _planned(sized, weights, schedules, share, max_repeat).where("copies > 0")
+    key = ["__sl_id", "__sl_key", "__sl_source"]
+    taken = planned.select(F.col("doc_id").alias(key[0]), F.col("text_key").alias(key[1]), F.col("source").alias(key[2]), F.col("rows").alias("__sl_rows"), F.col("positions").alias("__sl_at"))
+    own = (F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source"))
+    on = own[0].eqNullSafe(F.col(key[0])) & (own[1] == F.col(key[1])) & own[2].eqNullSafe(F.col(key[2]))
+    spread = lambda d: d.select(*docs.columns, F.explode("__sl_at").alias("position"))
+    if sized.where("rows > 1").isEmpty():
+        out = spread(docs.join(taken, on))
+    else:  # of rows alike one stands for all, and is taken as often as they are together
+        taken = stored(taken, "taken")
+        alike = taken.where("__sl_rows > 1")
+        rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text", "source")]
+        one = docs.join(alike.select(*key).distinct(), on).withColumn("__sl_rest", F.xxhash64(*rest) if rest else F.lit(0))
+        one = one.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), "__sl_rest").alias("r")).select("r.*")
+        out = spread(docs.join(taken.where("__sl_rows = 1"), on)).unionByName(spread(one.join(alike, on)))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """The plan in training order, documents by their first position, those not taken last."""
     p = plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return p.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions"
-    )
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    out = p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions")
+    return out.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id")

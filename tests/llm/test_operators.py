@@ -100,30 +100,79 @@ def test_cuts():
         assert sum(s for _, s in c) == n and [a for a, _ in c] == list(np.cumsum([0] + [s for _, s in c])[:-1])
 
 
+def fair_shares(sizes, weights, total, most=2):
+    """Words to take of each source: by weight, none above `most` times its size, the excess reshared."""
+    out = {s: 0.0 for s in sizes}
+    left, open_ = total, {s for s in sizes if sizes[s] > 0}
+    while open_:
+        unit = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if unit * weights[s] > most * sizes[s]}
+        if not full:
+            return out | {s: unit * weights[s] for s in open_}
+        out |= {s: float(most * sizes[s]) for s in full}
+        left, open_ = left - sum(out[s] for s in full), open_ - full
+    return out
+
+
+def by_code_point(sources):
+    return sorted(sources, key=lambda s: (s is None, s or ""))
+
+
 def test_mixing(docs, rows, empty, spark):
     out = mixing.plan(docs).collect()
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(words(t))
+    want = fair_shares(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(by_code_point(sizes))}, 1.5 * sum(sizes.values()))
     by = defaultdict(list)
     for r in out:
         by[r["source"]].append(r)
         assert 0 <= r["copies"] <= 2 and len(r["positions"]) == r["copies"] and all(0 <= p <= 1 for p in r["positions"])
-    assert math.isclose(sum(x[0]["target"] for x in by.values()), 1.5 * sum(sizes.values()))
+    assert len(out) == len(rows)
     for s, part in by.items():
-        taken = sum(r["size"] * r["copies"] * r["rows"] for r in part)
-        assert part[0]["source_size"] == sizes[s] and abs(taken - part[0]["target"]) <= max(r["size"] for r in part)
-    mixed = [r["position"] for r in mixing.mix(docs).collect()]
-    assert mixed == sorted(mixed) and len(mixed) == sum(r["copies"] for r in out)
+        taken = sum(r["size"] * r["copies"] for r in part)
+        assert math.isclose(part[0]["target"], want[s]) and part[0]["source_size"] == sizes[s] and abs(taken - want[s]) <= max(r["size"] for r in part)
+    mixed = mixing.mix(docs).collect()
+    assert [r["position"] for r in mixed] == sorted(p for r in out for p in r["positions"])
+    assert Counter(r["doc_id"] for r in mixed) == Counter({r["doc_id"]: r["copies"] for r in out if r["copies"]})
     assert sorted(map(str, out)) == sorted(map(str, mixing.plan(docs).collect()))
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
-    twice = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s")], "doc_id long, text string, source string")
-    assert sum(r["rows"] for r in mixing.plan(twice).collect()) == 2 and mixing.mix(twice).count() in (2, 4)
 
 
-def test_targets_stop_at_twice_a_source():
-    t = mixing.targets({"a": 10, "b": 100, "c": 0}, {"a": 5, "b": 2, "c": 1}, 165)
-    assert t == {"a": 20.0, "b": 145.0, "c": 0.0}
+def test_mixing_follows_its_schedules(docs, rows):
+    """Positions by brute force: the words before a document's middle, run through the schedule."""
+    every, at = mixing.plan(docs).collect(), defaultdict(list)
+    for r in every:
+        at[r["source"]] += [(p, r["size"]) for p in r["positions"]]
+    for i, s in enumerate(by_code_point(at)):
+        first, last = mixing.SCHEDULES[[*by_code_point({r["source"] for r in every})].index(s) % 3]
+        target = next(r["target"] for r in every if r["source"] == s)
+        done = 0
+        for p, size in sorted(at[s]):
+            share = (first * p + (last - first) * p * p / 2) / ((first + last) / 2)
+            assert math.isclose(share * target, done + size / 2, abs_tol=max(z for _, z in at[s]) + 1), (i, s)
+            done += size
+
+
+def test_mixing_takes_equal_rows_one_by_one(spark, monkeypatch):
+    rows = [(1, "a b c d", "s", i % 3) for i in range(1000)] + [(2, " ".join(["x"] * 2000), "t", 0), (None, "p q", "t", 1), (None, "p q", "t", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
+    want = fair_shares({"s": 4000, "t": 2004}, {"s": 5, "t": 2}, 1.5 * 6004)
+    for equal in (4096, 64):
+        monkeypatch.setattr(mixing, "EQUAL_ROWS", equal)
+        out = mixing.plan(d).collect()
+        assert len(out) == 1003 and abs(sum(r["size"] * r["copies"] for r in out if r["source"] == "s") - want["s"]) <= 4
+        assert max(r["copies"] for r in out) <= 2
+        mixed = mixing.mix(d)
+        assert mixed.columns == ["doc_id", "text", "source", "position"]
+        assert Counter(r["doc_id"] for r in mixed.collect()) == Counter(dict(sum((Counter({r["doc_id"]: r["copies"]}) for r in out), Counter())))
+
+
+def test_targets_stop_at_twice_a_source(spark):
+    for sizes in ({"a": 10, "b": 100, "c": 0}, {"a": 1, "b": 2, "c": 3, "d": 400, None: 7}, {f"s{i:03}": (i * i) % 97 for i in range(60)}, {"a": 0}):
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, words long")).collect()}
+        want = fair_shares(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(by_code_point(sizes))}, 1.5 * sum(sizes.values()))
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s]) for s in want)
 
 
 def test_quality_counts(docs, rows, empty):
