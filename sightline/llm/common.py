@@ -84,11 +84,16 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list:
 
 
 def block_of(c: Column, bounds: list) -> Column:
-    """How many bounds lie below c (0 to len(bounds)), by binary descent in JVM expressions."""
+    """How many bounds lie below c (0 to len(bounds)), by binary search in JVM expressions:
+    nested conditions for a few bounds, steps through an array for many."""
     def pick(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(c <= F.lit(bounds[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
 
-    return pick(0, len(bounds)) if bounds else F.lit(0)
+    if len(bounds) <= 256:
+        return pick(0, len(bounds)) if bounds else F.lit(0)
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one constant
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) < c, F.lit(False)), at + step).otherwise(at))

@@ -196,23 +196,87 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept == {i for i, _ in clean}
 
 
-def test_syncmers(docs, rows, empty, spark):
-    fp = {r["doc_id"]: r["fp"] for r in syncmers.fingerprint(docs.select("doc_id", "text"), "text", "fp").collect()}
-    assert fp[0] == fp[1] == fp[2] == [] and fp[11] == fp[12] and len(fp[3]) == 1 and len(fp[5]) > 20
-    part = set(fp[11]) & set(fp[13])
-    assert len(part) > 0.7 * len(set(fp[11]))
-    ids = [(r["doc_id"], r["next_text"]) for r in syncmers.with_next(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), ["text"], blocks=5).collect()]
-    order = sorted(rows, key=lambda r: -r[0])
-    assert dict(ids) == {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+def symbols(t):
+    return [x for w in words(t) for x in ([w] if len(w) <= 32 else w)]
+
+
+def brute_anchors(t, h, k=syncmers.K, s=syncmers.S):
+    """Places of the closed syncmers among the symbols, by the rule; h: the hash of a run."""
+    w = symbols(t)
+    inner = [h(tuple(w[i : i + s])) for i in range(len(w) - s + 1)]
+    if len(w) < k:
+        return [0] * bool(w)
+    least = [min(inner[i : i + k - s + 1]) for i in range(len(w) - k + 1)]
+    out = [i for i, x in enumerate(least) if x in (inner[i], inner[i + k - s])]
+    return out or [min(range(len(least)), key=lambda i: (least[i], i))]
+
+
+def brute_likeness(a, b):
+    """a, b: (anchor, place) lists."""
+    first = lambda f: {h: p for h, p in sorted(f, reverse=True)}
+    x, y = first(a), first(b)
+    both = sorted((x[h], y[h]) for h in x.keys() & y.keys())
+    good = sum(len(both) == 1 or (i > 0 and both[i - 1][1] < q) or (i + 1 < len(both) and both[i + 1][1] > q) for i, (_, q) in enumerate(both))
+    return good / len(x.keys() | y.keys()) if x or y else 1.0
+
+
+def test_syncmers_by_brute_force(docs, rows, empty, spark):
+    texts = [(d, t) for d, t, _ in rows] + [(100, "x" * 70), (101, "a b c d e f g"), (102, "a b c d e f")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    fp = {r["doc_id"]: r["fp"] for r in syncmers.fingerprint(d, "text", "fp").collect()}
+    runs = sorted({tuple(symbols(t)[i : i + 2]) for _, t in texts for i in range(len(symbols(t)) - 1)})
+    hashed = spark.createDataFrame(runs, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h"))
+    h = {(r["a"], r["b"]): r["h"] for r in hashed.collect()}
+    for i, t in texts:
+        assert [x["at"] for x in fp[i]] == brute_anchors(t, h.get), i
+        assert not (len(symbols(t)) >= 7 and max(np.diff([x["at"] for x in fp[i]]), default=0) > syncmers.K - syncmers.S)  # the window guarantee
+    assert fp[0] == fp[1] == fp[2] == [] and fp[11] == fp[12]
+    assert len({x["anchor"] for x in fp[11]} & {x["anchor"] for x in fp[13]}) > 0.7 * len({x["anchor"] for x in fp[11]})
     assert syncmers.fingerprint(empty, "text", "fp").count() == 0
-    assert syncmers.with_next(empty.select("doc_id", "text", F.xxhash64("text").alias("tie")), ["text"]).count() == 0
 
 
-def test_syncmer_anchors_follow_the_rule():
-    k, s = syncmers.K, syncmers.S
-    inner = [random.Random(i).random() for i in range(200)]
-    chosen = [i for i in range(len(inner) - (k - s)) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
-    assert max(b - a for a, b in zip(chosen, chosen[1:], strict=False)) <= k - s  # the window guarantee
+def test_likeness_matches_by_position(spark):
+    rng = random.Random(8)
+    lists = [[(rng.randrange(30), p) for p in sorted(rng.sample(range(99), rng.randrange(20)))] for _ in range(60)] + [[], [], [(1, 2)], [(1, 5)], [(1, 0), (2, 1)], [(2, 0), (1, 1)]]
+    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(lists, lists[1:] + lists[:1], strict=True))] + [(1000, lists[0], lists[0])]
+    fp = "array<struct<anchor:int,at:int>>"
+    d = syncmers.with_likeness(spark.createDataFrame(pairs, f"i long, a {fp}, b {fp}"), "a", "b", "near")
+    assert d.columns == ["i", "a", "b", "near"]
+    got = {r["i"]: r["near"] for r in d.collect()}
+    assert all(math.isclose(got[i], brute_likeness(a, b)) for i, a, b in pairs) and got[1000] == 1.0
+
+
+def test_edited_texts_by_brute_force(spark, rows, empty):
+    rng = random.Random(13)
+    table = [(d, t or "") for d, t, _ in rows] + [(None, "nobody's text here"), (None, "another text of nobody"), (11, "shares an id")] + [(40, "the same again and again")] * 300 + [(41, f"one id, many texts {i}") for i in range(300)]
+    rng.shuffle(table)
+    d = spark.createDataFrame(table, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    tie = {(r["doc_id"], r["text"]): r["tie"] for r in d.collect()}
+    order = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r]))
+    want = Counter()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want[i, len(t), t[: len(t) - half] + n[:half]] += 1
+    one = None
+    for chars in (1 << 25, 2000, 300):
+        got = syncmers.edited_and_next(d, chars).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == want, chars
+        rest = sorted((str(r["doc_id"]), r["edited"], r["near_edited"], r["near_next"], str(r["fp"]), str(r["edited_fp"])) for r in got)
+        one = one or rest
+        assert rest == one
+    for r in got:
+        pick = lambda f: [(x["anchor"], x["at"]) for x in f]
+        assert math.isclose(r["near_edited"], brute_likeness(pick(r["fp"]), pick(r["edited_fp"])))
+    assert syncmers.edited_and_next(empty.select("doc_id", "text", F.xxhash64("text").alias("tie"))).count() == 0
+
+
+def test_blocks_by_many_bounds(spark):
+    from sightline.llm.common import block_of
+
+    bounds = sorted(random.Random(2).sample(range(-5000, 5000), 700))
+    for n in (1, 3, 255, 256, 257, 700):
+        got = spark.range(-5100, 5100, 7).select("id", block_of(F.col("id"), bounds[:n]).alias("b")).collect()
+        assert all(r["b"] == sum(x < r["id"] for x in bounds[:n]) for r in got)
 
 
 def brute_groups(rows, percent=85):
