@@ -14,8 +14,8 @@ last two context bytes; a part with more than 1 of SPLIT of all runs is split by
 byte, and its depth 2 (at most 257 runs a part, so 257 x SPLIT) joins depths 0 and 1 (at
 most 2 x 131,072 sums), which meet on the driver and go to the executors.
 
-Scoring reads the texts once, however large the model is. The commonest runs and words
-(2 x `often` of each at most) are on every executor with what they are worth; of
+Scoring reads the texts once, however large the model is. The commonest SHARE of runs and of
+words (`often` of each at most) are on every executor with what they are worth; of
 all others a task gathers the distinct ones of a chunk of its texts, which travel to
 the part of the tree they belong to, and back to the chunk, where each text has kept the
 numbers of those it needs. What a part is asked is streamed past its tree, and a part
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import read, stored
 from .textbits import _FOLD, word_numbers
 
-DEPTH, OFTEN = 5, 1 << 19
+DEPTH, OFTEN, SHARE = 5, 1 << 19, 1 / 8
 #: Bytes of text at a time; how many runs a task holds before it hands them on; bytes of text of a chunk.
 GULP, HELD, CHUNK = 3 << 20, 2_000_000, 64 << 20
 #: A part with over 1 of SPLIT of all runs is split; one asked for more than ASKED runs is dealt out.
@@ -376,13 +376,13 @@ class Model:
 
     @staticmethod
     def _common(df: DataFrame, often: int) -> DataFrame:
-        """The rows with the largest n: 2 x often at most."""
+        """The rows with the largest n: about SHARE of all, often at most."""
         rows = df.count()
-        if rows <= 2 * often:
+        if not rows:
             return df
-        least = df.agg(F.percentile_approx("n", 1 - often / rows, 10_000)).first()[0]
-        while df.where(F.col("n") > least).count() > 2 * often:
-            least *= 2
+        least = df.agg(F.percentile_approx("n", 1 - min(SHARE, often / rows), 10_000)).first()[0]
+        while df.where(F.col("n") > least).count() > often:  # the sketch is off by a little
+            least += 1 + least // 16
         return df.where(F.col("n") > least)
 
     def _often_runs(self, often: int) -> tuple[np.ndarray, np.ndarray]:
