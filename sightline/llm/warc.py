@@ -44,7 +44,7 @@ from .common import delete, fresh, read, stored
 
 LEAST, DATE = 100, "20000101000000"
 #: Bytes of a row of records, about; rows of a file at most; bytes of a file before compression, about.
-ROW, PER_FILE, FILE_BYTES = 1 << 20, 512, 128 << 20
+ROW, PER_FILE, FILE_BYTES = 128 << 10, 1024, 128 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: Repeated digests up to this many (some 300 bytes each) are sent to every executor.
 BROADCAST_DIGESTS = 100_000
