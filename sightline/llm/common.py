@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, deleted when the driver exits."""
+    """A new path in the shared folder, deleted by `delete` or when the driver exits."""
     path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
@@ -59,6 +60,7 @@ def _clean() -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _made[:] = [m for m in _made if m[1] != path]
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -97,3 +99,33 @@ def block_of(c: Column, bounds: list) -> Column:
     held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one constant
     steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) < c, F.lit(False)), at + step).otherwise(at))
+
+
+def range_blocks(df: DataFrame, n: int, rows: int, key: str, tie: str) -> tuple[DataFrame, list]:
+    """(df with block: about n ranges of key (nulls first), in order, and the keys split further). A key with more
+    than two blocks' rows is a block of its own, split into several by ranges of tie, a 64-bit hash."""
+    much, many = 2 * rows // n + 100, []
+    if n > 1:
+        hot = df.groupBy(key).count().where(F.col("count") > much)
+        many = [(r[key], min(1 << 20, -(-n * r["count"] // rows))) for r in hot.collect()]  # at most n / 2 rows
+    own = [i for i, _ in many if i is not None]
+    bounds = sorted({*(range_bounds(df, key, n) if n > 1 else ()), *own, *(i - 1 for i in own)})
+    block = F.when(F.col(key).isNull(), -1).otherwise(block_of(F.col(key), bounds)).cast("long")
+    df = df.withColumn("block", F.shiftleft(block, 20))
+    if many:
+        table = F.broadcast(df.sparkSession.createDataFrame(many, "m_key long, m_parts int"))
+        part = F.least(F.col("m_parts") - 1, F.floor((F.col(tie) / 2.0**64 + 0.5) * F.col("m_parts")))
+        df = df.join(table, F.col(key).eqNullSafe(F.col("m_key")), "left").withColumn("block", F.col("block") + F.coalesce(part, F.lit(0))).drop("m_key", "m_parts")
+    return df, many
+
+
+def written_order(docs: DataFrame) -> Column | None:
+    """The place of each row in the files that a Spark job wrote, in order of its partitions, as a long; None
+    if docs isn't read from such files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    file = number(r"^part-(\d+)") * 4096 + F.least(number(r"-c(\d+)\."), F.lit(4095))
+    return F.shiftleft(file, 32) + F.col("_metadata.row_index")

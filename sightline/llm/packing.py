@@ -4,11 +4,12 @@ A document of n tokens (its ids, then the end id) is cut into pieces of 2048 and
 then one piece for every binary digit of the rest, longest first. Every piece is a
 sequence of its own: no sequence crosses documents, and as each length is a power
 of two none is padded. Sequences are numbered so that equal lengths lie together,
-the buckets from which batches of one length are drawn.
+the buckets from which batches of one length are drawn; inside a bucket they follow doc_id, or a
+given order (the curriculum's, in the pipeline).
 
 Null or empty texts hold the end id alone. Rows that repeat a doc_id are documents
 of their own, told apart by a fingerprint of the text; whole rows repeated get
-sequences of their own too. Other columns of the input are ignored by `pieces`.
+sequences of their own too. Other columns of the input are ignored, but for the order's.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import block_of, range_bounds, stored
+from .common import range_blocks, stored
 
 MAX_LEN, END_ID = 2048, 1
+#: Pieces of a range block, about; blocks and lengths up to which their numbers are sent to every executor.
+BLOCK_PIECES, BROADCAST_BLOCKS = 250_000, 100_000
 #: Words kept with their ids in each Python worker, about 120 MB.
 CACHE = 600_000
 #: The vocabulary's own word rule, written out for ASCII and Latin-1 letters; a text with other characters goes to the library whole.
@@ -89,9 +92,9 @@ def cuts(n: int, max_len: int = MAX_LEN) -> Iterator[tuple[int, int]]:
         step //= 2
 
 
-def pieces(docs: DataFrame, folder: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """Pieces with their ids: doc_id, text_key, copy, start, length, ids_crc32,
-    doc_tokens and, with with_ids, ids array<int>. One pass, no shuffle."""
+def pieces(docs: DataFrame, folder: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True, order: Column | None = None) -> DataFrame:
+    """Pieces with their ids: doc_id, text_key, at (the order given, else doc_id), start, length,
+    ids_crc32, doc_tokens and, with with_ids, ids array<int>. One pass, no shuffle."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
 
@@ -99,44 +102,49 @@ def pieces(docs: DataFrame, folder: str | None = None, max_len: int = MAX_LEN, e
         import numpy as np
 
         encode, end = encoder(folder), end_id.to_bytes(4, "little")
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, key, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encode.ids(text or "") + end
                 n = len(ids) // 4
                 for at, size in cuts(n, max_len):
                     part = ids[4 * at : 4 * (at + size)]
-                    out.append((doc, key, at, size, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype("i4"),) * with_ids))
+                    out.append((doc, key, place, at, size, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype("i4"),) * with_ids))
             cols = list(zip(*out, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    kinds = "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, kinds)
-
-
-def pack(docs: DataFrame, folder: str | None = None, max_len: int = MAX_LEN, blocks: int = 256, with_ids: bool = False) -> DataFrame:
-    """Every piece as a sequence: the columns of `pieces` with sequence_id (0, 1, ...,
-    longest bucket first, then by doc_id and start) and offset 0. The numbers come
-    from counts by length and range block, a table of bounded size, and a row number
-    inside each block, so no task sees more than a block. An empty input gives no rows."""
-    spark = docs.sparkSession
-    found = stored(pieces(docs, folder, max_len, with_ids=with_ids), "pieces")
-    bounds = range_bounds(found, "doc_id", blocks)
-    found = found.withColumn("block", block_of(F.col("doc_id"), bounds))
-    counts = sorted(found.groupBy("length", "block").count().collect(), key=lambda r: (-r["length"], r["block"]))
-    base, total = [], 0
-    for r in counts:  # at most blocks x log2(max_len) + 1 rows
-        base.append((r["length"], r["block"], total))
-        total += r["count"]
-    base = spark.createDataFrame(base, "length long, block int, base long")
-    order = W.partitionBy("length", "block").orderBy(F.col("doc_id").asc_nulls_first(), "text_key", "start", "ids_crc32")
+    doc = F.col("doc_id").cast("long")
+    kinds = "doc_id long, text_key long, at long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    return docs.select(doc, F.xxhash64("text").alias("text_key"), (doc if order is None else order.cast("long")).alias("at"), "text").mapInArrow(run, kinds)
+
+
+def pack(docs: DataFrame, folder: str | None = None, max_len: int = MAX_LEN, with_ids: bool = False, order: Column | None = None) -> DataFrame:
+    """Every piece as a sequence: the columns of `pieces` with sequence_id (0, 1, ..., longest
+    bucket first, then by the order, a long column of docs, or doc_id, and start) and offset 0. The
+    numbers come from counts by length and range block, of which there are as many as
+    BLOCK_PIECES asks for, and a row number inside each block. An empty input gives no rows."""
+    found = stored(pieces(docs, folder, max_len, with_ids=with_ids, order=order), "pieces")
+    rows = found.count()
+    found, _ = range_blocks(found, max(1, -(-rows // BLOCK_PIECES)), max(1, rows), "at", "text_key")
+    counts = stored(found.groupBy("length", "block").count(), "block-counts")
+    before, total = [], 0
+    for r in sorted(counts.groupBy("length").agg(F.sum("count").alias("n")).collect(), key=lambda r: -r["length"]):  # a row a power of two
+        before.append((r["length"], total))
+        total += r["n"]
+    if not before:
+        return found.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).drop("block", "text_key", "at")
+    start = F.broadcast(found.sparkSession.createDataFrame(before, "length long, bucket long"))
+    inside = F.sum("count").over(W.partitionBy("length").orderBy("block")) - F.col("count")
+    base = counts.join(start, "length").select("length", "block", (F.col("bucket") + inside).alias("base"))
+    base = F.broadcast(base) if counts.count() <= BROADCAST_BLOCKS else base
+    order_ = W.partitionBy("length", "block").orderBy(F.col("at").asc_nulls_first(), "doc_id", "text_key", "start", "ids_crc32")
     return (
-        found.withColumn("rank", F.row_number().over(order))
-        .join(F.broadcast(base), ["length", "block"])
+        found.withColumn("rank", F.row_number().over(order_))
+        .join(base, ["length", "block"])
         .withColumn("sequence_id", F.col("base") + F.col("rank") - 1)
         .withColumn("offset", F.lit(0).cast("long"))
-        .drop("base", "rank", "block", "text_key")
+        .drop("base", "rank", "block", "text_key", "at")
     )
 
 
