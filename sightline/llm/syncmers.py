@@ -28,17 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import block_of, range_bounds, read, stored
+from .common import range_blocks, read, stored
 
 K, S = 7, 2
 #: Code points of a range block, about, and how many blocks there are at most (beyond, blocks grow and their sorts spill).
-BLOCK_CHARS, BLOCKS = 32 << 20, 1 << 16
+BLOCK_CHARS, BLOCKS = 8 << 20, 1 << 16
 #: Words up to 32 code points, else single code points.
 SYMBOL_RE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,32}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 
 
 def fingerprint(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """df with the column out: array<struct<anchor int, at int>> of the column text."""
+    """df with the column out: array<long> of the anchors of the column text, each with its place
+    among the symbols in the low 32 bits."""
     n, span = f"_{out}_n", k - s
     hashes, inner, runs = f"_{out}_h", f"_{out}_s", f"_{out}_r"
     more = lambda a, count: "".join(f", get({a}, i + {j})" for j in range(1, count))
@@ -51,30 +52,32 @@ def fingerprint(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> D
         .withColumn(runs, F.expr(f"CASE WHEN {n} >= {k} THEN filter(sequence(0, {n} - {k}), i -> {edge}) END"))
         .withColumn(
             out,
-            F.expr(f"""CASE WHEN {n} = 0 THEN cast(array() AS array<struct<anchor: int, at: int>>)
-              WHEN {n} < {k} THEN array(struct(hash({hashes}) AS anchor, 0 AS at))
-              WHEN size({runs}) > 0 THEN transform({runs}, i -> struct(hash(get({hashes}, i){more(hashes, k)}) AS anchor, i AS at))
-              ELSE transform(array(array_min(transform(sequence(0, {n} - {k}), i -> struct({least} AS m, i AS i, hash(get({hashes}, i){more(hashes, k)}) AS h)))), x -> struct(x.h AS anchor, x.i AS at)) END"""),
+            F.expr(f"""CASE WHEN {n} = 0 THEN cast(array() AS array<bigint>)
+              WHEN {n} < {k} THEN array(shiftleft(cast(hash({hashes}) AS bigint), 32))
+              WHEN size({runs}) > 0 THEN transform({runs}, i -> shiftleft(cast(hash(get({hashes}, i){more(hashes, k)}) AS bigint), 32) | i)
+              ELSE transform(array(array_min(transform(sequence(0, {n} - {k}), i -> struct({least} AS m, i AS i, hash(get({hashes}, i){more(hashes, k)}) AS h)))), x -> shiftleft(cast(x.h AS bigint), 32) | x.i) END"""),
         )
         .drop(hashes, n, inner, runs)
     )
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with the column out: how alike the fingerprints a and b are, 0 to 1."""
+    """df with the column out: how alike the fingerprints a and b are, 0 to 1. All steps work on
+    longs: anchor in the high 32 bits, then the side, then the place."""
     one, two, both, pairs = (f"_{out}_{x}" for x in ("a", "b", "all", "pairs"))
-    firsts = lambda c, side: F.expr(f"transform(filter({c}, (x, i) -> i = 0 OR get({c}, i - 1).anchor <> x.anchor), x -> struct(x.anchor AS h, {side} AS side, x.at AS at))")
-    d = df.withColumn(one, F.array_sort(a)).withColumn(two, F.array_sort(b))
-    d = d.withColumn(one, firsts(one, 0)).withColumn(two, firsts(two, 1)).withColumn(both, F.array_sort(F.concat(one, two)))
-    d = d.withColumn(pairs, F.expr(f"array_sort(filter(transform({both}, (x, i) -> CASE WHEN get({both}, i + 1).h = x.h THEN struct(x.at AS a, get({both}, i + 1).at AS b) END), p -> p IS NOT NULL))"))
-    in_order = F.expr(f"size(filter({pairs}, (p, i) -> size({pairs}) = 1 OR coalesce(get({pairs}, i - 1).b < p.b, false) OR coalesce(get({pairs}, i + 1).b > p.b, false)))")
+    firsts = lambda c: F.expr(f"filter({c}, (x, i) -> i = 0 OR shiftright(get({c}, i - 1), 32) <> shiftright(x, 32))")
+    d = df.withColumn(one, F.array_sort(a)).withColumn(two, F.array_sort(b)).withColumn(one, firsts(one)).withColumn(two, firsts(two))
+    d = d.withColumn(both, F.array_sort(F.concat(one, F.expr(f"transform({two}, x -> x | 2147483648L)"))))
+    d = d.withColumn(pairs, F.expr(f"array_sort(transform(filter(sequence(0, size({both})), i -> shiftright(get({both}, i + 1), 32) = shiftright(get({both}, i), 32)), i -> shiftleft(get({both}, i) & 2147483647L, 32) | (get({both}, i + 1) & 2147483647L)))"))
+    low = lambda x: f"({x} & 4294967295L)"
+    in_order = F.expr(f"size(filter({pairs}, (p, i) -> size({pairs}) = 1 OR coalesce({low(f'get({pairs}, i - 1)')} < {low('p')}, false) OR coalesce({low(f'get({pairs}, i + 1)')} > {low('p')}, false)))")
     either = F.size(both) - F.size(pairs)
     return d.withColumn(out, F.when(either == 0, 1.0).otherwise(in_order / F.greatest(either, F.lit(1))).cast("double")).drop(one, two, both, pairs)
 
 
 def as_text(a: Column) -> Column:
     """Anchors as hexadecimal numbers of eight digits, in order."""
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x["anchor"].cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    return F.array_join(F.transform(a, lambda x: F.substring(F.lower(F.lpad(F.hex(x), 16, "0")), 1, 8)), "")
 
 
 def with_next(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CHARS, add: Callable = lambda d: d) -> DataFrame:
@@ -87,13 +90,10 @@ def with_next(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CHAR
     spark, key = docs.sparkSession, ["doc_id", "tie"]
     facts = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")).first()
     n = min(BLOCKS, max(1, -(-(facts["chars"] or 0) // block_chars)))
-    much = 2 * facts["rows"] // n + 100
-    many, twins = [], None
-    if n > 1:
-        hot = docs.groupBy("doc_id").count().where(F.col("count") > much)
-        many = [(r["doc_id"], min(1 << 20, -(-n * r["count"] // facts["rows"]))) for r in hot.collect()]  # at most n / 2 rows
+    rows, twins = facts["rows"], None
+    docs, many = range_blocks(docs, n, rows, "doc_id", "tie")
     if many:
-        alike = docs.groupBy(F.col("doc_id").alias("a_id"), F.col("tie").alias("a_tie")).count().where(F.col("count") > much)
+        alike = docs.groupBy(F.col("doc_id").alias("a_id"), F.col("tie").alias("a_tie")).count().where(F.col("count") > 2 * rows // n + 100)
         alike = stored(alike, "equal-rows")  # at most n / 2 rows
         if not alike.isEmpty():
             docs = docs.withColumn("times", F.lit(1).cast("long"))
@@ -101,15 +101,7 @@ def with_next(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CHAR
             some = F.broadcast(alike)
             twins = docs.join(some, same).dropDuplicates(key)
             docs = docs.join(some, same, "left_anti").unionByName(twins.drop("a_id", "a_tie", "count"))
-            twins = twins.withColumn("times", F.col("count") - 1).drop("a_id", "a_tie", "count")
-    own = [i for i, _ in many if i is not None]
-    bounds = sorted({*(range_bounds(docs, "doc_id", n) if n > 1 else ()), *own, *(i - 1 for i in own)})
-    block = F.when(F.col("doc_id").isNull(), -1).otherwise(block_of(F.col("doc_id"), bounds)).cast("long")
-    docs = docs.withColumn("block", F.shiftleft(block, 20))
-    if many:
-        table = F.broadcast(spark.createDataFrame(many, "m_id long, parts int"))
-        part = F.least(F.col("parts") - 1, F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("parts")))
-        docs = docs.join(table, F.col("doc_id").eqNullSafe(F.col("m_id")), "left").withColumn("block", F.col("block") + F.coalesce(part, F.lit(0))).drop("m_id", "parts")
+            twins = twins.withColumn("times", F.col("count") - 1).drop("a_id", "a_tie", "count", "block")
     tops = sorted(docs.groupBy("block").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), "tie")).alias("top")).collect(), key=lambda r: r["block"])
     if not tops:
         return add(docs).drop("block", "tie").withColumns({f"next_{c}": F.col(c) for c in columns})

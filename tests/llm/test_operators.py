@@ -94,6 +94,26 @@ def test_packing_is_a_round_trip(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_in_many_blocks_and_in_a_given_order(spark, monkeypatch):
+    rng = random.Random(41)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, some(rng, rng.randint(0, 40)), rng.randrange(10**6)) for i in range(300)] + [(5, "twice", 1), (5, "twice", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, place long")
+    whole = sorted(map(tuple, packing.pack(d).drop("offset").collect()), key=str)
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 40)
+    assert sorted(map(tuple, packing.pack(d).drop("offset").collect()), key=str) == whole
+    out = sorted(packing.pack(d, order=F.col("place")).collect(), key=lambda r: r["sequence_id"])
+    assert [r["sequence_id"] for r in out] == list(range(len(out))) and [r["length"] for r in out] == sorted((r["length"] for r in out), reverse=True)
+    pieces = packing.pieces(d, order=F.col("place")).select("doc_id", "start", "ids_crc32", "at").collect()
+    at = {(r["doc_id"], r["start"], r["ids_crc32"], r["at"]) for r in pieces}
+    for size in {r["length"] for r in out}:
+        got = [(r["doc_id"], r["start"], r["ids_crc32"]) for r in out if r["length"] == size]
+        ways = [{a for (*k, a) in at if tuple(k) == g} for g in got]
+        last = -1
+        for w in ways:  # some choice of places never falls
+            last = min((a for a in w if a >= last), default=None)
+            assert last is not None
+
+
 def test_cuts():
     for n in (1, 2, 5, 2047, 2048, 2049, 10_000):
         c = list(packing.cuts(n))
@@ -211,6 +231,11 @@ def brute_anchors(t, h, k=syncmers.K, s=syncmers.S):
     return out or [min(range(len(least)), key=lambda i: (least[i], i))]
 
 
+def unpacked(fp):
+    """(anchor, place) of each long."""
+    return [(x >> 32, x & 0xFFFFFFFF) for x in fp]
+
+
 def brute_likeness(a, b):
     """a, b: (anchor, place) lists."""
     first = lambda f: {h: p for h, p in sorted(f, reverse=True)}
@@ -228,19 +253,21 @@ def test_syncmers_by_brute_force(docs, rows, empty, spark):
     hashed = spark.createDataFrame(runs, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h"))
     h = {(r["a"], r["b"]): r["h"] for r in hashed.collect()}
     for i, t in texts:
-        assert [x["at"] for x in fp[i]] == brute_anchors(t, h.get), i
-        assert not (len(symbols(t)) >= 7 and max(np.diff([x["at"] for x in fp[i]]), default=0) > syncmers.K - syncmers.S)  # the window guarantee
+        places = [p for _, p in unpacked(fp[i])]
+        assert places == brute_anchors(t, h.get), i
+        assert not (len(symbols(t)) >= 7 and max(np.diff(places), default=0) > syncmers.K - syncmers.S)  # the window guarantee
     assert fp[0] == fp[1] == fp[2] == [] and fp[11] == fp[12]
-    assert len({x["anchor"] for x in fp[11]} & {x["anchor"] for x in fp[13]}) > 0.7 * len({x["anchor"] for x in fp[11]})
+    of = lambda i: {h for h, _ in unpacked(fp[i])}
+    assert len(of(11) & of(13)) > 0.7 * len(of(11))
     assert syncmers.fingerprint(empty, "text", "fp").count() == 0
 
 
 def test_likeness_matches_by_position(spark):
     rng = random.Random(8)
-    lists = [[(rng.randrange(30), p) for p in sorted(rng.sample(range(99), rng.randrange(20)))] for _ in range(60)] + [[], [], [(1, 2)], [(1, 5)], [(1, 0), (2, 1)], [(2, 0), (1, 1)]]
+    lists = [[(rng.randrange(30) - 15, p) for p in sorted(rng.sample(range(99), rng.randrange(20)))] for _ in range(60)] + [[], [], [(1, 2)], [(1, 5)], [(1, 0), (2, 1)], [(2, 0), (1, 1)]]
     pairs = [(i, a, b) for i, (a, b) in enumerate(zip(lists, lists[1:] + lists[:1], strict=True))] + [(1000, lists[0], lists[0])]
-    fp = "array<struct<anchor:int,at:int>>"
-    d = syncmers.with_likeness(spark.createDataFrame(pairs, f"i long, a {fp}, b {fp}"), "a", "b", "near")
+    packed = [(i, *([h << 32 | p for h, p in x] for x in (a, b))) for i, a, b in pairs]
+    d = syncmers.with_likeness(spark.createDataFrame(packed, "i long, a array<long>, b array<long>"), "a", "b", "near")
     assert d.columns == ["i", "a", "b", "near"]
     got = {r["i"]: r["near"] for r in d.collect()}
     assert all(math.isclose(got[i], brute_likeness(a, b)) for i, a, b in pairs) and got[1000] == 1.0
@@ -265,8 +292,7 @@ def test_edited_texts_by_brute_force(spark, rows, empty):
         one = one or rest
         assert rest == one
     for r in got:
-        pick = lambda f: [(x["anchor"], x["at"]) for x in f]
-        assert math.isclose(r["near_edited"], brute_likeness(pick(r["fp"]), pick(r["edited_fp"])))
+        assert math.isclose(r["near_edited"], brute_likeness(unpacked(r["fp"]), unpacked(r["edited_fp"])))
     assert syncmers.edited_and_next(empty.select("doc_id", "text", F.xxhash64("text").alias("tie"))).count() == 0
 
 
