@@ -437,8 +437,9 @@ class Model:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         read_ = stored(rows.mapInArrow(_reader(self.often, self.depth, self.tokens, self.distinct), _READ), "texts-read")
         answers = self._answers(read_.where("kind < 2").select("chunk", "kind", "key"))
-        texts = read_.where("kind = 2").withColumn("value", F.lit(None).cast("double"))
-        both = texts.unionByName(answers, allowMissingColumns=True).select("chunk", "kind", "key", "value", *_TEXT)
+        # a text's columns are one struct, so that the many answers are short rows
+        texts = read_.where("kind = 2").select("chunk", "kind", "key", F.lit(None).cast("double").alias("value"), F.struct(*_TEXT).alias("text"))
+        both = texts.unionByName(answers, allowMissingColumns=True).select("chunk", "kind", "key", "value", "text")
         dealt = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "key")
         out = dealt.mapInArrow(_finisher(self.tokens, self.distinct), "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
         return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")))
@@ -540,13 +541,13 @@ def _finisher(tokens: int, distinct: int):
                 if not values:  # all answers stand before the texts
                     values = {k: np.concatenate(v) for k, v in parts.items()}
                     words = np.log10(values[1] + 0.1) - even
-                rows = batch.slice(int(texts[0]), len(texts))
-                need = [[np.frombuffer(x, np.int32) for x in rows.column(i).to_pylist()] for i in (10, 11)]
-                known, base, score = (rows.column(i).to_numpy() for i in (7, 8, 9))
+                rows = dict(zip(_TEXT, batch.column(4).slice(int(texts[0]), len(texts)).flatten(), strict=True))
+                need = [[np.frombuffer(x, np.int32) for x in rows[c].to_pylist()] for c in ("runs", "words")]
+                known, base, score = (rows[c].to_numpy(zero_copy_only=False) for c in ("n_known", "base_score", "score"))
                 score = score + np.array([values[0][x].sum() for x in need[0]], float)
                 base = base + np.array([words[x].sum() for x in need[1]], float)
                 known = known + np.array([np.count_nonzero(values[1][x]) for x in need[1]], np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column(4), rows.column(5), rows.column(6), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["n_bytes"], rows["n_tokens"], pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
