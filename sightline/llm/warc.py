@@ -177,8 +177,8 @@ class _Stream:
 _ADDRESS = re.compile(r"[0-9a-fA-F:.]+|-")
 
 
-def _header_line(line: bytes, fields: list[str]) -> dict | None:
-    """The fields of a record's header line by name; None if it is none."""
+def _header_line(line: bytes, fields: list[str], after_damage: bool) -> dict | None:
+    """The fields of a record's header line by name; None if it is none. After damage it also needs an address."""
     said = line.decode("utf-8", "replace").rstrip("\r")
     if said.startswith("filedesc://"):  # its line may have either version's fields; the length is last
         cells = said.split(" ")
@@ -188,7 +188,7 @@ def _header_line(line: bytes, fields: list[str]) -> dict | None:
         names = dict(zip([f.lower() for f in fields], cells, strict=False))
     if len(cells) < 5 or not re.fullmatch(r"\d{1,18}", names.get("archive-length", "")):
         return None
-    sound = re.fullmatch(r"\d{8,14}", names.get("archive-date", "")) and _ADDRESS.fullmatch(names.get("ip-address", "")) and ":" in names.get("url", "")
+    sound = re.fullmatch(r"\d{8,14}", names.get("archive-date", "")) and (not after_damage or _ADDRESS.fullmatch(names.get("ip-address", "")))
     return names if sound else None
 
 
@@ -198,7 +198,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     while s.skip(b"\n\r"):
         line = s.until(b"\n")
         line = s.rest() if line is None else line
-        names = _header_line(line, fields)
+        names = _header_line(line, fields, lost is not None)
         if names is None:
             if lost is None:
                 lost = {"version": version, "error": f"bad header line: {line[:200].decode('utf-8', 'replace')}"}
