@@ -19,7 +19,8 @@ a third document shares beside a chunk whose keeper is another are not added, an
 one word goes on repeating a few of its rounds may be missing.
 
 Null and empty texts have no chunks. Repeats inside one document are not repeats here;
-rows that share a doc_id count as one document. Positions and lengths are in bytes.
+rows that share a doc_id count as one document, and so do rows with a null one, which is smaller
+than any other; each row is cut by its own text. Positions and lengths are in bytes.
 Texts are chunked whole, one row at a time. An empty table has no spans. Other columns
 pass through `cut_repeats`.
 """
@@ -31,16 +32,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import free, read, stored
 
 REACH, MOST, CONTEXT, SPAN = 20, 1024, 256, 100
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
 
+#: Stands for a null doc_id inside.
+NONE = -(1 << 63)
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
+
+
+def _named(c: str) -> Column:
+    return F.when(F.col(c) != NONE, F.col(c)).alias(c)
+
+
 def _highest(x: np.ndarray, width: int) -> np.ndarray:
     """The maximum of every `width` neighbours."""
     n = 1
@@ -84,7 +97,7 @@ def digested(data: bytes) -> tuple[list[int], np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, length, digest: a row per chunk; no shuffle."""
+    """doc_id (NONE for null), text_key, start, length, digest: a row per chunk; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +108,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 digests.append(of)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stops, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.int64()))], names=["doc_id", "text_key", "stops", "digests"])
 
-    per_doc = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, stops array<int>, digests array<long>")
+    per_doc = docs.select(_doc().alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, stops array<int>, digests array<long>")
     start = F.when(F.col("i") == 0, 0).otherwise(F.get("stops", F.col("i") - 1))
     return per_doc.select("doc_id", "text_key", "stops", F.posexplode("digests").alias("i", "digest")).select(
         "doc_id", "text_key", start.alias("start"), (F.get("stops", "i") - start).alias("length"), "digest"
@@ -159,7 +172,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     sides = F.filter(F.array(F.when(F.col("opens"), 0), F.when(F.col("closes"), 1)), lambda x: x.isNotNull())
     edges = edge.select("doc_id", "text_key", "start", "length", "keeper", "digest", "partner", F.explode(sides).alias("side"))
     asked = edges.select("digest", "partner", "side").distinct().groupBy("partner").agg(F.collect_list(F.struct("digest", "side")).alias("items"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = docs.select(_doc().alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     beside = asked.join(texts, F.col("doc_id") == F.col("partner")).select("partner", "items", "text").mapInArrow(_beside, "digest long, partner long, side int, near binary")
     beside = stored(beside.dropDuplicates(["digest", "partner", "side"]), "beside")
     more = edges.join(beside, ["digest", "partner", "side"]).groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key"))
@@ -197,7 +210,7 @@ def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
             F.sum("gone").cast("long").alias("removable"),
         )
         .where(F.col("length") >= span)
-        .drop("run")
+        .select(_named("doc_id"), "text_key", "start", "length", "n_chunks", _named("first_doc_id"), "removable")
     )
 
 
@@ -206,7 +219,8 @@ def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     where a stretch touches repeats that the document keeps itself. A code point cut
     in two by a stretch's edge goes with the stretch."""
     lost = _runs(repeats(docs).where("keeper < doc_id")).groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("length"))
-    gone = lost.where(F.col("length") >= span).groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__sl_cuts"))
+    id_, key, cuts_ = free(docs, "_id", "_key", "_cuts")
+    gone = lost.where(F.col("length") >= span).groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts_))
 
     @F.pandas_udf("string")
     def without(text, cuts):
@@ -221,9 +235,8 @@ def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
         return text.combine(cuts, one)
 
-    on = (F.col("doc_id").cast("long") == F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
-    joined = docs.join(gone, on, "left")
-    return joined.withColumn("text", F.when(F.col("__sl_cuts").isNull(), F.col("text")).otherwise(without("text", "__sl_cuts"))).select(*docs.columns)
+    joined = docs.join(gone, (_doc() == F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    return joined.withColumn("text", F.when(F.col(cuts_).isNull(), F.col("text")).otherwise(without("text", cuts_))).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
