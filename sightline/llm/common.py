@@ -71,13 +71,31 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     survives lost executors, and is computed once however often it is used."""
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sl_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what `stored` wrote for df, which isn't read again."""
+    delete(df.sparkSession, df._sl_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of df's columns (nor another of them)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def range_bounds(df: DataFrame, key: str, n: int) -> list:
     """At most n-1 ascending split points of a long column, about equal in rows;
     a sketch of bounded size is all that reaches the driver."""

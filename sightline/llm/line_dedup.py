@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, lower_ascii, read, stored
+from .common import WS, free, lower_ascii, read, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -52,23 +52,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs with their texts cut, and the long columns n_lines and n_dropped. The only
     rows that meet again by document are those of lines dropped."""
     docs = docs.drop("n_lines", "n_dropped")
+    doc, row, at, held = free(docs, "_doc", "_row", "_at", "_lines")
     common = stored(common_lines(docs, min_chars, min_docs), "common-lines")  # plain exchanges let Spark split a hot line's rows
     gone = (
         _long_keys(docs, min_chars)
         .join(common, ["a", "b"])
         .where(F.col("doc") != F.col("keeper"))
-        .groupBy(F.col("doc").alias("__sl_doc"), F.col("row").alias("__sl_row"))
-        .agg(F.collect_set("pos").alias("__sl_at"))
+        .groupBy(F.col("doc").alias(doc), F.col("row").alias(row))
+        .agg(F.collect_set("pos").alias(at))
     )
-    keyed = docs.withColumn("__sl_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__sl_row", F.xxhash64("text"))
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(row, F.xxhash64("text"))
     lines = F.split(F.col("text"), "\n", -1)
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__sl_lines") - 1), F.col("__sl_at")), lambda i: F.get("__sl_lines", i))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col(at)), lambda i: F.get(held, i))
     cut = (
-        keyed.join(gone, ["__sl_doc", "__sl_row"], "left")
+        keyed.join(gone, [doc, row], "left")
         .withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__sl_at"), F.lit(0)).cast("long"))
-        .withColumn("__sl_lines", F.when(F.col("__sl_at").isNotNull(), lines))
-        .withColumn("text", F.when(F.col("__sl_at").isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text")))
+        .withColumn("n_dropped", F.coalesce(F.size(at), F.lit(0)).cast("long"))
+        .withColumn(held, F.when(F.col(at).isNotNull(), lines))
+        .withColumn("text", F.when(F.col(at).isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text")))
     )
     return cut.select(*docs.columns, "n_lines", "n_dropped")
 

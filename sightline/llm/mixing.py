@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, read, stored
+from .common import WORD_RE, free, read, stored
 
 WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
 #: (first, last) of the schedule that goes with each of WEIGHTS: heavy sources evenly, light ones later and later.
@@ -129,20 +129,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SH
     docs = docs.drop("position")
     sized = _sized(docs)
     planned = _planned(sized, weights, schedules, share, max_repeat).where("copies > 0")
-    key = ["__sl_id", "__sl_key", "__sl_source"]
-    taken = planned.select(F.col("doc_id").alias(key[0]), F.col("text_key").alias(key[1]), F.col("source").alias(key[2]), F.col("rows").alias("__sl_rows"), F.col("positions").alias("__sl_at"))
+    *key, many, at, rest_ = free(docs, "_id", "_key", "_source", "_rows", "_at", "_rest")
+    taken = planned.select(F.col("doc_id").alias(key[0]), F.col("text_key").alias(key[1]), F.col("source").alias(key[2]), F.col("rows").alias(many), F.col("positions").alias(at))
     own = (F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source"))
     on = own[0].eqNullSafe(F.col(key[0])) & (own[1] == F.col(key[1])) & own[2].eqNullSafe(F.col(key[2]))
-    spread = lambda d: d.select(*docs.columns, F.explode("__sl_at").alias("position"))
+    spread = lambda d: d.select(*docs.columns, F.explode(at).alias("position"))
     if sized.where("rows > 1").isEmpty():
         out = spread(docs.join(taken, on))
     else:  # of rows alike one stands for all, and is taken as often as they are together
         taken = stored(taken, "taken")
-        alike = taken.where("__sl_rows > 1")
+        alike = taken.where(F.col(many) > 1)
         rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text", "source")]
-        one = docs.join(alike.select(*key).distinct(), on).withColumn("__sl_rest", F.xxhash64(*rest) if rest else F.lit(0))
-        one = one.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), "__sl_rest").alias("r")).select("r.*")
-        out = spread(docs.join(taken.where("__sl_rows = 1"), on)).unionByName(spread(one.join(alike, on)))
+        one = docs.join(alike.select(*key).distinct(), on).withColumn(rest_, F.xxhash64(*rest) if rest else F.lit(0))
+        one = one.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), rest_).alias("r")).select("r.*")
+        out = spread(docs.join(taken.where(F.col(many) == 1), on)).unionByName(spread(one.join(alike, on)))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import free, read, release, stored
 from .textbits import folded, mix64, shingles, word_numbers
 
 WORDS, PERCENT = 5, 85
@@ -253,7 +253,8 @@ def components(edges: DataFrame) -> DataFrame:
         big = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low = big.groupBy("x").agg(F.min("y").alias("m"))
         small = big.join(low, "x").select(F.explode(F.array(F.struct("y", "m"), F.struct(F.col("x").alias("y"), "m"))).alias("p"))
-        e = stored(small.select(F.col("p.y").alias("x"), F.col("p.m").alias("y")).where("x <> y").distinct(), "edges")
+        last, e = e, stored(small.select(F.col("p.y").alias("x"), F.col("p.m").alias("y")).where("x <> y").distinct(), "edges")
+        release(last)
         if e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first() == mark:
             break
     return e.select(F.col("x").alias("id"), F.col("y").alias("root"))
@@ -301,16 +302,18 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = named.select(*key, F.struct("doc_id", "text_key").alias("holder"), "first")
     some = sk.where("n_shingles > 0").join(held, key)
     own = F.struct("doc_id", "text_key")
-    gone = some.where(~F.col("first") | ~own.eqNullSafe(F.col("holder"))).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
+    id_, hash_, many, rest_ = free(docs, "_id", "_key", "_n", "_rest")
+    named_ = (F.col("doc_id").alias(id_), F.col("text_key").alias(hash_))
+    gone = some.where(~F.col("first") | ~own.eqNullSafe(F.col("holder"))).select(*named_).distinct()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     kept = docs.join(gone, match, "left_anti")
-    same = sk.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).agg(F.count(F.lit(1)).alias("__sl_n")).where("__sl_n > 1")
-    same = stored(same.drop("__sl_n"), "repeated-rows")
+    same = sk.where("n_shingles > 0").groupBy(*named_).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1)
+    same = stored(same.drop(many), "repeated-rows")
     if same.isEmpty():
         return kept
     rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
-    once = kept.join(same, match).withColumn("__sl_rest", F.xxhash64(*rest) if rest else F.lit(0)).groupBy("__sl_id", "__sl_key")
-    once = once.agg(F.min_by(F.struct(*docs.columns), "__sl_rest").alias("r")).select("r.*")
+    once = kept.join(same, match).withColumn(rest_, F.xxhash64(*rest) if rest else F.lit(0)).groupBy(id_, hash_)
+    once = once.agg(F.min_by(F.struct(*docs.columns), rest_).alias("r")).select("r.*")
     return kept.join(same, match, "left_anti").unionByName(once)
 
 

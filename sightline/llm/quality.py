@@ -9,8 +9,9 @@ Two base conditions reject whatever the votes say: fewer than 10 words, or over
 of the words in 5-word windows that the text repeats.
 
 Null and blank texts have no words: every count is 0 and the base conditions reject
-them. Identical rows get identical results; other columns pass through `keep_good`.
-An empty table keeps nothing and learns the starting values.
+them. Identical rows get identical results, as do rows that share a doc_id by their own texts;
+null doc_ids are judged like any. Very long texts are arrays of one row and nothing more. Other
+columns pass through `keep_good`. An empty table keeps nothing and learns the starting values.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, read, stored, words
+from .common import WS, free, read, stored, words
 
 THRESHOLD, WINDOW = 0.5, 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks", "n_distinct")
@@ -90,7 +91,8 @@ def votes(counted: DataFrame) -> DataFrame:
 def fit(voted: DataFrame, rounds: int = 200) -> dict:
     """EM over vote patterns: {'prior': p, 'rules': {name: {vote: (on good, on bad)}}},
     the chance of each vote, abstention included, on either class. It starts from the
-    vote balance; counts are smoothed by one document a class, and a rule never turns
+    vote balance; counts are smoothed by one document a class, the share of good documents is held
+    between 0.5 and 0.99 (corpora are mostly good, and a share of 1 would silence all votes), and a rule never turns
     against its meaning: a bad vote is at least as likely on bad documents, a good one
     on good documents."""
     names = list(rules())
@@ -144,9 +146,9 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the rules reject; columns as they were."""
-    bad = judged(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("__sl_id")) & (F.xxhash64("text") == F.col("__sl_key"))
-    return docs.join(bad, on, "left_anti")
+    id_, key = free(docs, "_id", "_key")
+    bad = judged(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sightline.llm import chunks, ctw, html_crf, line_dedup, mixing, near_dedup,
 
 WORDS = "the of and river stone light water green paper house wind small round north table glass".split()
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, source string, __sl string, position string, n_lines string, kept string, _id string"
+SCHEMA = "doc_id long, text string, source string, _key string, position string, n_lines string, kept string, _id string"
 
 
 def words(t):
@@ -596,7 +596,7 @@ def test_ctw_is_a_distribution_and_follows_its_definition():
 
 def test_warc_round_trip(spark):
     same = "x" * 150
-    rows = [(3, "u:", same), (1, "a: b\n", same), (2, None, same), (4, "u:", None), (5, "u:", "y"), (6, "u:", "y"), (None, "u:", same), (7, "http://é", "ä\r\n\r\nWARC/1.0\r\n" * 50), (8, "u:" + "v" * 600_000, "z" * 3_000_000), (9, "u:", "end")]
+    rows = [(3, "u", same), (1, "a b\n", same), (2, None, same), (4, "u 1.2.3.4 20010203 x 7", None), (5, "", "y"), (6, " ", "y"), (None, "u:", same), (7, "http://é", "ä\r\n\r\nWARC/1.0\r\n" * 50), (8, "u:" + "v" * 600_000, "z" * 3_000_000), (9, "u:", "end")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record string")
     for version in (1, 2):
         arc, out = warc.fresh(spark, "arc"), warc.fresh(spark, "warc")
@@ -751,9 +751,202 @@ def test_crf_gradient_step_raises_the_likelihood():
     assert crf.decode(page) == [1, 0, 1] and crf.decode([]) == []
 
 
-def test_pipeline(spark):
+def test_spans_stand_in_another_document(spark):
+    rng = random.Random(17)
+    shared = [some(rng, rng.randint(20, 90)) for _ in range(12)]
+    rows = [(None if i % 9 == 0 else i, " ".join(rng.choice((some(rng, 30), rng.choice(shared))) for _ in range(rng.randint(1, 7)))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t.encode())
+    every = [(i, x) for i, xs in texts.items() for x in xs]
+    found = chunks.spans(d).collect()
+    assert len(found) > 30 and any(r["doc_id"] is None for r in found)
+    for r in found:
+        own = next(x for x in texts[r["doc_id"]] if r["start"] + r["length"] <= len(x) and _key(spark, x) == r["text_key"])
+        part = own[r["start"] : r["start"] + r["length"]]
+        others = [x for i, x in every if i != r["doc_id"]]
+        held = [any(part[k : k + 16] in x for x in others) for k in range(0, len(part) - 15, 5)]
+        assert held[0] and held[-1] and sum(held) >= 0.85 * len(held)  # where two passages meet, a window may lie across
+    cut = Counter((r["doc_id"], r["text"]) for r in chunks.cut_repeats(d).collect())
+    assert sum(cut.values()) == 60 and all((None, t) in cut for i, t in rows if i is None)  # the smallest keeps all
+
+
+def _key(spark, data, made={}):  # noqa: B006
+    if data not in made:
+        made[data] = spark.range(1).select(F.xxhash64(F.lit(data.decode())).alias("k")).first()["k"]
+    return made[data]
+
+
+def brute_quality(rows):
+    """doc_id -> kept, by the rules' counts, votes, expectation-maximisation and posterior, row by row."""
+    import unicodedata
+
+    def votes(t):
+        t = t or ""
+        w, lines = words(t), [x for x in t.split("\n") if words(x)]
+        n, chars = len(w), sum(map(len, w))
+        kind = [unicodedata.category(c) for c in t]
+        letters, upper = sum(k[0] == "L" for k in kind), kind.count("Lu")
+        marks = sum(k[0] not in "LN" and c not in " \t\n\x0b\x0c\r.,;:'’\"()-" for c, k in zip(t, kind, strict=True))
+        at = defaultdict(list)
+        for i in range(n - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        repeat = len({j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)})
+        of = lambda a, b: a / b if b else None
+        vote = lambda v, good, bad: 0 if v is None else -1 if bad(v) else 1 if good(v) else 0
+        return n < 10 or 100 * repeat > 20 * n, (
+            vote(n, lambda v: v >= 50, lambda v: v < 20), vote(of(chars, n), lambda v: 3.5 <= v <= 9, lambda v: v < 2.5 or v > 12),
+            vote(of(len(re.findall(r"[#*$%&|<>]", t)), n), lambda v: v <= 0.01, lambda v: v > 0.1), vote(of(letters, chars), lambda v: v >= 0.9, lambda v: v < 0.75),
+            vote(of(upper, letters), lambda v: v <= 0.15, lambda v: v > 0.4), vote(of(marks, n), lambda v: v <= 0.03, lambda v: v > 0.25),
+            vote(of(len(lines) - len(set(lines)), len(lines)), lambda v: v <= 0.05, lambda v: v > 0.3), vote(of(repeat, n), lambda v: v <= 0.05, lambda v: v > 0.2),
+            vote(of(len(set(w)), n), lambda v: v >= 0.35, lambda v: v < 0.15 and 50 <= n < 2000),
+        )
+
+    judged = {d: votes(t) for d, t, _ in rows}
+    vs = [v for _, v in judged.values()]
+    p = np.array([(0.95, 0.4, 0.1)[min(2, v.count(-1))] for v in vs])
+    prior = 0.9
+    for _ in range(200):
+        good, bad, old = p.sum(), (1 - p).sum(), prior
+        prior = min(0.99, max(0.5, good / len(vs)))
+        table = []
+        for k in range(9):
+            on = {v: (1 / 3 + p[[x[k] == v for x in vs]].sum(), 1 / 3 + (1 - p)[[x[k] == v for x in vs]].sum()) for v in (1, 0, -1)}
+            chance = {v: (a / (good + 1), b / (bad + 1)) for v, (a, b) in on.items()}
+            if chance[-1][0] > chance[-1][1] or chance[1][0] < chance[1][1]:
+                chance = {v: (1.0, 1.0) for v in on}
+            table.append(chance)
+        p = np.array([prior * math.prod(c[x][0] for c, x in zip(table, v, strict=True)) / (prior * math.prod(c[x][0] for c, x in zip(table, v, strict=True)) + (1 - prior) * math.prod(c[x][1] for c, x in zip(table, v, strict=True))) for v in vs])
+        if abs(old - prior) < 1e-7:
+            break
+    return {d: not failed and q >= 0.5 for (d, (failed, _)), q in zip(judged.items(), p, strict=True)}
+
+
+def test_quality_by_brute_force(docs, rows, spark):
+    rng = random.Random(3)
+    more = [*rows, *[(1000 + i, " ".join(some(rng, 9).capitalize() + "." for _ in range(12)), "s") for i in range(80)], *[(2000 + i, " ".join(x + rng.choice(("###", "&&&", "$$$", "")) for x in some(rng, rng.randint(5, 80)).split()), "s") for i in range(15)]]
+    d = spark.createDataFrame(more, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["kept"] for r in quality.judged(d).collect()} == brute_quality(more)
+
+
+def brute_pipeline(spark, rows):
+    """The rows of the pipeline, stage by stage in plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    good = brute_quality(rows)
+    now = [r for r in rows if good[r[0]]]
+    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    held = defaultdict(set)
+    for d, t, _ in now:
+        for s in t.split("\n"):
+            held[key(s)].add(d)
+    gone = lambda d, s: len(key(s)) >= 20 and len(held[key(s)]) >= 3 and max(held[key(s)]) != d
+    now = [(d, "\n".join(s for s in t.split("\n") if not gone(d, s)), s_) for d, t, s_ in now]
+    named = brute_groups(now, 80)
+    now = [r for r in now if named[r[0]][1] == r[0]]
+    sizes = Counter()
+    for _, t, s in now:
+        sizes[s] += len(words(t))
+    order = by_code_point(sizes)
+    goal = fair_shares(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    d = spark.createDataFrame(now, "doc_id long, text string, source string")
+    turn = {r["doc_id"]: r["h"] for r in d.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("h")).collect()}
+    taken = []
+    for i, s in enumerate(order):
+        first, last = mixing.SCHEDULES[i % 3]
+        before = 0
+        for r in sorted((r for r in now if r[2] == s), key=lambda r: turn[r[0]]):
+            n = len(words(r[1]))
+            for k in (0, 1):
+                x = before + n / 2 + k * sizes[s]
+                if x < goal[s]:
+                    u, a, b = x / goal[s] * (first + last) / 2, first, last - first
+                    taken.append((u / a if b == 0 else (math.sqrt(a * a + 2 * b * u) - a) / b, r[0], r[1]))
+            before += n
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = []
+    for place, (_, d_, text) in enumerate(sorted(taken)):
+        ids = t.encode(text, add_special_tokens=False).ids + [1]
+        pieces += [(-n, place, start, d_, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()), len(ids)) for start, n in packing.cuts(len(ids))]
+    return [(d_, start, -n, crc, total, i, 0) for i, (n, _, start, d_, crc, total) in enumerate(sorted(pieces))]
+
+
+def test_pipeline_by_brute_force(spark, rows):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "curriculum_mix", "packing"]
+    rng = random.Random(51)
+    line = "One line of text that many documents of the corpus hold"
+    made = [(3000 + i, "\n".join([" ".join(some(rng, 9).capitalize() + "." for _ in range(rng.randint(3, 9))), line, some(rng, 20)]), f"s{i % 5}") for i in range(60)]
+    copies = [(4000 + i, made[i % 20][1] + " and more", f"s{i % 3}") for i in range(25)]
+    every = [*rows, *made, *copies]
+    d = spark.createDataFrame([(*r, "a", "b") for r in every], "doc_id long, text string, source string, _id string, POSITION string")
+    got = corpus_pipeline.run_on(spark, d).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[5]) == brute_pipeline(spark, every)
+
+
+def test_pipeline_of_nothing_and_of_nulls(spark):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, source string, n_lines int, __sl_key string"
+    assert corpus_pipeline.run_on(spark, spark.createDataFrame([], kind)).count() == 0
+    rng = random.Random(52)
+    text = " ".join(some(rng, 9).capitalize() + "." for _ in range(9))
+    rows = [(None, None, None), (1, "", "s"), (None, text, None), (None, text, None), (2, text + " once more", None), (2, " ".join(some(rng, 9).capitalize() + "." for _ in range(9)), "s")]
+    out = corpus_pipeline.run_on(spark, spark.createDataFrame([(*r, 1, "k") for r in rows], kind)).collect()
+    assert {r["doc_id"] for r in out} <= {None, 2} and len(out) > 3
+    assert sorted(r["sequence_id"] for r in out) == list(range(len(out)))
+
+
+def test_pipeline_over_tables(spark):
+    import corpus_pipeline
+
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and out.where("length > 2048").count() == 0
+
+
+CONTRACT = {
+    "op1_ctw_scores": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op2_arc_to_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op3_curriculum_mix": "doc_id size source_size target taken",
+    "op4_weak_supervision": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op5_crf_main_text": "page_id url text n_chars",
+    "op6_closed_syncmers": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op7_chunk_repeats": "doc_id start length",
+    "op8_binary_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op9_setsketch_groups": "doc_id n_shingles component_id kept",
+    "op10_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+}
+
+
+@pytest.mark.parametrize("name", list(CONTRACT))
+def test_queries_on_planted_and_on_empty_tables(spark, rows, tmp_path, name):
+    from sightline.llm.queries import QUERIES
+
+    pages = [(1, "u", "<article><h1>A b c</h1><p>Some long text is here for you to read.</p></article>"), (2, None, None), (None, "x", "")]
+    for at, docs_, pages_ in (("full", rows, pages), ("none", [], [])):
+        spark.createDataFrame(docs_, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.createDataFrame(pages_, "page_id long, url string, html string").write.parquet(f"{tmp_path}/{at}/pages.parquet")
+    out = QUERIES[name](spark, f"{tmp_path}/full")
+    names = CONTRACT[name].split()
+    assert out.columns[: len(names)] == names
+    got = out.collect()
+    once = {"op2_arc_to_warc": 3, "op5_crf_main_text": 3}.get(name, len(rows))
+    assert len(got) == once or name in ("op7_chunk_repeats", "op8_binary_packing")
+    assert QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+    by = {r[0]: r for r in got}
+    if name == "op6_closed_syncmers":
+        order = sorted(rows, key=lambda r: -r[0])
+        for (d, t, _), (_, n, _) in zip(order, order[1:] + order[:1], strict=True):
+            t, n = t or "", n or ""
+            edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+            assert (by[d]["n_chars"], by[d]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest()) and 0 <= by[d]["near_edited"] <= 1
+        assert by[11]["fingerprint"] == by[12]["fingerprint"] and by[12]["near_next"] == 1.0 and len(by[11]["fingerprint"]) % 8 == 0
+    if name == "op9_setsketch_groups":
+        assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in by.items()} == {d: (n, c, c == d) for d, (n, c) in brute_groups(rows).items()}
+    if name == "op4_weak_supervision":
+        assert {d: r["kept"] for d, r in by.items()} == brute_quality(rows)
+    if name == "op1_ctw_scores":
+        assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 10 == 0) for d, r in by.items())
