@@ -6,11 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _linear(c: float) -> float:
+    u = c / 255.0
+    return u / 12.92 if u <= 0.03928 else ((u + 0.055) / 1.055) ** 2.4
+
+
 def linear(c: Column) -> Column:
+    """Linear light of a channel, whole or not."""
     u = c / 255.0
     return F.when(u <= 0.03928, u / 12.92).otherwise(F.pow((u + 0.055) / 1.055, F.lit(2.4)))
 
 
+def linear8(c: Column) -> Column:
+    """The same of a whole channel, looked up among 256 values."""
+    return F.get(F.lit([_linear(k) for k in range(256)]), c.cast("int"))
+
+
+def luminance8(r: Column, g: Column, b: Column) -> Column:
+    return 0.2126 * linear8(r) + 0.7152 * linear8(g) + 0.0722 * linear8(b)
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     return 0.2126 * linear(r) + 0.7152 * linear(g) + 0.0722 * linear(b)
 
@@ -80,6 +95,18 @@ def hue(r: Column, g: Column, b: Column) -> Column:
     return F.when(h < 0, h + 360).otherwise(h)
 
 
+def hsv8(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue, saturation and value as bytes, in single precision and cut off; grays have hue 0."""
+    f = lambda c: c.cast("float")
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    d = f(F.when(top > low, top - low))
+    away = lambda c: f(f(top - c) / d)
+    h = F.when(r == top, f(away(b) - away(g))).when(g == top, f(f(F.lit(2.0)) + f(away(r) - away(b)))).otherwise(f(f(F.lit(4.0)) + f(away(g) - away(r))))
+    turn = f(f(h / f(F.lit(6.0))) + f(F.lit(1.0)))
+    byte = lambda x: F.floor(f(x * f(F.lit(255.0)))).cast("long")
+    return F.coalesce(byte(f(turn - F.floor(turn))), F.lit(0).cast("long")), F.coalesce(byte(f(d / f(top))), F.lit(0).cast("long")), top.cast("long")
+
+
 #: Upper edges of the hue bands in degrees, in order.
 HUES = ((15, "red"), (45, "orange"), (65, "yellow"), (160, "green"), (200, "cyan"), (250, "blue"), (285, "purple"), (330, "magenta"))
 
@@ -116,17 +143,15 @@ def ramp_char(lum: Column) -> Column:
     return F.substring(F.lit(RAMP), at + 1, F.lit(1))
 
 
-#: Each letter's channels, "+n" above n, "-n" below n, the first that fits; else K.
-LETTERS = (("R", "+200", "-100", "-100"), ("G", "-100", "+200", "-100"), ("B", "-100", "-100", "+200"), ("Y", "+150", "+150", "-100"),
-           ("M", "+150", "-100", "+150"), ("C", "-100", "+150", "+150"), ("W", "+200", "+200", "+200"))
-
-
 def letter(r: Column, g: Column, b: Column) -> Column:
-    """The letter of a mean colour."""
-    out = F.lit("K")
-    for name, *bounds in reversed(LETTERS):
-        fits = F.lit(True)
-        for c, bound in zip((r, g, b), bounds, strict=True):
-            fits = fits & (c > int(bound[1:]) if bound[0] == "+" else c < int(bound[1:]))
-        out = F.when(fits, name).otherwise(out)
-    return out
+    """The letter of a mean colour. The letters and the bounds of their channels."""
+    return (
+        F.when((r > 200) & (g < 100) & (b < 100), "R")
+        .when((g > 200) & (r < 100) & (b < 100), "G")
+        .when((b > 200) & (r < 100) & (g < 100), "B")
+        .when((r > 150) & (g > 150) & (b < 100), "Y")
+        .when((r > 150) & (g < 100) & (b > 150), "M")
+        .when((r < 100) & (g > 150) & (b > 150), "C")
+        .when((r > 200) & (g > 200) & (b > 200), "W")
+        .otherwise("K")
+    )

@@ -21,15 +21,20 @@ def opposed(p: Column) -> Column:
     return mass(p, 1 - p, 0.0)
 
 
-#: Mass of one piece of evidence by its kind.
+def unit(p: Column) -> Column:
+    """p held between 0 and 1; null stays null."""
+    return F.when(p < 0, 0.0).when(p > 1, 1.0).otherwise(p)
+
+
+#: Mass of one piece of evidence by its kind; shares are held between 0 and 1.
 FACTORIES = {
-    "ocr": lambda conf: support(conf * OCR_TRUST),
+    "ocr": lambda conf: support(unit(conf) * OCR_TRUST),
     "color": lambda delta: opposed(F.exp(-delta / TAU)),
-    "detect": lambda conf: support(conf),
-    "segment": lambda iou: support(F.least(iou * MASK_GAIN, F.lit(1.0))),
-    "saliency": lambda score: support(score),
+    "detect": lambda conf: support(unit(conf)),
+    "segment": lambda share: support(unit(unit(share) * MASK_GAIN)),
+    "saliency": lambda score: support(unit(score)),
     "depth": lambda gap: opposed(1 - F.least(F.abs(gap) / SIGMA, F.lit(1.0))),
-    "rule": lambda conf: mass(F.lit(0.0), conf, 1 - conf),
+    "rule": lambda conf: support(unit(conf)),
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,14 @@ def similarity(a: Column, b: Column) -> Column:
     )
 
 
-def corrected(df: DataFrame, text: str, conf: str, words: list[str], decay: float = 0.9) -> DataFrame:
+#: The words that recognised text is held against, in order.
+COMMON = (
+    "提交", "取消", "确定", "保存", "删除", "编辑", "搜索", "设置", "登录", "注册", "退出", "返回", "下一步", "上一步", "完成", "确认", "关闭", "打开", "新建",
+    "submit", "cancel", "ok", "save", "delete", "edit", "search", "settings", "login", "logout", "back", "next", "done", "close", "open", "new", "yes", "no",
+)
+
+
+def corrected(df: DataFrame, text: str, conf: str, words: Sequence[str] = COMMON, decay: float = 0.9) -> DataFrame:
     """Adds corrected and corrected_conf: texts of two or more characters become the
     first word of the list at the least distance, if that is at most 1, and lose
     confidence, exact hits too. The list is a constant; it is scanned in the row."""

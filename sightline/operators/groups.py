@@ -51,3 +51,57 @@ def per_group(df: DataFrame, keys: list[str], order: list, work: Callable, schem
             yield flush()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
+
+
+def annotate(df: DataFrame, keys: list[str], order: list, needs: list[str], work: Callable, extra: str) -> DataFrame:
+    """df with the columns of extra (DDL): work(columns of a group, `needs` only, as lists in
+    `order`) gives a list for each of them. All other columns stay in Arrow and are never Python objects."""
+    more = StructType.fromDDL(extra)
+    out_schema = StructType([*df.schema.fields, *more.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out_schema)
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def worked(batch: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+            cols = {c: batch.column(c).to_pylist() for c in needs}
+            new: list[list] = [[] for _ in more]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                for into, got in zip(new, work({c: v[a:b] for c, v in cols.items()}), strict=True):
+                    into.extend(got)
+            columns = [batch.column(i).cast(arrow.field(i).type) for i in range(batch.num_columns)]
+            columns += [pa.array(v, arrow.field(len(columns) + i).type) for i, v in enumerate(new)]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        def whole() -> pa.RecordBatch:
+            return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            starts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1])]
+            if held and marks[0] != last:
+                one = whole()
+                yield worked(one, [0, one.num_rows])
+                held = []
+            if len(starts) > 1:  # what was held goes on in the first group, and ends there
+                first = batch.slice(0, starts[1])
+                if held:
+                    held.append(first)
+                    one = whole()
+                    yield worked(one, [0, one.num_rows])
+                    held, starts = [], starts[1:]
+                cut = starts[-1]
+                if cut > starts[0]:
+                    yield worked(batch.slice(starts[0], cut - starts[0]), [x - starts[0] for x in starts])
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+            last = marks[-1]
+        if held:
+            one = whole()
+            yield worked(one, [0, one.num_rows])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)

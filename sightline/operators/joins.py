@@ -19,7 +19,7 @@ def _cells(df: DataFrame, cell: float, prefix: str) -> DataFrame:
 
 
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float = 256.0, on: Column | None = None) -> DataFrame:
-    """Pairs of rows of equal keys whose boxes overlap with area; columns a_* and b_*."""
+    """Pairs of rows of equal keys whose boxes overlap with area, found in grid cells; columns a_* and b_*."""
     a = left.select([F.col(c).alias(f"a_{c}") for c in left.columns]).where("a_x2 > a_x1 AND a_y2 > a_y1")
     b = right.select([F.col(c).alias(f"b_{c}") for c in right.columns]).where("b_x2 > b_x1 AND b_y2 > b_y1")
     same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
@@ -31,11 +31,17 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float = 2
     return a.join(b, cond).drop("cx", "cy")
 
 
-def overlap_pairs(elements: DataFrame, min_iou: float = 0.01, min_area: float = 200.0, cell: float = 256.0) -> DataFrame:
-    """report_id, a_ord < b_ord, area, iou of pairs with at least min_area in common and IoU above min_iou."""
-    e = elements.select("report_id", "ord", "x1", "y1", "x2", "y2")
-    pairs = box_join(e, e, ["report_id"], cell, F.col("a_ord") < F.col("b_ord"))
+def overlap_pairs(elements: DataFrame, min_iou: float = 0.01, min_area: float = 200.0, cell: float = 256.0, few: int = 500) -> DataFrame:
+    """report_id, a_ord < b_ord, area, iou of pairs with at least min_area in common and IoU above
+    min_iou. Reports of at most `few` elements are joined by report_id alone, on the partitioning
+    that the elements have by report or get once; larger ones meet in grid cells."""
+    e = elements.select("report_id", "ord", "x1", "y1", "x2", "y2").withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("report_id")))
     a, b = B.box("a_"), B.box("b_")
+    some = e.where(F.col("_n").between(2, few) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).drop("_n")
+    one, two = (some.select([F.col(c).alias(f"{p}_{c}") for c in some.columns]) for p in "ab")
+    near = one.join(two, (F.col("a_report_id") == F.col("b_report_id")) & (F.col("a_ord") < F.col("b_ord")) & B.meets(a, b))
+    many = e.where(F.col("_n") > few).drop("_n")
+    pairs = near.unionByName(box_join(many, many, ["report_id"], cell, F.col("a_ord") < F.col("b_ord")))
     return (
         pairs.withColumn("area", B.intersection_area(a, b))
         .where(F.col("area") >= min_area)
@@ -127,15 +133,15 @@ def nearest(vectors: DataFrame, k: int = 2, block: int = 1024) -> DataFrame:
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("vec_id", "rank", "other", "sim")
 
 
-def proximity(objects: DataFrame, keys: list[str], gap: float, cell: float) -> DataFrame:
-    """Pairs a_ord < b_ord of 3-D boxes (lo, hi: arrays of 3) at most gap apart, with
+def proximity(objects: DataFrame, keys: list[str], gap: float, cell: float, carry: tuple = ()) -> DataFrame:
+    """Pairs a_ord < b_ord (with a_<c> and b_<c> of the columns to carry) of 3-D boxes (lo, hi: arrays of 3) at most gap apart, with
     aabb: the widest gap between axes, or minus the least overlap. Grid cells on x and
     y, of a box grown by the gap, keep it from being all pairs of a scene."""
-    o = objects.select(*keys, "ord", "lo", "hi")
+    o = objects.select(*keys, "ord", "lo", "hi", *carry)
     at = lambda c, i: F.floor((F.col(c)[i] + (gap if c.endswith("hi") else 0)) / cell)
 
     def side(p):
-        d = o.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], F.col("ord").alias(f"{p}_ord"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
+        d = o.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], F.col("ord").alias(f"{p}_ord"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"), *[F.col(c).alias(f"{p}_{c}") for c in carry])
         return d.withColumn("cx", F.explode(F.sequence(at(f"{p}_lo", 0), at(f"{p}_hi", 0)))).withColumn("cy", F.explode(F.sequence(at(f"{p}_lo", 1), at(f"{p}_hi", 1))))
 
     a, b = side("a"), side("b")
@@ -146,7 +152,7 @@ def proximity(objects: DataFrame, keys: list[str], gap: float, cell: float) -> D
         cond = cond & (F.floor(F.greatest(F.col("a_lo")[axis], F.col("b_lo")[axis]) / cell) == a[c])
     six = lambda p: [F.col(f"{p}_{c}")[i] for c in ("lo", "hi") for i in range(3)]
     out = a.join(b, cond).drop("cx", "cy").withColumn("aabb", B.aabb_distance(six("a"), six("b"))).where(F.col("aabb") <= gap)
-    return out.select(*[F.col(f"a_{k}").alias(k) for k in keys], "a_ord", "b_ord", "a_lo", "a_hi", "b_lo", "b_hi", "aabb")
+    return out.select(*[F.col(f"a_{k}").alias(k) for k in keys], "a_ord", "b_ord", "a_lo", "a_hi", "b_lo", "b_hi", *[f"{p}_{c}" for p in "ab" for c in carry], "aabb")
 
 
 def window_output(windows: DataFrame, workspaces: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -168,3 +174,11 @@ def change_ratio(diff: DataFrame, keys: list[str], th: float = 0.001, by: str =
     """changed share of pixels (or of channel bytes) and whether it passes."""
     share = F.sum("bytes") / (3 * F.count(F.lit(1))) if by == "bytes" else F.count_if(F.col("differs")) / F.count(F.lit(1))
     return diff.groupBy(*keys).agg(share.alias("ratio")).withColumn("passed", F.col("ratio") > th)
+
+
+def layout_size(screens: DataFrame, keys: list[str], fallback: tuple[int, int] = (4608, 1440)) -> DataFrame:
+    """keys, w, h: the size that holds all screens (x, y, w, h) of a layout; the fallback where none has a size."""
+    far = lambda at, size: F.max(F.col(at) + F.col(size))
+    d = screens.groupBy(*keys).agg(far("x", "w").alias("w"), far("y", "h").alias("h"))
+    none = F.coalesce((F.col("w") <= 0) | (F.col("h") <= 0), F.lit(True))
+    return d.select(*keys, *[F.when(none, float(v)).otherwise(F.col(c)).alias(c) for c, v in zip("wh", fallback, strict=True)])

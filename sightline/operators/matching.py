@@ -8,10 +8,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
-from .groups import per_group
+from .groups import annotate, per_group
 
 
 def np_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,45 +135,93 @@ def fuse(a: DataFrame, b: DataFrame, keys: list[str], alpha: float = 0.3) -> Dat
     return cast(found).unionByName(cast(rest[0])).unionByName(cast(rest[1]))
 
 
-def entities(observations: DataFrame, min_iou: float = 0.5, min_conf: float = 0.0) -> DataFrame:
-    """Observations (report_id, ord, source, box, text, caption, class, conf, interactive)
-    merged to entities: by falling confidence each joins the first entity that holds one
-    aligned with it. Detector rows may come as owlv2 with the class in text."""
-    kind = dict(observations.dtypes)["report_id"]
-    d = observations.withColumn("class", F.when((F.col("source") == "owlv2") & F.col("class").isNull(), F.col("text")).otherwise(F.col("class"))).withColumn("source", F.when(F.col("source") == "owlv2", "detect").otherwise(F.col("source")))
+def _aligned_before(at: list[tuple], i: int, least: float, start: int = 0) -> list[int]:
+    """Which of the boxes start..i-1 are aligned with box i: IoU of at least `least`, or the smaller
+    box's middle inside the larger."""
+    ax1, ay1, ax2, ay2 = at[i]
+    size = max(ax2 - ax1, 0) * max(ay2 - ay1, 0)
+    out = []
+    for j in range(start, i):
+        bx1, by1, bx2, by2 = at[j]
+        other = max(bx2 - bx1, 0) * max(by2 - by1, 0)
+        lx, ly, hx, hy = max(ax1, bx1), max(ay1, by1), min(ax2, bx2), min(ay2, by2)
+        both = max(round(hx) - round(lx), 0) * max(round(hy) - round(ly), 0) if hx > lx and hy > ly else 0
+        union = size + other - both
+        if union > 0 and both / union >= least:
+            out.append(j)
+        elif other <= size:
+            if ax1 <= (bx1 + bx2) / 2 <= ax2 and ay1 <= (by1 + by2) / 2 <= ay2:
+                out.append(j)
+        elif bx1 <= (ax1 + ax2) / 2 <= bx2 and by1 <= (ay1 + ay2) / 2 <= by2:
+            out.append(j)
+    return out
 
-    names = ["report_id", "ord", "source", *BOX, "text", "caption", "class", "conf", "interactive"]
 
-    def one(key, c):
-        at = np.array([c[k] for k in BOX], float).T
-        near = np_iou(at, at) >= min_iou
-        size = np.prod(np.maximum(at[:, 2:] - at[:, :2], 0), axis=1)
-        mid = (at[:, :2] + at[:, 2:]) / 2
-        inside = ((mid[:, None] >= at[None, :, :2]) & (mid[:, None] <= at[None, :, 2:])).all(axis=2)  # i's middle in j
-        near |= np.where(size[:, None] <= size, inside, inside.T)
-        found: list[list[int]] = []
-        label = []
+def clusters_of(at: list[tuple], min_iou: float) -> list[int]:
+    """The cluster of each box, in order: the first one that holds a box aligned with it, else a new one."""
+    label: list[int] = []
+    n = 0
+    if len(at) <= 48:
         for i in range(len(at)):
-            k = next((k for k, g in enumerate(found) if near[i, g].any()), len(found))
-            if k == len(found):
-                found.append([])
-            found[k].append(i)
+            k = min((label[j] for j in _aligned_before(at, i, min_iou)), default=n)
+            n += k == n
             label.append(k)
-        return zip(*(c[n] for n in names), label, range(len(at)), strict=True)
+        return label
+    box, of = np.array(at, float), np.zeros(len(at), int)
+    size = np.prod(np.maximum(box[:, 2:] - box[:, :2], 0), axis=1)
+    mid = (box[:, :2] + box[:, 2:]) / 2
+    inside = lambda p, b: ((p >= b[..., :2]) & (p <= b[..., 2:])).all(axis=-1)
+    for i in range(len(at)):
+        near = (np_iou(box[i : i + 1], box[:i])[0] >= min_iou) if i else np.zeros(0, bool)
+        near |= np.where(size[i] <= size[:i], inside(mid[i], box[:i]), inside(mid[:i], box[i]))
+        k = int(of[:i][near].min()) if near.any() else n
+        n += k == n
+        of[i] = k
+    return of.tolist()
 
+
+def entities(observations: DataFrame, min_iou: float = 0.5, min_conf: float = 0.0) -> DataFrame:
+    """Observations (report_id, ord, source, box, text, caption, class, conf, interactive)
+    merged to entities: by falling confidence, nulls last, each joins the first entity that holds
+    one aligned with it. An entity has the box of its surest observation (the last of equals), the
+    text of its surest ocr one, the caption of its first omniparser one and the class of its first
+    detect one, or else those of the surest; an unknown confidence counts as evidence of 0.5.
+    id numbers what is at or above min_conf; conf is rounded to three digits. Detector rows may
+    come as owlv2 with the class in text. Only boxes are handed to Python."""
+    d = observations.withColumn("class", F.when((F.col("source") == "owlv2") & F.col("class").isNull(), F.col("text")).otherwise(F.col("class"))).withColumn("source", F.when(F.col("source") == "owlv2", "detect").otherwise(F.col("source")))
+    names = ["report_id", "ord", "source", *BOX, "text", "caption", "class", "conf", "interactive"]
     d = d.where(F.col("x1").isNotNull()).select(*[F.col(c).cast("double").alias(c) if c in BOX or c == "conf" else F.col(c).cast("long").alias(c) if c == "ord" else F.col(c) for c in names])
-    m = per_group(d, ["report_id"], [F.desc("conf"), "ord"], one, f"report_id {kind}, ord long, source string, x1 double, y1 double, x2 double, y2 double, text string, caption string, class string, conf double, interactive boolean, entity long, scan long")
-    conf = F.when(F.col("source") == "ocr", F.col("conf") * E.OCR_TRUST).otherwise(F.col("conf"))
-    m = m.withColumn("r", F.struct("scan", "source", E.support(conf).alias("m"), *BOX, "text", "caption", "class"))
-    g = m.groupBy("report_id", "entity").agg(F.array_sort(F.collect_list("r")).alias("rs"), F.max_by(F.struct(*BOX), F.struct("conf", "scan")).alias("box"), F.bool_or(F.coalesce("interactive", F.lit(False))).alias("interactive"), F.array_sort(F.collect_set("source")).alias("sources"))
-    pick = lambda source, field: F.get(F.filter("rs", lambda r: (r["source"] == source) & r[field].isNotNull()), F.lit(0))[field]
-    any_of = lambda field: F.get(F.filter("rs", lambda r: r[field].isNotNull()), F.lit(0))[field]
-    g = g.withColumn("mass", E.fold(F.transform("rs", lambda r: r["m"])))
+
+    def one(c):
+        return clusters_of(list(zip(*(c[k] for k in BOX), strict=True)), min_iou), range(len(c["x1"]))
+
+    m = annotate(d, ["report_id"], [F.col("conf").desc_nulls_last(), "ord"], BOX, one, "entity long, scan long")
+    conf = F.coalesce("conf", F.lit(0.5))
+    m = m.withColumn("r", F.struct("scan", "source", F.when(F.col("source") == "ocr", E.FACTORIES["ocr"](conf)).otherwise(E.FACTORIES["detect"](conf)).alias("m"), *BOX, "text", "caption", "class"))
+    sure = lambda least: F.struct(F.coalesce("conf", F.lit(least)), "scan")
+    of = lambda source, c: F.when(F.col("source") == source, c)
+    g = m.groupBy("report_id", "entity").agg(
+        F.array_sort(F.collect_list("r")).alias("rs"), F.max_by("r", sure(-1.0)).alias("rep"),
+        F.max_by("text", of("ocr", sure(0.0))).alias("said"), F.min_by("caption", of("omniparser", F.col("scan"))).alias("shown"), F.min_by("class", of("detect", F.col("scan"))).alias("kind"),
+        F.bool_or(F.coalesce("interactive", F.lit(False))).alias("interactive"), F.array_sort(F.collect_set("source")).alias("sources"),
+    )
+    g = g.withColumn("mass", E.fold(F.transform("rs", lambda r: r["m"]))).where(F.col("mass.c") >= min_conf)
+    half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 + 0.5).cast("long")
     out = g.select(
-        "report_id", "entity", "box.*", F.coalesce(pick("ocr", "text"), any_of("text")).alias("text"), F.coalesce(pick("omniparser", "caption"), any_of("caption")).alias("caption"),
-        pick("detect", "class").alias("class"), F.col("mass.c").alias("conf"), "interactive", "sources", F.when(F.col("mass.c") >= 0.7, "confirmed").otherwise("uncertain").alias("status"), F.size("rs").alias("n_observations"),
+        "report_id", (F.row_number().over(W.partitionBy("report_id").orderBy("entity")) - 1).cast("long").alias("id"), "entity", *[F.col(f"rep.{c}") for c in BOX],
+        F.coalesce("said", "rep.text").alias("text"), F.coalesce("shown", "rep.caption").alias("caption"), F.coalesce("kind", "rep.class").alias("class"),
+        (F.floor(F.col("mass.c") * 1000 + 0.5) / 1000).alias("conf"), "interactive", "sources", F.size("rs").alias("n_observations"),
     )
-    return out.where(F.col("conf") >= min_conf)
+    return out.withColumns({
+        "center": F.array(half("x1", "x2"), half("y1", "y2")), "type": F.when(F.col("interactive"), "interactive").otherwise("element"),
+        "status": F.when(F.col("conf") >= 0.7, "confirmed").otherwise("uncertain"), "assertion": assertion(F.col("sources"), F.col("conf")),
+    })
+
+
+def assertion(sources, conf):
+    """Fixed value: the sentence that says who saw an element and how sure that is."""
+    status = F.when(conf >= 0.7, "已确认").otherwise("推测")
+    return F.concat(F.lit("此元素由 "), F.array_join(sources, " + "), F.lit(" 检测，conf "), F.regexp_replace(conf.cast("string"), r"\.0$", ""), F.lit("（"), status, F.lit("）"))
 
 
 def dedup_ratio(n_raw, n_fused):
@@ -181,19 +230,18 @@ def dedup_ratio(n_raw, n_fused):
 
 def suppress(boxes: DataFrame, keys: list[str], threshold: float = 0.7, most: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression by falling score, ord on ties."""
-    names = boxes.columns
 
-    def one(key, c):
+    def one(c):
         at, kept = np.array([c[k] for k in BOX], float).T, []
         for i in range(len(at)):
             if most is not None and len(kept) >= most:
                 break
             if not kept or np_iou(at[i : i + 1], at[kept]).max() <= threshold:
                 kept.append(i)
-        return [tuple(c[n][i] for n in names) for i in kept]
+        chosen = set(kept)
+        return [[i in chosen for i in range(len(at))]]
 
-    kinds = ", ".join(f"{n} {t}" for n, t in boxes.dtypes)
-    return per_group(boxes, keys, [F.desc("score"), "ord"], one, kinds)
+    return annotate(boxes, keys, [F.desc("score"), "ord"], BOX, one, "_kept boolean").where("_kept").drop("_kept")
 
 
 def greedy_clusters(vectors: DataFrame, keys: list[str], threshold: float = 0.75) -> DataFrame:
@@ -225,8 +273,24 @@ def greedy_clusters(vectors: DataFrame, keys: list[str], threshold: float = 0.75
     return vectors.select(*keys, "ord", "embedding").groupBy(*keys).applyInPandas(one, f"{head}, ord long, cluster long, sim_to_rep double")
 
 
-def cluster_summary(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    return clustered.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("representative"))
+def cluster_summary(clustered: DataFrame, keys: list[str], vectors: DataFrame | None = None) -> DataFrame:
+    """keys, cluster, size, representative, members (ord, sim_to_rep by falling similarity) and,
+    given the vectors (keys, ord, embedding), mean_sim: the mean similarity of two different members,
+    1 for a single one. The mean comes from the sums of members, not from pairs."""
+    by = [*keys, "cluster"]
+    members = F.array_sort(F.collect_list(F.struct((-F.col("sim_to_rep")).alias("far"), "ord")))
+    out = clustered.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("representative"), members.alias("_members"))
+    out = out.withColumn("members", F.transform("_members", lambda m: F.struct(m["ord"].alias("ord"), (-m["far"]).alias("sim_to_rep")))).drop("_members")
+    if vectors is None:
+        return out
+    x = clustered.select(*by, "ord").join(vectors.select(*keys, "ord", "embedding"), [*keys, "ord"])
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
+    x = x.withColumn("_norm", norm).select(*by, F.when(F.col("_norm") > 0, 1.0).otherwise(0.0).alias("_own"), F.posexplode(F.transform("embedding", lambda v: F.when(F.col("_norm") > 0, v.cast("double") / F.col("_norm")).otherwise(0.0))).alias("_dim", "_v"))
+    sums = x.groupBy(*by, "_dim").agg(F.sum("_v").alias("_s"), F.sum("_own").alias("_own"))
+    square = sums.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("_square"), F.max("_own").alias("_own"))
+    n = F.col("size")
+    mean = F.when(n > 1, (F.col("_square") - F.col("_own")) / (n * (n - 1))).otherwise(1.0)
+    return out.join(square, by).withColumn("mean_sim", mean).drop("_square", "_own")
 
 
 def cluster_metrics(summary: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,10 +20,10 @@ RGB = ("r", "g", "b")
 
 
 def pixels(images: DataFrame) -> DataFrame:
-    """Rows of pixels from image_id, w, h, data; JVM expressions only."""
+    """Rows of pixels (image_id, x, y, r, g, b, w, h) from image_id, w, h, data; JVM expressions only."""
     byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, 3 * i + {k + 1}, 1)")), 16, 10).cast("int")
     d = images.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long") * F.col("h") - 1)))
-    return d.select("image_id", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).alias("y"), *[byte(k).alias(c) for k, c in enumerate(RGB)])
+    return d.select("image_id", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).alias("y"), *[byte(k).alias(c) for k, c in enumerate(RGB)], "w", "h")
 
 
 def histogram(px: DataFrame, key: str = "image_id") -> DataFrame:
@@ -47,10 +47,10 @@ def equal_bins(value: Column, bins: int, lo=0.0, hi=1.0, closed_last: bool = Fal
     return k.when(value == hi, bins - 1) if closed_last else k
 
 
-def otsu(df: DataFrame, keys: list[str], gray: str) -> DataFrame:
+def otsu(df: DataFrame, keys: list[str], gray: str, n: str | None = None) -> DataFrame:
     """keys, threshold: the first value of greatest between-class variance, by running
-    sums over counts; a uniform group gives its value."""
-    c = df.groupBy(*keys, gray).agg(F.count(F.lit(1)).alias("n"))
+    sums over counts (n, if the rows are counts already); a uniform group gives its value."""
+    c = df.groupBy(*keys, gray).agg(F.sum(n).alias("n") if n else F.count(F.lit(1)).alias("n"))
     low = W.partitionBy(*keys).orderBy(gray).rowsBetween(W.unboundedPreceding, 0)
     all_ = W.partitionBy(*keys)
     n, s = F.sum("n"), F.sum(F.col("n") * F.col(gray))
@@ -65,11 +65,16 @@ def foreground(df: DataFrame, keys: list[str], gray: str, thresholds: DataFrame)
     return df.join(thresholds, keys).groupBy(*keys).agg(F.avg((F.col(gray) < F.col("threshold")).cast("int")).alias("foreground"))
 
 
+def grays(px: DataFrame) -> DataFrame:
+    """px with gray, the fixed-point luma."""
+    return px.withColumn("gray", C.gray(*[F.col(c).cast("long") for c in RGB]).cast("long"))
+
+
 def tonal(px: DataFrame, key: str = "image_id") -> DataFrame:
-    """Luminance mean, population deviation, least, most and their contrast."""
-    lum = 0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")
-    rel = C.luminance(*[F.col(c) for c in RGB])
-    return px.groupBy(key).agg(F.avg(lum).alias("mean"), F.stddev_pop(lum).alias("std"), F.min(lum).alias("min"), F.max(lum).alias("max"), C.contrast(F.max(rel), F.min(rel)).alias("contrast"))
+    """Of the fixed-point luma: mean, population deviation, least, most and their contrast."""
+    g = F.col("gray")
+    light = lambda c: C.linear8(c)
+    return grays(px).groupBy(key).agg(F.avg(g).alias("mean"), F.stddev_pop(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"), C.contrast(light(F.max(g)), light(F.min(g))).alias("contrast"))
 
 
 def layout(df: DataFrame, keys: list[str], x: str, y: str, weight: str, w: Column, h: Column, floor: float = 10) -> DataFrame:
@@ -89,22 +94,58 @@ def grid(c: Column, size: Column, n: int) -> Column:
     return F.least(F.floor(((c + 1) * n - 1) / size), F.lit(n - 1)).cast("int")
 
 
-def density_label(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, gx, gy (0 to 2), weight -> label: the edge a picture leans to, else centre or uniform."""
-    part = lambda cond: F.coalesce(F.avg(F.when(cond, F.col("weight"))), F.lit(0.0))
-    g = df.groupBy(*keys).agg(F.avg("weight").alias("mean"), part(F.col("gy") == 0).alias("top"), part(F.col("gy") == 2).alias("bottom"), part(F.col("gx") == 0).alias("left"), part(F.col("gx") == 2).alias("right"), part((F.col("gx") == 1) & (F.col("gy") == 1)).alias("center"))
-    out = F.lit("uniform")
-    for name, k in (("center", 1.1), ("right", 1.3), ("left", 1.3), ("bottom", 1.3), ("top", 1.3)):
-        out = F.when(F.col(name) > k * F.col("mean"), name).otherwise(out)
-    return g.select(*keys, out.alias("label"))
-
-
-def ascii_art(px: DataFrame, cols: int, rows: int, w: Column, h: Column, key: str = "image_id") -> DataFrame:
-    """image_id, row, line: mean luminance of each block as a ramp character."""
+def regions(px: DataFrame, w: Column, h: Column, key: str = "image_id") -> DataFrame:
+    """key, layout: where a picture is bright, by mean luma of a 3 x 3 grid (an empty cell is 0). A
+    side column is a sidebar if it is over 1.3 times the mean of all nine and brighter than the other
+    side, the top row a toolbar and the bottom row a status bar over 1.3 times, the middle cell main
+    content over 1.1 times; else uniform."""
+    cells = grays(px).groupBy(key, grid(F.col("x"), w, 3).alias("gx"), grid(F.col("y"), h, 3).alias("gy")).agg(F.avg("gray").alias("v"))
+    of = lambda cond, n: F.coalesce(F.sum(F.when(cond, F.col("v"))), F.lit(0.0)) / n
+    gx, gy = F.col("gx"), F.col("gy")
+    d = cells.groupBy(key).agg(of(F.lit(True), 9).alias("all"), of(gx == 0, 3).alias("left"), of(gx == 2, 3).alias("right"), of(gy == 0, 3).alias("top"), of(gy == 2, 3).alias("bottom"), of((gx == 1) & (gy == 1), 1).alias("mid"))
+    over = lambda c, k: (F.col("all") > 0) & (F.col(c) > F.col("all") * k)
+    found = F.array_compact(F.array(
+        F.when(over("left", 1.3) & (F.col("left") > F.col("right")), "left_sidebar"), F.when(over("right", 1.3) & (F.col("right") > F.col("left")), "right_sidebar"),
+        F.when(over("top", 1.3), "top_toolbar"), F.when(over("bottom", 1.3), "bottom_statusbar"), F.when(over("mid", 1.1), "main_content"),
+    ))
+    return d.select(key, F.when(F.size(found) == 0, F.array(F.lit("uniform"))).otherwise(found).alias("layout"))
+
+
+def _bound(k: Column, size: Column, n: int) -> Column:
+    return F.floor(k * size / n)
+
+
+def ascii_art(px: DataFrame, cols: int, rows: int, w: Column, h: Column, key: str = "image_id", color: bool = False, elements: DataFrame | None = None) -> DataFrame:
+    """key, row, line: the mean luminance of each block as a ramp character, or, with color, the
+    letter of its mean colour where it has one. With elements (key, x1..y2) a block that one of
+    them overlaps is drawn as four characters, its quarters row by row, and blocks or quarters
+    without a pixel are blank; without elements such blocks are left out."""
+    c, r = grid(F.col("x"), w, cols), grid(F.col("y"), h, rows)
     lum = 0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")
-    d = px.select(key, grid(F.col("x"), w, cols).alias("c"), grid(F.col("y"), h, rows).alias("row"), lum.alias("lum")).groupBy(key, "row", "c").agg(F.avg("lum").alias("lum"))
-    d = d.withColumn("ch", C.ramp_char(F.col("lum")))
-    return d.groupBy(key, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "ch"))), lambda s: s["ch"]), "").alias("line"))
+    middle = lambda k, size, n: F.floor((_bound(k, size, n) + _bound(k + 1, size, n)) / 2)
+    quarter = F.when(F.col("y") >= middle(r, h, rows), 2).otherwise(0) + F.when(F.col("x") >= middle(c, w, cols), 1).otherwise(0)
+    d = px.select(key, c.alias("c"), r.alias("row"), quarter.alias("q"), lum.alias("lum"), *RGB)
+    # sums by quarter serve both resolutions: what stands above is a few numbers a block
+    q = d.groupBy(key, "row", "c", "q").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(k).cast("double")).alias(k) for k in ("lum", *RGB)])
+    if elements is None:
+        q = q.withColumn("fine", F.lit(False))
+    else:
+        every = px.select(key, w.alias("_w"), h.alias("_h")).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+        size = every.select(key, "_w", "_h").distinct()
+        side = lambda lo, hi, of, n: F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (_bound(k, F.col(of), n) < F.col(hi).cast("long")) & (_bound(k + 1, F.col(of), n) > F.col(lo).cast("long")))
+        on = elements.join(size, key).withColumn("c", F.explode(side("x1", "x2", "_w", cols))).withColumn("row", F.explode(side("y1", "y2", "_h", rows))).select(key, "row", "c").distinct()
+        every = every.drop("_w", "_h").join(on.withColumn("fine", F.lit(True)), [key, "row", "c"], "left").withColumn("fine", F.coalesce("fine", F.lit(False)))
+        q = every.join(q, [key, "row", "c"], "left")
+    q = q.withColumn("q", F.when(F.col("fine"), F.col("q")).otherwise(F.lit(0)))
+    q = q.groupBy(key, "row", "c", "fine", "q").agg(*[F.sum(k).alias(k) for k in ("n", "lum", *RGB)])
+    mean = [F.col(k) / F.col("n") for k in RGB]
+    ch = C.ramp_char(F.col("lum") / F.col("n"))
+    ch = F.when(C.letter(*mean) != "K", C.letter(*mean)).otherwise(ch) if color else ch
+    q = q.withColumn("ch", F.when(F.col("n").isNull(), " ").otherwise(ch))
+    part = lambda k: F.coalesce(F.max(F.when(F.col("q") == k, F.col("ch"))), F.lit(" "))
+    block = q.groupBy(key, "row", "c", "fine").agg(part(0).alias("a"), part(1).alias("b"), part(2).alias("d"), part(3).alias("e"))
+    block = block.select(key, "row", "c", F.when(F.col("fine"), F.concat("a", "b", "d", "e")).otherwise(F.col("a")).alias("ch"))
+    return block.groupBy(key, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "ch"))), lambda s: s["ch"]), "").alias("line"))
 
 
 def heat_map(points: DataFrame, keys: list[str], w, h, n: int = 16) -> DataFrame:
@@ -144,15 +185,22 @@ def dominant(px: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return c.where(F.col("rank") <= k).withColumn("hex", C.hex_of_rgb(*[F.col(x) for x in RGB]))
 
 
-def wall_facts(px: DataFrame, key: str = "image_id") -> DataFrame:
-    """Per image: mean saturation (0 to 255) and value, the commonest whole hue of what
-    has saturation 25 or more (the smaller on ties), and the classes drawn from them."""
+def brightness_saturation(px: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, brightness, saturation: means of value and saturation, halves to even."""
     s, v = C.saturation_value(*[F.col(c).cast("long") for c in RGB])
-    h = F.floor(C.hue(*[F.col(c).cast("double") for c in RGB]))
+    return px.groupBy(key).agg(F.rint(F.avg(v)).cast("long").alias("brightness"), F.rint(F.avg(s)).cast("long").alias("saturation"))
+
+
+def wall_facts(px: DataFrame, key: str = "image_id") -> DataFrame:
+    """Per image (of at most 512 pixels a side, see `downsampled`): mean saturation and value,
+    halves to even, the commonest hue in bytes of what has saturation 25 or more (the smaller
+    on ties) in degrees, and the classes drawn from them."""
+    h, s, v = C.hsv8(*[F.col(c) for c in RGB])
     d = px.select(key, s.alias("s"), v.alias("v"), F.when(s >= 25, h).alias("h"))
-    mean = d.groupBy(key).agg(F.avg("s").alias("s"), F.avg("v").alias("v"))
-    top = d.where("h IS NOT NULL").groupBy(key, "h").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("hue"))
-    out = mean.join(top, key, "left").withColumns({"family": C.family(F.col("hue"), F.col("s")), "warmth": C.warmth(F.col("hue"), F.col("s")), "tone": C.tone(F.col("v")), "saturation": C.saturation_tier(F.col("s"))})
+    mean = d.groupBy(key).agg(F.rint(F.avg("s")).cast("long").alias("s"), F.rint(F.avg("v")).cast("long").alias("v"))
+    top = d.where("h IS NOT NULL").groupBy(key, "h").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("h"))
+    out = mean.join(top.select(key, F.rint(F.col("h") * 360 / 255).cast("long").alias("hue")), key, "left")
+    out = out.withColumns({"family": C.family(F.col("hue"), F.col("s")), "warmth": C.warmth(F.col("hue"), F.col("s")), "tone": C.tone(F.col("v")), "saturation": C.saturation_tier(F.col("s"))})
     return out.withColumn("category", F.concat_ws("·", "warmth", "tone", "saturation"))
 
 
@@ -220,41 +268,58 @@ def edge_points(gray: np.ndarray, sigma: float = 1.0, least: float = 10.0) -> li
 
 
 def labels(mask: np.ndarray, diagonal: bool = False) -> tuple[np.ndarray, int]:
-    """Connected parts of a mask, numbered from 1 in raster order."""
-    out, n = np.zeros(mask.shape, np.int64), 0
-    near = [(0, 1), (0, -1), (1, 0), (-1, 0)] + [(1, 1), (1, -1), (-1, 1), (-1, -1)] * diagonal
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if out[y, x]:
-            continue
-        n += 1
-        out[y, x] = n
-        todo = deque([(y, x)])
-        while todo:
-            i, j = todo.popleft()
-            for di, dj in near:
-                a, b = i + di, j + dj
-                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
-                    out[a, b] = n
-                    todo.append((a, b))
-    return out, n
+    """Connected parts of a mask, numbered from 1 in raster order: runs of each row are joined
+    with those they touch in the row above."""
+    out = np.zeros(mask.shape, np.int64)
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    rows, starts = np.nonzero(edge == 1)
+    stops = np.nonzero(edge == -1)[1]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    first = np.searchsorted(rows, np.arange(mask.shape[0] + 1))
+    reach = 1 if diagonal else 0
+    for y in range(1, mask.shape[0]):
+        j, end = int(first[y - 1]), int(first[y])
+        for i in range(int(first[y]), int(first[y + 1])):
+            while j < end and stops[j] + reach <= starts[i]:
+                j += 1
+            k = j
+            while k < end and starts[k] < stops[i] + reach:
+                a, b = root(i), root(k)
+                up[max(a, b)] = min(a, b)
+                k += 1
+    number: dict[int, int] = {}
+    for i in range(len(rows)):
+        out[rows[i], starts[i] : stops[i]] = number.setdefault(root(i), len(number) + 1)
+    return out, len(number)
 
 
 def parts(mask: np.ndarray, least: int, most: int | None = None, diagonal: bool = False, score: np.ndarray | None = None) -> list[dict]:
-    """Box, size and mean score of each part of at least `least` pixels, by score (or size) down."""
+    """Box (edges are its own pixels), size and mean score of each part of at least `least`
+    pixels: by falling score to three digits if one is given, else in raster order; the first `most`."""
     lab, n = labels(mask, diagonal)
-    out = []
-    for k in range(1, n + 1):
-        y, x = np.nonzero(lab == k)
-        if len(y) >= least:
-            out.append({"x1": int(x.min()), "y1": int(y.min()), "x2": int(x.max()) + 1, "y2": int(y.max()) + 1, "size": len(y), "score": float(score[y, x].mean()) if score is not None else float(len(y))})
-    out.sort(key=lambda r: -r["score"])
+    y, x = np.nonzero(lab)
+    of = lab[y, x] - 1
+    size = np.bincount(of, minlength=n)
+    box = [np.full(n, v) for v in (mask.shape[1], mask.shape[0], -1, -1)]
+    for to, by, v in zip(box, (np.minimum, np.minimum, np.maximum, np.maximum), (x, y, x, y), strict=True):
+        by.at(to, of, v)
+    mean = np.floor(np.bincount(of, score[y, x], n) / np.maximum(size, 1) * 1000 + 0.5) / 1000 if score is not None else size
+    out = [{"x1": int(box[0][k]), "y1": int(box[1][k]), "x2": int(box[2][k]), "y2": int(box[3][k]), "size": int(size[k]), "score": float(mean[k])} for k in range(n) if size[k] >= least]
+    if score is not None:
+        out.sort(key=lambda r: -r["score"])
     return out[:most]
 
 
 def palette(colors: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[tuple, int]]:
     """Median cut over a colour histogram: the largest box by pixels is split on the axis
     of widest weighted range where the lower half holds half its pixels; each colour
-    then goes to the nearest box mean; palette by falling count."""
+    then goes to the nearest box mean, its own on ties; palette by falling count."""
     weight = np.array([77, 150, 29])
     boxes = [np.arange(len(colors))]
     while len(boxes) < k:
@@ -276,23 +341,27 @@ def palette(colors: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[tuple,
             cut = int(np.argmax(values == values[-1])) or 1
         boxes[n : n + 1] = [order[:cut], order[cut:]]
     means = np.array([np.rint(np.average(colors[b], axis=0, weights=counts[b])) for b in boxes])
-    near = ((colors[:, None] - means[None]) ** 2).sum(2).argmin(1)
+    far = ((colors[:, None] - means[None]) ** 2).sum(2)
+    own = np.zeros(len(colors), int)
+    for i, b in enumerate(boxes):
+        own[b] = i
+    near = np.where(far[np.arange(len(colors)), own] <= far.min(1), own, far.argmin(1))
     total = np.bincount(near, counts, len(means)).astype(int)
     order = np.argsort(-total, kind="stable")
     return [(tuple(int(v) for v in means[i]), int(total[i])) for i in order if total[i]]
 
 
 def palettes(hist: DataFrame, k: int = 8, key: str = "image_id") -> DataFrame:
-    """image_id, rank, hex, share from a histogram; an image's distinct colours are one task's."""
+    """image_id, rank, hex, n, share from a histogram; an image's distinct colours are one task's."""
     kind = dict(hist.dtypes)[key]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(RGB))
         found = palette(rows[list(RGB)].to_numpy(np.int64), rows.n.to_numpy(np.int64), k)
         n = rows.n.sum()
-        return pd.DataFrame([(rows[key].iloc[0], i, "#%02X%02X%02X" % c, m / n) for i, (c, m) in enumerate(found)], columns=[key, "rank", "hex", "share"])
+        return pd.DataFrame([(rows[key].iloc[0], i, "#%02X%02X%02X" % c, m, m / n) for i, (c, m) in enumerate(found)], columns=[key, "rank", "hex", "n", "share"])
 
-    return hist.groupBy(key).applyInPandas(one, f"{key} {kind}, rank int, hex string, share double")
+    return hist.groupBy(key).applyInPandas(one, f"{key} {kind}, rank int, hex string, n long, share double")
 
 
 def superpixels(img: np.ndarray, n: int, compactness: float = 10.0, rounds: int = 10) -> np.ndarray:
@@ -383,6 +452,48 @@ def upscale(img: np.ndarray, k: int = 2) -> np.ndarray:
     return img.repeat(k, 0).repeat(k, 1)
 
 
+def kernel_resize(a: np.ndarray, w: int, h: int, kind: str) -> np.ndarray:
+    """Resampling without antialiasing: linear or cubic about pixel middles (cubic with -0.75, edges
+    repeated), or zoom, linear from the first pixel's middle to the last one's."""
+
+    def one(v, n, axis):
+        size = v.shape[axis]
+        at = np.arange(n) * (size - 1) / max(n - 1, 1) if kind == "zoom" else (np.arange(n) + 0.5) * size / n - 0.5
+        low = np.floor(at).astype(int)
+        f = at - low
+        if kind == "cubic":
+            t = np.stack([f + 1, f, 1 - f, 2 - f])
+            k = np.where(t <= 1, (1.25 * t - 2.25) * t * t + 1, -0.75 * (((t - 5) * t + 8) * t - 4))
+            taps = range(-1, 3)
+        else:
+            k, taps = np.stack([1 - f, f]), range(2)
+        shape = [-1 if i == axis else 1 for i in range(v.ndim)]
+        return sum(np.take(v, np.clip(low + d, 0, size - 1), axis) * k[i].reshape(shape) for i, d in enumerate(taps))
+
+    return one(one(a.astype(float), w, 1), h, 0)
+
+
+def model_input(img: np.ndarray, side: int, mean: tuple, std: tuple) -> np.ndarray:
+    """A picture as a normalised tensor [3, side, side]: the shorter side resized (bicubic), the middle cut out."""
+    h, w = img.shape[:2]
+    k = side / min(w, h)
+    big = resize(img, max(side, int(w * k + 0.5)), max(side, int(h * k + 0.5)), "bicubic")
+    y, x = (big.shape[0] - side) // 2, (big.shape[1] - side) // 2
+    cut = big[y : y + side, x : x + side] / 255.0
+    return ((cut - np.array(mean)) / np.array(std)).transpose(2, 0, 1).astype(np.float32)
+
+
+def downsampled(images: DataFrame, most: int = 512) -> DataFrame:
+    """images with the longer side brought down to `most` (lanczos); smaller ones as they are."""
+
+    def work(r, a):
+        k = most / max(r.w, r.h)
+        w, h = (max(1, int(r.w * k)), max(1, int(r.h * k))) if k < 1 else (r.w, r.h)
+        return [(r.image_id, w, h, (resize(a, w, h, "lanczos") if k < 1 else a).tobytes())]
+
+    return per_image(images, work, "image_id long, w int, h int, data binary")
+
+
 def per_image(images: DataFrame, work, schema: str) -> DataFrame:
     """work(row, array) -> rows, over images one by one; images never meet."""
 

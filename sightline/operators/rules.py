@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import color as C
-from .groups import per_group
+from .groups import annotate, per_group
 from .joins import overlap_pairs
 
 WEIGHT = {"critical": 1.0, "warn": 0.5, "info": 0.1}
 #: Fills that say nothing of the colour behind a text.
 NO_FILL = ("BACKGROUND (5)", "SOLID (1)")
+#: The rules' thresholds where none are given.
 DEFAULTS = {"align_tol": 4.0, "align_drift": 4.0, "margin": 1.0, "spacing_k": 1.8, "min_iou": 0.01, "min_area": 200.0}
 FINDING = ["report_id", "rule", "element_ids", "severity", "x1", "y1", "x2", "y2", "value"]
 
@@ -42,7 +43,7 @@ def contrast(elements: DataFrame) -> DataFrame:
     """Coloured runs (texts: text, color, size_pt) against the fill: required 3 from 18 pt, else 4.5; below 2 critical."""
     runs = elements.withColumn("run", F.explode("texts")).withColumn("back", F.coalesce("fill", F.col("color.fill")))
     runs = runs.where(~F.col("back").isin(*NO_FILL) & C.hex_ok(F.col("back")) & C.hex_ok(F.col("run.color")))
-    lum = lambda h: C.luminance(*C.rgb_of_hex(h))
+    lum = lambda h: C.luminance8(*C.rgb_of_hex(h))
     ratio = C.contrast(lum(F.col("run.color")), lum(F.col("back")))
     need = F.when(F.coalesce(F.col("run.size_pt"), F.lit(11.0)) >= 18, 3.0).otherwise(4.5)
     bad = runs.withColumn("ratio", ratio).where(F.col("ratio") < need)
@@ -54,36 +55,41 @@ def overlap(elements: DataFrame, min_iou: float = DEFAULTS["min_iou"], min_area:
 
 
 def leaders(values: np.ndarray, tol: float) -> list[list[int]]:
-    """Groups by distance to a group's first member, in order of value."""
+    """Groups by distance to a group's first member: in the order given, each value joins the
+    first group in reach."""
     out: list[list[int]] = []
-    for i in np.argsort(values, kind="stable").tolist():
-        if out and abs(values[i] - values[out[-1][0]]) <= tol:  # in order of value only the last group is in reach
-            out[-1].append(i)
+    first = np.empty(len(values))
+    for i, v in enumerate(values):
+        near = np.flatnonzero(np.abs(first[: len(out)] - v) <= tol)
+        if len(near):
+            out[near[0]].append(i)
         else:
+            first[len(out)] = v
             out.append([i])
     return out
 
 
 def alignment(elements: DataFrame, tol: float = DEFAULTS["align_tol"], drift: float = DEFAULTS["align_drift"]) -> DataFrame:
-    """Designed elements off an edge or middle that two or more share. Groups depend on
-    their first member, so a report is one task's work; reports are the parallel unit."""
+    """Designed elements off an edge or middle that two or more share; axis, at (the element's
+    place), mean (the group's) and value (how far off) say how. Groups depend on the elements'
+    order, so a report is one task's work; reports are the parallel unit."""
 
     def one(key, c):
         out = []
         left, right = np.array(c["x1"]), np.array(c["x2"])
-        for v in (left, right, (left + right) / 2):
+        for axis, v in (("left", left), ("right", right), ("hcenter", (left + right) / 2)):
             for g in leaders(v, tol):
                 if len(g) < 2:
                     continue
-                mean, own = v[g].mean(), set(v[g])
-                for i, x in enumerate(v):
-                    if x not in own and tol < abs(x - mean) <= drift * tol:
-                        out.append((key[0], "alignment_drift", [c["ord"][i]], "info", *(c[k][i] for k in ("x1", "y1", "x2", "y2")), float(abs(x - mean))))
+                mean = v[g].mean()
+                far = np.abs(v - mean)
+                for i in np.flatnonzero((far > tol) & (far <= drift * tol) & ~np.isin(v, v[g])):
+                    out.append((key[0], "alignment_drift", [c["ord"][i]], "info", *(c[k][i] for k in ("x1", "y1", "x2", "y2")), float(far[i]), axis, float(v[i]), float(mean)))
         return out
 
     d = elements.where(designed(F.col("source"), F.col("font"), F.col("z"))).select("report_id", F.col("ord").cast("long").alias("ord"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     kind = dict(elements.dtypes)["report_id"]
-    return per_group(d, ["report_id"], ["ord"], one, f"report_id {kind}, rule string, element_ids array<long>, severity string, x1 double, y1 double, x2 double, y2 double, value double")
+    return per_group(d, ["report_id"], ["ord"], one, f"report_id {kind}, rule string, element_ids array<long>, severity string, x1 double, y1 double, x2 double, y2 double, value double, axis string, at double, mean double")
 
 
 def row_groups(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
@@ -103,22 +109,24 @@ def row_groups(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
 
 def rows_of(elements: DataFrame) -> DataFrame:
     """Designed elements with `row`, their visual row in the report."""
-    kind = dict(elements.dtypes)["report_id"]
 
-    def one(key, c):
-        row = row_groups(np.array(c["y1"]), np.array(c["y2"])).tolist()
-        return zip(c["report_id"], c["ord"], c["x1"], c["y1"], c["x2"], c["y2"], row, strict=True)
+    def one(c):
+        return [row_groups(np.array(c["y1"]), np.array(c["y2"])).tolist()]
 
     d = elements.where(designed(F.col("source"), F.col("font"), F.col("z"))).select("report_id", F.col("ord").cast("long").alias("ord"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return per_group(d, ["report_id"], ["ord"], one, f"report_id {kind}, ord long, x1 double, y1 double, x2 double, y2 double, row long")
+    return annotate(d, ["report_id"], ["ord"], ["y1", "y2"], one, "row long")
+
+
+def gaps(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with gap, the positive space between a box and the next one to the right, and next and next_x2, that one's; boxes without are left out."""
+    order = W.partitionBy(*keys).orderBy("x1", "ord")
+    return df.withColumns({"gap": F.lead("x1").over(order) - F.col("x2"), "next": F.lead("ord").over(order), "next_x2": F.lead("x2").over(order)}).where("gap > 0")
 
 
 def spacing(elements: DataFrame, k: float = DEFAULTS["spacing_k"], least: float = 8.0) -> DataFrame:
     """Gaps in rows of three or more that are over k times the row's upper median gap."""
     row = W.partitionBy("report_id", "row")
-    order = row.orderBy("x1", "ord")
-    d = rows_of(elements).withColumn("n", F.count(F.lit(1)).over(row)).where("n >= 3")
-    d = d.withColumn("gap", F.lead("x1").over(order) - F.col("x2")).withColumn("next", F.lead("ord").over(order)).withColumn("next_x2", F.lead("x2").over(order)).where("gap > 0")
+    d = gaps(rows_of(elements).withColumn("n", F.count(F.lit(1)).over(row)).where("n >= 3"), ["report_id", "row"])
     d = d.withColumn("gaps", F.array_sort(F.collect_list("gap").over(row))).withColumn("median", F.element_at("gaps", F.floor(F.size("gaps") / 2).cast("int") + 1))
     bad = d.where((F.size("gaps") >= 2) & (F.col("gap") > k * F.col("median")) & (F.col("gap") >= least))
     return _finding(bad.withColumn("x1", F.col("x2")).withColumn("x2", F.col("x2") + F.col("gap")), "spacing_anomaly", F.lit("info"), F.array("ord", "next"), F.col("gap"))
@@ -149,7 +157,7 @@ def run(elements: DataFrame, **p) -> DataFrame:
     parts = [contrast(e), overlap(e, p["min_iou"], p["min_area"]), alignment(e, p["align_tol"], p["align_drift"]), spacing(e, p["spacing_k"]), safe_area(e, p["margin"])]
     out = ids(parts[0]).withColumn("rule_ord", F.lit(0))
     for i, d in enumerate(parts[1:], 1):
-        out = out.unionByName(ids(d).withColumn("rule_ord", F.lit(i)))
+        out = out.unionByName(ids(d).withColumn("rule_ord", F.lit(i)), allowMissingColumns=True)
     return out
 
 
@@ -173,7 +181,7 @@ def audit(elements: DataFrame, min_iou: float = 0.05, min_area: float = 400.0) -
     out = (F.col("x1") < -1) | (F.col("y1") < -1) | (F.col("x2") > F.col("canvas_w") + 1) | (F.col("y2") > F.col("canvas_h") + 1)
     off = e.where(out).select("report_id", F.lit("off_canvas"), F.array("ord").cast("array<long>"), F.lit(0.95))
     first = F.coalesce(F.get(F.filter("texts", lambda t: t["color"].isNotNull()), F.lit(0))["color"], F.col("color.text"))
-    lum = lambda h: C.luminance(*C.rgb_of_hex(h))
+    lum = lambda h: C.luminance8(*C.rgb_of_hex(h))
     ink = e.withColumn("ink", first).withColumn("back", F.coalesce("fill", F.col("color.fill"))).where(C.hex_ok(F.col("ink")) & C.hex_ok(F.col("back")))
     low = ink.where(C.contrast(lum(F.col("ink")), lum(F.col("back"))) < 4.5).select("report_id", F.lit("contrast"), F.array("ord").cast("array<long>"), F.lit(1.0))
     return pairs.union(off).union(low)

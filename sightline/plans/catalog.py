@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -18,26 +17,11 @@ from ..sources import files, reports
 from ..streaming import events as V
 from . import proxies as P
 from . import tasks
+from .registry import QUERIES, SQL, query, rounded
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "overlap_score"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(c, n=6):
-    return F.round(c, n)
-
-
 _BOTH = """ix AS (SELECT a.report_id, a.ord AS a_ord, b.ord AS b_ord,
     (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS area,
     (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab
@@ -75,12 +59,17 @@ SELECT report_id, ord, CASE WHEN ratio < 2 THEN 'critical' ELSE 'warn' END AS se
 WHERE ratio < CASE WHEN pt >= 18 THEN 3.0 ELSE 4.5 END""")
 def contrast_findings(spark, sf):
     e = P.elements(spark, sf)
-    k = (F.col("ord") * 97 + F.col("seed") * 5) % 256
-    e = e.withColumns({"fill": C.hex_of_rgb(*P.colors(F.col("seed"))), "texts": F.array(F.struct(F.lit("x").alias("text"), C.hex_of_rgb(k, (k * 3) % 256, (k * 7) % 256).alias("color"), F.when(F.col("seed") % 3 == 0, 18.0).otherwise(11.0).alias("size_pt")))})
-    d = U.contrast(U.prepared(e))
+    d = U.contrast(U.prepared(e.withColumns(_inked())))
     return d.select("report_id", F.col("element_ids")[0].alias("ord"), "severity", rounded(F.col("value")).alias("ratio"))
 
 
+def _inked() -> dict:
+    """A fill and a run of coloured text for every element."""
+    k = (F.col("ord") * 97 + F.col("seed") * 5) % 256
+    run = F.struct(F.lit("x").alias("text"), C.hex_of_rgb(k, (k * 3) % 256, (k * 7) % 256).alias("color"), F.when(F.col("seed") % 3 == 0, 18.0).otherwise(11.0).alias("size_pt"))
+    return {"fill": C.hex_of_rgb(*P.colors(F.col("seed"))), "texts": F.array(run)}
+
+
 _SAFE = """sf AS (SELECT report_id, ord, CASE WHEN x1 < 0 OR y1 < 0 OR x2 > 960 OR y2 > 640 THEN 'critical'
   WHEN NOT ((x1 <= 0 AND x2 >= 960) OR (y1 <= 0 AND y2 >= 640)) AND least(x1, y1, 960 - x2, 640 - y2) <= 1 THEN 'warn' END AS severity,
   least(x1, y1, 960 - x2, 640 - y2) AS edge FROM el)"""
@@ -102,12 +91,17 @@ def severity_histogram(spark, sf):
     return U.severities(_safe(spark, sf))
 
 
-@query(f"""WITH {P.ELEMENTS_SQL}, {_BOTH}, au AS (
+_INK = f"""c AS (SELECT report_id, ord, (seed * 73) % 256 AS r, (seed * 151) % 256 AS g, (seed * 211) % 256 AS b, (ord * 97 + seed * 5) % 256 AS k FROM el),
+ink AS (SELECT report_id, ord, {_LUM('')} AS a, {_LUM('k')} AS z FROM (SELECT *, k AS kr, (k * 3) % 256 AS kg, (k * 7) % 256 AS kb FROM c))"""
+
+
+@query(f"""WITH {P.ELEMENTS_SQL}, {_BOTH}, {_INK}, au AS (
   SELECT report_id, 'overlap' AS type, least(0.99, area / (aa + ab - area) + 0.5) AS confidence FROM ix WHERE area >= 400 AND area / (aa + ab - area) > 0.05
-  UNION ALL SELECT report_id, 'off_canvas', 0.95 FROM el WHERE x1 < -1 OR y1 < -1 OR x2 > 961 OR y2 > 641)
+  UNION ALL SELECT report_id, 'off_canvas', 0.95 FROM el WHERE x1 < -1 OR y1 < -1 OR x2 > 961 OR y2 > 641
+  UNION ALL SELECT report_id, 'contrast', 1.0 FROM ink WHERE (greatest(a, z) + 0.05) / (least(a, z) + 0.05) < 4.5)
 SELECT report_id, type, count(*) AS n, round(max(confidence), 6) AS top FROM au GROUP BY report_id, type""")
 def audit_findings(spark, sf):
-    e = P.elements(spark, sf).withColumns({"canvas_w": F.lit(960.0), "canvas_h": F.lit(640.0)})
+    e = P.elements(spark, sf).withColumns({"canvas_w": F.lit(960.0), "canvas_h": F.lit(640.0), **_inked()})
     return U.audit(e).groupBy("report_id", "type").agg(F.count(F.lit(1)).alias("n"), rounded(F.max("confidence")).alias("top"))
 
 
@@ -210,16 +204,12 @@ def centroid_layout(spark, sf):
     return d.select("report_id", *[rounded(F.col(c)).alias(c) for c in ("cx", "cy")], "x1", "y1", "x2", "y2", rounded(F.col("coverage")).alias("coverage"))
 
 
-@query(f"""WITH {P.ELEMENTS_SQL}, p AS (SELECT DISTINCT kind, CAST(x1 AS BIGINT) AS x, CAST(y1 AS BIGINT) AS y FROM el),
-t AS (SELECT kind, x, y, unnest([-90, -45, 0, 45]) AS theta FROM p),
-v AS (SELECT kind, theta, CASE theta WHEN -90 THEN -2 * y WHEN 0 THEN 2 * x WHEN 45 THEN x + y ELSE x - y END AS rho, count(*) AS votes FROM t GROUP BY 1, 2, 3)
-SELECT kind, theta, rho, votes FROM v WHERE votes >= 20""")
+@query(f"""WITH {P.ELEMENTS_SQL}, p AS (SELECT DISTINCT kind, x1 AS x, y1 AS y FROM el), t AS (SELECT kind, x, y, unnest(range(-90, 90)) AS theta FROM p),
+v AS (SELECT kind, theta, CAST(round_even(x * cos(radians(theta)) + y * sin(radians(theta)), 0) AS BIGINT) AS rho, count(*) AS votes FROM t GROUP BY 1, 2, 3)
+SELECT kind, CAST(theta AS INTEGER) AS theta, rho, votes FROM v WHERE votes >= 30""")
 def hough_votes(spark, sf):
-    """The accumulator at right angles and diagonals, where rho is a whole number (halved or divided by the root of 2)."""
-    p = P.elements(spark, sf).select("kind", F.col("x1").cast("long").alias("x"), F.col("y1").cast("long").alias("y")).distinct()
-    rho = F.when(F.col("theta") == -90, -2 * F.col("y")).when(F.col("theta") == 0, 2 * F.col("x")).when(F.col("theta") == 45, F.col("x") + F.col("y")).otherwise(F.col("x") - F.col("y"))
-    d = p.withColumn("theta", F.explode(F.array(*map(F.lit, (-90, -45, 0, 45))))).groupBy("kind", "theta", rho.alias("rho")).agg(F.count(F.lit(1)).alias("votes"))
-    return d.where("votes >= 20")
+    p = P.elements(spark, sf).select("kind", F.col("x1").alias("x"), F.col("y1").alias("y")).distinct()
+    return R.hough(p, ["kind"]).where("votes >= 30").select("kind", "theta", "rho", "votes")
 
 
 @query()
@@ -284,37 +274,35 @@ def bbox_scalars(spark, sf):
     return P.elements(spark, sf).select("report_id", "ord", B.css_to_device(b[0], F.lit(3), F.lit(1.5)).alias("dx"), B.device_to_css(b[0], F.lit(3), F.lit(1.5)).alias("cx"), B.scaled(b, 0.5)[1].alias("sy"), k[0].alias("qx1"), k[2].alias("qx2"), B.area(b).alias("area"), B.notation(b).alias("note"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_extract(text, '[a-z]+', 0) AS w FROM conversations), d AS (SELECT unnest(['submit','cancel','ok','save','delete','edit','search','settings','login','logout','back','next','done','close','open','new','yes','no','the','of','and','to']) AS word, unnest(range(22)) AS i),
-k AS (SELECT conv_id, turn, w, word, levenshtein(w, word) AS dist, row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY levenshtein(w, word), i) AS r FROM (SELECT DISTINCT conv_id, turn, w FROM t WHERE w IS NOT NULL) CROSS JOIN d)
-SELECT conv_id, turn, w, CASE WHEN length(w) >= 2 AND dist <= 1 THEN word ELSE w END AS corrected, CASE WHEN length(w) >= 2 AND dist <= 1 THEN 0.9 ELSE 1.0 END AS corrected_conf FROM k WHERE r = 1""")
-def dict_correct(spark, sf):
-    words = "submit cancel ok save delete edit search settings login logout back next done close open new yes no the of and to".split()
-    t = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.regexp_extract("text", "[a-z]+", 0).alias("w")).distinct().withColumn("conf", F.lit(1.0))
-    return X.corrected(t, "w", "conf", words).select("conv_id", "turn", "w", "corrected", rounded(F.col("corrected_conf"), 3).alias("corrected_conf"))
+_COMMON = ", ".join(f"'{w}'" for w in X.COMMON)
 
 
-@query("""WITH w AS (SELECT conv_id, turn, regexp_extract(text, '[A-Za-z]+', 0) AS a FROM conversations WHERE text IS NOT NULL),
-p AS (SELECT x.conv_id, x.turn, y.turn AS next, lower(trim(x.a)) AS a, lower(trim(y.a)) AS b FROM (SELECT DISTINCT * FROM w) x JOIN (SELECT DISTINCT * FROM w) y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)
-SELECT conv_id, turn, a, b, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.7 ELSE greatest(0.0, 1 - levenshtein(a, b) / greatest(length(a), length(b))) END, 6) AS sim FROM p""")
-def text_similarity(spark, sf):
-    w = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.regexp_extract("text", "[A-Za-z]+", 0).alias("a")).distinct()
-    y = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
-    d = w.join(y, ["conv_id", "turn"])
-    return d.select("conv_id", "turn", F.lower("a").alias("a"), F.lower("b").alias("b"), rounded(X.similarity(F.col("a"), F.col("b"))).alias("sim"))
+@query(f"""WITH t AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), a AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]+') AS ws FROM t),
+s AS (SELECT conv_id, turn, unnest(range(len(ws))) AS place, unnest(ws) AS w FROM a), d AS (SELECT unnest([{_COMMON}]) AS word, unnest(range({len(X.COMMON)})) AS i),
+k AS (SELECT w, arg_min(word, (levenshtein(w, word), i)) AS best, min(levenshtein(w, word)) AS dist FROM (SELECT DISTINCT w FROM s) CROSS JOIN d GROUP BY w)
+SELECT conv_id, turn, CAST(place AS INTEGER) AS place, w, CASE WHEN length(w) >= 2 AND dist <= 1 THEN best ELSE w END AS corrected, CASE WHEN length(w) >= 2 AND dist <= 1 THEN 0.9 ELSE 1.0 END AS corrected_conf FROM s JOIN k USING (w)""")
+def dict_correct(spark, sf):
+    """Every word of every turn, by its place in the text."""
+    t = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text").distinct()
+    t = t.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("place", "w")).withColumn("conf", F.lit(1.0))
+    return X.corrected(t, "w", "conf").select("conv_id", "turn", "place", "w", "corrected", rounded(F.col("corrected_conf"), 3).alias("corrected_conf"))
 
 
-@query()
-def dict_correct_texts(spark, sf):
-    """Every word of every turn, by its place in the text; dict_correct takes the first one."""
-    words = "submit cancel ok save delete edit search settings login logout back next done close open new yes no the of and to".split()
+@query("""WITH t AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), a AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM t),
+s AS (SELECT conv_id, turn, unnest(range(len(ws))) AS place, lower(unnest(ws)) AS w FROM a)
+SELECT x.conv_id, x.turn, CAST(x.place AS INTEGER) AS place, x.w AS a, y.w AS b, round(CASE WHEN x.w = y.w THEN 1.0 WHEN contains(x.w, y.w) OR contains(y.w, x.w) THEN 0.7 ELSE greatest(0.0, 1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w))) END, 6) AS sim
+FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 AND y.place = x.place""")
+def text_similarity(spark, sf):
+    """Turns that follow each other, word by word at equal places; text_similarity_texts compares them whole."""
     t = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text").distinct()
-    t = t.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("place", "w")).withColumn("conf", F.lit(1.0))
-    return X.corrected(t, "w", "conf", words).select("conv_id", "turn", "place", "w", "corrected", rounded(F.col("corrected_conf"), 3).alias("corrected_conf"))
+    w = t.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("place", "a"))
+    d = w.join(w.select("conv_id", (F.col("turn") - 1).alias("turn"), "place", F.col("a").alias("b")), ["conv_id", "turn", "place"])
+    return d.select("conv_id", "turn", "place", F.lower("a").alias("a"), F.lower("b").alias("b"), rounded(X.similarity(F.col("a"), F.col("b"))).alias("sim"))
 
 
 @query()
 def text_similarity_texts(spark, sf):
-    """Whole texts of turns that follow each other; text_similarity compares first words."""
+    """Whole texts of turns that follow each other."""
     w = P.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("a")).distinct()
     y = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return w.join(y, ["conv_id", "turn"]).select("conv_id", "turn", F.length("a").alias("a_chars"), F.length("b").alias("b_chars"), rounded(X.similarity(F.col("a"), F.col("b"))).alias("sim"))
@@ -366,12 +354,35 @@ def box3d_proximity(spark, sf):
     return J.proximity(P.parts3d(spark, sf), ["scene"], 5.0, 100.0).select("scene", "a_ord", "b_ord", "aabb")
 
 
-@query()
-def audit_3d(spark, sf):
+_CORNERS = " + ".join(f"pow(least(abs(a.{k} - b.{k}), abs(a.{k} + a.s - b.{k}), abs(a.{k} - b.{k} - b.s), abs(a.{k} + a.s - b.{k} - b.s)), 2)" for k in "xyz")
+#: Upright boxes, whose points are their corners: the gap over all axes is the widest one, and the nearest corners are nearest on each axis.
+_NEAR3 = f"""nr AS (SELECT a.scene, a.ord AS a_ord, b.ord AS b_ord, CAST(greatest(b.x - a.x - a.s, a.x - b.x - b.s, b.y - a.y - a.s, a.y - b.y - b.s, b.z - a.z - a.s, a.z - b.z - b.s) AS DOUBLE) AS aabb,
+  sqrt({_CORNERS}) AS cloud FROM q a JOIN q b ON a.scene = b.scene AND a.ord < b.ord),
+fi AS (SELECT scene AS scene_id, a_ord, b_ord, aabb, CASE WHEN cloud <= 1e-6 THEN 'interference' WHEN cloud < 5 THEN 'tight_gap' ELSE 'clearance' END AS rule, round(floor(CASE WHEN cloud <= 1e-6 THEN 0 ELSE cloud END * 1000 * 10000 + 0.5) / 10000, 3) AS distance_mm FROM nr WHERE aabb <= 5)"""
+
+
+def _solids(spark, sf):
     p = P.parts3d(spark, sf)
     cs = F.array(*[F.array(*[F.col("hi" if k >> i & 1 else "lo")[i] for i in range(3)]) for k in range(8)])
-    o = p.select(F.col("scene").alias("scene_id"), "ord", F.lit("MESH").alias("type"), cs.alias("bbox3d"), cs.alias("verts"))
-    return S.audit3d(o, gap_mm=5000.0)
+    return p.select(F.col("scene").alias("scene_id"), "ord", F.lit("MESH").alias("type"), cs.alias("bbox3d"), cs.alias("verts"))
+
+
+@query(f"WITH {_P3}, {_NEAR3} SELECT *, 'mesh-kdtree' AS method FROM fi")
+def audit_3d(spark, sf):
+    d = S.audit3d(_solids(spark, sf), gap_mm=5000.0)
+    return d.select("scene_id", "a_ord", "b_ord", "aabb", "rule", rounded(F.col("distance_mm"), 3).alias("distance_mm"), "method")
+
+
+@query(f"WITH {_P3}, {_NEAR3} SELECT scene_id, count(*) FILTER (WHERE rule = 'interference') AS interference, count(*) FILTER (WHERE rule = 'tight_gap') AS tight_gap, count(*) FILTER (WHERE rule = 'clearance') AS clearance, 'mesh-kdtree' AS methods FROM fi GROUP BY scene_id")
+def audit_3d_metrics(spark, sf):
+    return S.audit3d_metrics(S.audit3d(_solids(spark, sf), gap_mm=5000.0)).withColumn("methods", F.array_join("methods", ","))
+
+
+@query(f"""WITH {_P3}, d AS (SELECT a.scene, a.ord AS a_ord, b.ord AS b_ord, CAST(greatest(b.x - a.x - a.s, a.x - b.x - b.s, b.y - a.y - a.s, a.y - b.y - b.s, b.z - a.z - a.s, a.z - b.z - b.s) AS DOUBLE) AS aabb FROM q a JOIN q b ON a.scene = b.scene AND a.ord < b.ord)
+SELECT scene AS scene_id, a_ord, b_ord, -1000 * aabb AS penetration_mm FROM d WHERE aabb <= 2""")
+def audit_3d_boxes(spark, sf):
+    """By upright boxes alone."""
+    return S.audit3d(_solids(spark, sf), 2000.0, "aabb").select("scene_id", "a_ord", "b_ord", "penetration_mm")
 
 
 def _sides(spark, sf):
@@ -416,9 +427,12 @@ def alignment_drift(spark, sf):
     return U.alignment(U.prepared(e)).withColumn("value", rounded(F.col("value")))
 
 
-@query()
+@query(f"""WITH {P.DENSE_SQL}, g AS (SELECT *, lead(x1) OVER w - x2 AS gap, lead(ord) OVER w AS next FROM de WINDOW w AS (PARTITION BY report_id, line ORDER BY x1, ord)),
+m AS (SELECT *, list_sort(list(gap) OVER (PARTITION BY report_id, line)) AS gaps, count(*) OVER (PARTITION BY report_id, line) AS n FROM g WHERE gap > 0)
+SELECT report_id, ord, next, gap FROM m WHERE n >= 2 AND gap >= 8 AND gap > 1.8 * gaps[n // 2 + 1]""")
 def spacing_anomaly(spark, sf):
-    return U.spacing(U.prepared(P.elements(spark, sf).withColumn("source", F.array("kind"))))
+    d = U.spacing(U.prepared(P.dense(spark, sf).withColumn("source", F.array(F.lit("dom")))))
+    return d.select("report_id", F.col("element_ids")[0].alias("ord"), F.col("element_ids")[1].alias("next"), F.col("value").alias("gap"))
 
 
 @query()
@@ -451,7 +465,8 @@ def pixel_change(spark, sf):
     one = p.select("p_brand", k.alias("x"), F.lit(0).alias("y"), r.alias("r"), g.alias("g"), b.alias("b"))
     two = p.select("p_brand", k.alias("x"), F.lit(0).alias("y"), ((k * 73 + s) % 256).alias("r"), g.alias("g"), ((k * 211 + s * 3) % 256).alias("b"))
     d = J.pixel_diff(one, two, ["p_brand"])
-    return d.groupBy("p_brand").agg(rounded(F.count_if("differs") / F.count(F.lit(1))).alias("ratio"), F.count_if("changed").alias("changed"))
+    share = J.change_ratio(d, ["p_brand"]).select("p_brand", rounded(F.col("ratio")).alias("ratio"))
+    return d.groupBy("p_brand").agg(F.count_if("changed").alias("changed")).join(share, "p_brand")
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -464,7 +479,8 @@ def window_outputs(spark, sf):
 
 @query(f"WITH {P.ELEMENTS_SQL} SELECT report_id, max(x2) AS w, max(y2) AS h FROM el GROUP BY report_id")
 def layout_union(spark, sf):
-    return P.elements(spark, sf).groupBy("report_id").agg(F.max("x2").alias("w"), F.max("y2").alias("h"))
+    e = P.elements(spark, sf).select("report_id", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    return J.layout_size(e, ["report_id"])
 
 
 @query("WITH p AS (SELECT p_brand AS image_id, p_partkey AS ord, [sin(p_partkey), cos(p_partkey * 3), sin(p_partkey * 7)] AS l, (p_partkey % 100) / 100.0 AS cx, p_size / 100.0 AS w FROM part), s AS (SELECT image_id, ord, list_position(l, list_max(l)) AS k, 1 / (1 + exp(-list_max(l))) AS score, (cx - w / 2) * 640 AS x1 FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS rank FROM s WHERE score > 0.5) SELECT image_id, ord, rank, ['a', 'b', 'c'][k] AS class, round(score, 6) AS score, round(x1, 6) AS x1 FROM r WHERE rank <= 50")
@@ -483,22 +499,7 @@ def analyze_protocol(spark, sf):
 
 @query(f"WITH {P.ELEMENTS_SQL}, g AS (SELECT report_id, ord, x2, lead(x1) OVER (PARTITION BY report_id ORDER BY x1, ord) - x2 AS gap FROM el) SELECT report_id, ord, gap FROM g WHERE gap > 0")
 def neighbour_gaps(spark, sf):
-    w = W.partitionBy("report_id").orderBy("x1", "ord")
-    return P.elements(spark, sf).withColumn("gap", F.lead("x1").over(w) - F.col("x2")).where("gap > 0").select("report_id", "ord", "gap")
-
-
-_PX = "px AS (SELECT p_brand AS image_id, (p_partkey * 73) % 256 AS r, (p_partkey * 151) % 256 AS g, (p_partkey * 211) % 256 AS b FROM part)"
-
-
-def _linear(c: str) -> str:
-    return f"CASE WHEN {c} / 255.0 <= 0.03928 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"
-
-
-@query(f"""WITH {_PX}, l AS (SELECT image_id, 0.2126 * r + 0.7152 * g + 0.0722 * b AS lum, 0.2126 * ({_linear("r")}) + 0.7152 * ({_linear("g")}) + 0.0722 * ({_linear("b")}) AS rel FROM px)
-SELECT image_id, round(CAST(avg(lum) AS DOUBLE), 6) AS mean, round(CAST(stddev_pop(lum) AS DOUBLE), 6) AS std, round(CAST(min(lum) AS DOUBLE), 6) AS min, round(CAST(max(lum) AS DOUBLE), 6) AS max, round((max(rel) + 0.05) / (min(rel) + 0.05), 6) AS contrast FROM l GROUP BY image_id""")
-def tonal_stats(spark, sf):
-    d = R.tonal(_px(spark, sf))
-    return d.select("image_id", *[rounded(F.col(c)).alias(c) for c in ("mean", "std", "min", "max", "contrast")])
+    return U.gaps(P.elements(spark, sf), ["report_id"]).select("report_id", "ord", "gap")
 
 
 @query("""WITH c AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS g, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -513,14 +514,4 @@ def foreground_share(spark, sf):
     return R.foreground(d, ["l_returnflag"], "g", R.otsu(d, ["l_returnflag"], "g")).withColumn("foreground", rounded(F.col("foreground")))
 
 
-@query(f"""WITH {P.ELEMENTS_SQL}, c AS (SELECT kind, least(2, floor(x1 / 800 * 3)) AS gx, least(2, floor(y1 / 600 * 3)) AS gy, count(*) AS n FROM el GROUP BY 1, 2, 3),
-a AS (SELECT kind, avg(n) AS mean, coalesce(avg(n) FILTER (WHERE gy = 0), 0) AS t, coalesce(avg(n) FILTER (WHERE gy = 2), 0) AS b, coalesce(avg(n) FILTER (WHERE gx = 0), 0) AS l, coalesce(avg(n) FILTER (WHERE gx = 2), 0) AS r, coalesce(avg(n) FILTER (WHERE gx = 1 AND gy = 1), 0) AS m FROM c GROUP BY kind)
-SELECT kind, CASE WHEN t > 1.3 * mean THEN 'top' WHEN b > 1.3 * mean THEN 'bottom' WHEN l > 1.3 * mean THEN 'left' WHEN r > 1.3 * mean THEN 'right' WHEN m > 1.1 * mean THEN 'center' ELSE 'uniform' END AS label FROM a""")
-def region_labels(spark, sf):
-    d = P.elements(spark, sf).select("kind", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return R.density_label(R.heat_map(d, ["kind"], 800, 600, 3).withColumnRenamed("n", "weight"), ["kind"])
-
-
-@query()
-def wall_categories(spark, sf):
-    return R.wall_groups(R.wall_facts(_px(spark, sf)))
+from . import scalar_queries, sensor_queries  # noqa: E402, F401  they register too

@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EMU = 12700.0
@@ -66,16 +67,32 @@ def png(data: bytes) -> tuple[int, int, bytes]:
     return w, h, np.ascontiguousarray(rgb).tobytes()
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id (a hash of the path), path, w, h, data (RGB). Spark's reader gives BGR, which is turned."""
+def images(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """image_id (a hash of the path), path, w, h, data (RGB). Spark's reader gives BGR, which is
+    turned; what it can't decode goes through `png`. With errors, files that neither reads are rows
+    with `error` and no data; else they are left out."""
     d = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
     def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rgb = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(h, w, n)[..., :3][..., ::-1] if n >= 3 else np.frombuffer(x, np.uint8).reshape(h, w, 1).repeat(3, 2)).tobytes() for x, w, h, n in zip(f.data, f.width, f.height, f.nChannels, strict=True)]
-            yield pd.DataFrame({"path": f.origin, "w": f.width, "h": f.height, "data": rgb})
+            yield pd.DataFrame({"path": f.origin, "w": f.width, "h": f.height, "data": rgb, "error": None})
 
-    return d.mapInPandas(turn, "path string, w int, h int, data binary").select(F.xxhash64("path").alias("image_id"), "path", "w", "h", "data")
+    def other(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for at, content in zip(f.path, f.content, strict=True):
+                try:
+                    rows.append((at, *png(content), None))
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError) as e:
+                    rows.append((at, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["path", "w", "h", "data", "error"]).astype({"w": "Int32", "h": "Int32"})
+
+    kind = "path string, w int, h int, data binary, error string"
+    read = d.mapInPandas(turn, kind)
+    rest = spark.read.format("binaryFile").load(path).join(d.select(F.col("origin").alias("path")), "path", "left_anti").select("path", "content").mapInPandas(other, kind)
+    out = read.unionByName(rest).select(F.xxhash64("path").alias("image_id"), "path", "w", "h", "data", "error")
+    return out if errors else out.where("error IS NULL").drop("error")
 
 
 _A, _P = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -141,53 +158,71 @@ def page_range(text: str, pages: int) -> tuple[int, int]:
 
 
 def glyph_lines(glyphs: DataFrame, tol: float = 2.0) -> DataFrame:
-    """glyphs (file, page, page_h, x, y, w, h, char; y up) -> lines with boxes in page
-    coordinates (y down): glyphs join the first line whose first glyph is at most tol away."""
+    """glyphs (file, page, page_h, ord, x, y, w, h, char; y up) -> lines with boxes in page
+    coordinates (y down): in order of ord, glyphs join the first line whose first glyph is at most
+    tol away; line ends are no glyphs; lines are read by x, trimmed, and left out if blank. Pages
+    are dealt and streamed; a page's glyphs are one task's work."""
+    from ..operators.groups import per_group
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key, c):
         lines: list[list[int]] = []
-        y = rows.y.to_numpy()
-        for i in np.argsort(-y, kind="stable"):
-            for line in lines:
-                if abs(y[line[0]] - y[i]) <= tol:
-                    line.append(i)
-                    break
-            else:
-                lines.append([i])
-        out = []
-        for k, line in enumerate(lines):
-            g = rows.iloc[line].sort_values("x", kind="stable")
-            high = float(g.page_h.iloc[0])
-            out.append((g.file.iloc[0], int(g.page.iloc[0]), k, "".join(g.char)[:200], float(g.x.min()), high - float((g.y + g.h).max()), float((g.x + g.w).max()), high - float(g.y.min())))
-        return pd.DataFrame(out, columns=["file", "page", "ord", "text", "x1", "y1", "x2", "y2"])
-
-    return glyphs.groupBy("file", "page").applyInPandas(one, "file string, page int, ord int, text string, x1 double, y1 double, x2 double, y2 double")
+        first: list[float] = []
+        for i, y in enumerate(c["y"]):
+            k = next((k for k, f in enumerate(first) if abs(f - y) <= tol), len(first))
+            if k == len(first):
+                first.append(y)
+                lines.append([])
+            lines[k].append(i)
+        n = 0
+        for line in lines:
+            line.sort(key=lambda i: c["x"][i])
+            text = "".join(c["char"][i] for i in line).strip()
+            if text:
+                high = c["page_h"][line[0]]
+                yield (*key, n, text[:200], min(c["x"][i] for i in line), high - max(c["y"][i] + c["h"][i] for i in line), max(c["x"][i] + c["w"][i] for i in line), high - min(c["y"][i] for i in line))
+                n += 1
+
+    d = glyphs.where(~F.col("char").isin("\r", "\n")).select("file", F.col("page").cast("int").alias("page"), "ord", *[F.col(k).cast("double").alias(k) for k in ("page_h", "x", "y", "w", "h")], "char")
+    return per_group(d, ["file", "page"], ["ord"], one, "file string, page int, ord int, text string, x1 double, y1 double, x2 double, y2 double")
 
 
 #: Roles that are interactive without a text.
 ROLES = ("entry", "text", "push button", "toggle button", "button", "link", "check box", "combo box", "slider", "radio button", "menu item", "list item", "heading", "paragraph", "label", "image", "table", "row", "cell")
 
 
+#: Fixed value: what is said of an element that the accessibility tree gives.
+CERTAIN = "此元素由 AT-SPI 无障碍树确认（结构级，conf 1.0）"
+
+
 def interactive(nodes: DataFrame) -> DataFrame:
     """Accessible nodes (type, text, x1..y2) that show and can be used, as perception rows."""
     shown = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     d = nodes.where(shown & ((F.coalesce("text", F.lit("")) != "") | F.col("type").isin(*ROLES)))
-    return d.withColumns({"center": F.array((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2), "conf": F.lit(1.0), "sources": F.array(F.lit("a11y"))})
-
-
-def tree(nodes: DataFrame, depth: int = 14) -> DataFrame:
-    """An adjacency table (app, node_id, parent_id, ...) with each node's depth, down to `depth`
-    levels: one join a level, in the plan."""
-    level = nodes.where(F.col("parent_id").isNull()).withColumn("depth", F.lit(0))
+    said = F.lit(CERTAIN)
+    return d.withColumns({"center": F.array((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2), "conf": F.lit(1.0), "sources": F.array(F.lit("a11y")), "assertion": said})
+
+
+def tree(nodes: DataFrame, depth: int = 14, app: str | None = None, most: int | None = None) -> DataFrame:
+    """An adjacency table (app, node_id, parent_id, ord among its siblings, ...) with each node's
+    depth and its path, the ords from the root, down to `depth` levels: one join a level, in the plan.
+    Ordered by path a tree is read depth first; ord is added as node_id where it is missing. app keeps
+    applications whose name holds it, in any case; most, the first nodes of each application."""
+    nodes = nodes if "ord" in nodes.columns else nodes.withColumn("ord", F.col("node_id"))
+    nodes = nodes if app is None else nodes.where(F.lower("app").contains(app.lower()))
+    at = F.col("ord").cast("long")
+    level = nodes.where(F.col("parent_id").isNull()).withColumn("depth", F.lit(0)).withColumn("path", F.array(at))
     out = level
     for k in range(1, depth + 1):
-        up = level.select("app", F.col("node_id").alias("parent_id"))
-        level = nodes.join(up, ["app", "parent_id"]).select(*nodes.columns).withColumn("depth", F.lit(k))
+        up = level.select("app", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
+        level = nodes.join(up, ["app", "parent_id"]).select(*nodes.columns, F.lit(k).alias("depth"), F.concat("_up", F.array(at)).alias("path"))
         out = out.unionByName(level)
-    return out
+    if most is None:
+        return out
+    rank = F.row_number().over(W.partitionBy("app").orderBy("path"))
+    return out.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def dom(dump: DataFrame, most: int = 500) -> DataFrame:
+def dom(dump: DataFrame, most: int = 200) -> DataFrame:
     """Saved nodes (page_id, ord, tag, text, x, y, w, h, view_w, view_h): those of two
     pixels or more that reach into the view, largest first, texts cut to 200."""
     from ..operators.raster import top
@@ -197,12 +232,29 @@ def dom(dump: DataFrame, most: int = 500) -> DataFrame:
     return top(d, ["page_id"], "area", most)
 
 
+_SCENE = (
+    "objects3d array<struct<name:string,type:string,collection:string,parent:string,bbox3d:array<array<double>>,verts:array<array<double>>,matrix_world:array<double>,"
+    "material:string,tris:bigint,visible:boolean,splines:array<array<array<double>>>>>,"
+    "cameras array<struct<name:string,location:array<double>,rotation_euler:array<double>,rotation_quaternion:array<double>,sensor_width:double,lens:double,matrix_world:array<double>,is_active:boolean>>"
+)
+
+
 def scenes(spark: SparkSession, path: str) -> DataFrame:
-    """Dumped scenes: a row per object."""
-    d = spark.read.option("multiLine", True).schema("objects3d array<struct<name:string,type:string,collection:string,bbox3d:array<array<double>>,verts:array<array<double>>>>").json(path)
+    """Dumped scenes: a row per object, with its material and, of curves, the splines' points."""
+    d = spark.read.option("multiLine", True).schema(_SCENE).json(path)
     return d.select(F.col("_metadata.file_path").alias("scene_id"), F.posexplode("objects3d").alias("ord", "o")).select("scene_id", F.col("ord").cast("long").alias("ord"), "o.*")
 
 
+def cameras(spark: SparkSession, path: str) -> DataFrame:
+    """The cameras of dumped scenes, with their field of view in radians (6 digits) and degrees (4)."""
+    from ..functions.boxes import fov
+
+    d = spark.read.option("multiLine", True).schema(_SCENE).json(path)
+    d = d.select(F.col("_metadata.file_path").alias("scene_id"), F.posexplode("cameras").alias("ord", "c")).select("scene_id", F.col("ord").cast("long").alias("ord"), "c.*")
+    angle = F.when(F.col("lens") > 0, fov(F.col("sensor_width"), F.col("lens"))).otherwise(0.0)
+    return d.withColumns({"fov_rad": F.round(angle, 6), "fov_deg": F.round(F.degrees(angle), 4)})
+
+
 def html_tags(pages: DataFrame) -> DataFrame:
     """page_id, tag, n: opening tags of saved pages."""
     d = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag"))

@@ -57,17 +57,49 @@ def write_json(envelopes: DataFrame, path: str) -> None:
     envelopes.select("json").write.mode("overwrite").text(path)
 
 
-def append_failures(failures: DataFrame, path: str) -> None:
+def append_failures(failures: DataFrame, path: str, most_bytes: int = 512 * 1024, keep: int = 150) -> None:
+    """Failures (with ts) added to a JSON log. A log over most_bytes is written anew from its last
+    `keep` lines by ts before (a limit that is the feature)."""
+    spark = failures.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and fs.getContentSummary(at).getLength() > most_bytes:
+        turned = fs_path(path.rstrip("/") + ".turned")
+        fs.delete(turned, True)
+        spark.read.schema(failures.schema).json(path).orderBy(F.desc("ts")).limit(keep).coalesce(1).write.json(turned.toString())
+        fs.delete(at, True)
+        fs.rename(turned, at)
     failures.write.mode("append").json(path)
 
 
+def or_errors(reports: DataFrame) -> DataFrame:
+    """report_id, json of the report or of {"error", "detail"} for files that were no JSON."""
+    bad = F.to_json(F.struct(F.lit("not a report").alias("error"), F.col("_corrupt_record").alias("detail")))
+    fine = F.to_json(F.struct(*[c for c in reports.columns if c not in ("report_id", "_corrupt_record")]))
+    return reports.select("report_id", F.when(F.col("_corrupt_record").isNotNull(), bad).otherwise(fine).alias("json"), F.col("_corrupt_record").isNotNull().alias("failed"))
+
+
+def merge_reports(steps: DataFrame) -> DataFrame:
+    """One report a task from its steps' (task_id, step, failed, sensors, elements, anomalies, truncated; the
+    arrays of any type): elements and anomalies in order of the steps, sensors as first seen, truncated
+    if any is. Failed steps are left out."""
+    d = steps.where(~F.coalesce("failed", F.lit(False)))
+    kinds = dict(steps.dtypes)
+    none = lambda c: F.coalesce(c, F.array().cast(kinds[c]))
+    g = d.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("step", none("sensors").alias("sensors"), none("elements").alias("elements"), none("anomalies").alias("anomalies")))).alias("s"), F.bool_or(F.coalesce("truncated", F.lit(False))).alias("truncated"))
+    of = lambda c: F.flatten(F.transform("s", lambda x: x[c]))
+    return g.select("task_id", F.array_distinct(of("sensors")).alias("sensors"), of("elements").alias("elements"), of("anomalies").alias("anomalies"), "truncated")
+
+
 def merge_steps(steps: DataFrame) -> DataFrame:
     """steps (report_id, step, key, value): the value of the first step that has a key."""
     return steps.where("value IS NOT NULL").groupBy("report_id", "key").agg(F.min_by("value", "step").alias("value"))
 
 
 def with_offset_ids(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both sets of elements under one numbering: the second's ids start after the first's."""
+    """Both sets of elements under one numbering: the second's ids start after the first's.
+    source_kind says which set a row is from."""
     top = first.groupBy("report_id").agg((F.max("id") + 1).alias("_off"))
     moved = second.join(top, "report_id", "left").withColumn("id", F.col("id") + F.coalesce("_off", F.lit(0))).drop("_off")
-    return first.unionByName(moved, allowMissingColumns=True)
+    return first.withColumn("source_kind", F.lit("vision")).unionByName(moved.withColumn("source_kind", F.lit("a11y")), allowMissingColumns=True)

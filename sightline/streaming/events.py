@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.groups import per_group
 
@@ -63,32 +61,43 @@ def throttle(df: DataFrame, key: str, width: float) -> DataFrame:
     return per_group(df.select(key, "ts", "kind", "is_trigger", "tie"), [key], ["ts", "tie"], one, f"{key} {kind}, ts double, kind string, tie long")
 
 
-def throttle_stream(stream: DataFrame, key: str, width: float) -> DataFrame:
-    """Streaming form: the open window is the key's state; a timer closes it."""
-    kind = dict(stream.dtypes)[key]
+def throttle_stream(stream: DataFrame, by: str, width: float) -> DataFrame:
+    """Streaming form over a key (by), ts (seconds, double), kind, is_trigger: the open window is the
+    key's state; a timer closes it when no event comes. Needs the RocksDB state store."""
+    schema = f"{by} {dict(stream.dtypes)[by]}, ts double, kind string"
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [key, "ts", "kind"]
-        if state.hasTimedOut:
-            start, ts, name, sure = state.get
-            state.remove()
-            yield pd.DataFrame([(k[0], ts, name)], columns=names)
-            return
-        held = state.get if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for t, name, hit in zip(rows.ts, rows.kind, rows.is_trigger, strict=True):
-            if held is None or t - held[0] >= width:
-                if held is not None:
-                    out.append((k[0], held[1], held[2]))
-                held = (float(t), float(t), name, bool(hit))
-            elif hit:
-                held = (held[0], float(t), name, True)
-        state.update(held)
-        state.setTimeoutDuration(max(1, int(width * 1000)))
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts double, kind string", "start double, ts double, kind string, sure boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    class Windows(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", "start double, ts double, kind string, sure boolean")
+
+        def given(self, key, events):
+            return pd.DataFrame([(key[0], e[1], e[2]) for e in events], columns=[by, "ts", "kind"])
+
+        def handleInputRows(self, key, rows, timerValues):
+            done, held = [], self.open.get() if self.open.exists() else None
+            frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
+            for t, name, hit in zip(frames.ts, frames.kind, frames.is_trigger, strict=True):
+                if held is None or t - held[0] >= width:
+                    done += [held] if held is not None else []
+                    held = (float(t), float(t), name, bool(hit))
+                elif hit:
+                    held = (held[0], float(t), name, True)
+            self.open.update(held)
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, int(width * 1000)))
+            yield self.given(key, done)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            held = [self.open.get()] if self.open.exists() else []
+            self.open.clear()
+            yield self.given(key, held)
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(by).transformWithStateInPandas(Windows(), schema, "Append", "processingTime")
 
 
 def latest(df: DataFrame, key: str, order: list[str], ok: str | None = None) -> DataFrame:
@@ -105,6 +114,14 @@ def refresh(cache: DataFrame, news: DataFrame, key: str) -> tuple[DataFrame, Dat
     return d.select(key, F.coalesce("_new", "value").alias("value")).where("value IS NOT NULL"), counts
 
 
+def cached(requests: DataFrame, cache: DataFrame, key: str, compute) -> tuple[DataFrame, DataFrame]:
+    """(requests with their values, cache after them). What the cache (key, value) has isn't computed
+    again: compute(requests without a hit) -> key, value."""
+    hits = requests.join(cache, key)
+    new = compute(requests.join(cache, key, "left_anti").select(key).distinct())
+    return hits.unionByName(requests.join(new, key)), cache.unionByName(new.select(key, "value"))
+
+
 def watch(stream: DataFrame, act, checkpoint: str, max_events: int | None = None):
     """Runs act(batch, number) on batches of triggering events; at most max_events if given."""
     seen = {"n": 0}
