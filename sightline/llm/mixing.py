@@ -14,7 +14,7 @@ passes first; in the last pass a document is taken if its middle word lies befor
 target, so taken words miss the target by at most half a document.
 
 Running sums are kept per source and hash bucket, of which there are as many as
-BUCKET_ROWS asks for, so that a source with a third of all rows is summed by many tasks.
+BUCKET_ROWS asks for and BUCKETS at least, so that a source with a third of all rows is summed by many tasks.
 Rows alike in doc_id, text and source stand one behind the other and are taken each
 by its own middle word; a long row of them is dealt out before it is written one by one.
 
@@ -36,8 +36,8 @@ from .common import WORD_RE, free, read, stored
 WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
 #: (first, last) of the schedule that goes with each of WEIGHTS: heavy sources evenly, light ones later and later.
 SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (0.0, 2.0))
-#: Rows of a bucket, about; equal rows written by one task; sources up to which their table is sent to every executor.
-BUCKET_ROWS, EQUAL_ROWS, BROADCAST_SOURCES = 100_000, 4096, 100_000
+#: Rows of a bucket, about, and how many buckets there are at least; equal rows written by one task; sources up to which their table is sent to every executor.
+BUCKET_ROWS, BUCKETS, EQUAL_ROWS, BROADCAST_SOURCES = 20_000, 256, 4096, 100_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -88,7 +88,7 @@ def _planned(sized: DataFrame, weights, schedules, share, max_repeat) -> DataFra
         table = F.broadcast(table)
     facts = sized.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
     h = F.xxhash64("doc_id", "text_key")
-    hashed = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned(h, 20), F.lit(max(1, -(-facts["n"] // BUCKET_ROWS)))))
+    hashed = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned(h, 20), F.lit(max(BUCKETS, -(-facts["n"] // BUCKET_ROWS)))))
     sums = hashed.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))

@@ -857,7 +857,7 @@ def brute_pipeline(spark, rows):
     for i, s in enumerate(order):
         first, last = mixing.SCHEDULES[i % 3]
         before = 0
-        for r in sorted((r for r in now if r[2] == s), key=lambda r: turn[r[0]]):
+        for r in sorted((r for r in now if r[2] == s), key=lambda r: ((turn[r[0]] % 2**64 >> 20) % 256, turn[r[0]])):
             n = len(words(r[1]))
             for k in (0, 1):
                 x = before + n / 2 + k * sizes[s]
