@@ -84,3 +84,23 @@ def attributes(tag: Column) -> Column:
 def translation(attr: Column) -> tuple[Column, Column]:
     part = lambda i: F.regexp_extract(attr, r"translate\(\s*(-?[\d.]+)[ ,]+(-?[\d.]+)\s*\)", i).try_cast("double")
     return F.coalesce(part(1), F.lit(0.0)), F.coalesce(part(2), F.lit(0.0))
+
+
+#: The pattern that parts a prompt into words, and the ids of its start and end.
+PROMPT = r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PROMPT_START, PROMPT_END = 49406, 49407
+
+
+def prompt_ids(vocab: str, merges: str, length: int = 16):
+    """A pandas UDF from texts to the token ids of prompts: start, byte pairs of each word, end, zeros up to
+    length. vocab and merges are files of a byte-pair vocabulary, which every executor can read."""
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        t = Tokenizer(models.BPE.from_file(vocab, merges, end_of_word_suffix="</w>"))
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(PROMPT), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        out = [[PROMPT_START, *t.encode(x or "", add_special_tokens=False).ids, PROMPT_END] for x in texts]
+        return pd.Series([x + [0] * (length - len(x)) for x in out])
+
+    return ids

@@ -135,6 +135,11 @@ def fuse(a: DataFrame, b: DataFrame, keys: list[str], alpha: float = 0.3) -> Dat
     return cast(found).unionByName(cast(rest[0])).unionByName(cast(rest[1]))
 
 
+def in_order(fused: DataFrame, keys: list[str]) -> DataFrame:
+    """What fuse gives, by group and then by the first side's place, what only the second saw last."""
+    return fused.orderBy(*keys, F.col("a_ord").asc_nulls_last(), "b_ord")
+
+
 def _aligned_before(at: list[tuple], i: int, least: float, start: int = 0) -> list[int]:
     """Which of the boxes start..i-1 are aligned with box i: IoU of at least `least`, or the smaller
     box's middle inside the larger."""

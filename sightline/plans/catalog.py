@@ -491,10 +491,14 @@ def detect_decode(spark, sf):
     return d.select("image_id", "ord", "rank", "class", rounded(F.col("score")).alias("score"), rounded(F.col("x1")).alias("x1"))
 
 
-@query()
+@query(f"""WITH {P.ELEMENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) - 1 AS id FROM el WHERE kind = 'dom'), v AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY conf DESC, ord) AS k FROM el WHERE report_id NOT IN (SELECT report_id FROM n))
+SELECT report_id, id, x1, 1.0 AS conf, 'a11y' AS sources, 'a11y' AS channel, NULL AS caption FROM n WHERE id < 2
+UNION ALL SELECT report_id, ord, x1, conf, kind, 'vision', substr('element ' || seed || ' of a caption that is longer than forty', 1, 40) FROM v WHERE k <= 3""")
 def analyze_protocol(spark, sf):
     e = P.elements(spark, sf).withColumns({"type": F.lit("button"), "text": F.concat(F.lit("p"), F.col("seed").cast("string"))})
-    return tasks.analyze(e.where("kind = 'dom'"), e.where("kind <> 'dom'"))
+    v = e.withColumns({"id": F.col("ord").cast("long"), "sources": F.array("kind"), "caption": F.concat(F.lit("element "), F.col("seed"), F.lit(" of a caption that is longer than forty")), "center": F.array("x1", "y1")})
+    d = tasks.analyze(e.where("kind = 'dom'"), v.where("kind <> 'dom'"), 3, 2)
+    return d.select("report_id", "id", "x1", "conf", F.array_join("sources", ",").alias("sources"), "channel", "caption")
 
 
 @query(f"WITH {P.ELEMENTS_SQL}, g AS (SELECT report_id, ord, x2, lead(x1) OVER (PARTITION BY report_id ORDER BY x1, ord) - x2 AS gap FROM el) SELECT report_id, ord, gap FROM g WHERE gap > 0")

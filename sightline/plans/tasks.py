@@ -105,14 +105,76 @@ def _score(frames, elements="elements", findings="rules"):
     return rules.design_score(pick(elements), pick(findings))
 
 
-def analyze(a11y: DataFrame, vision: DataFrame, k: int = 10) -> DataFrame:
-    """Perception of each report: its accessible nodes, or vision where it has none; the k most certain."""
-    from ..operators.raster import top
+def _frame(frames, x):
+    return x if isinstance(x, DataFrame) else frames[x]
+
+
+def _sensor(name: str, **kinds):
+    """Registers a sensor over a frame (given by name, `images` by default) with options of these kinds."""
+    def add(f):
+        def run_(frames, images="images", **p):
+            return f(_frame(frames, images), **{k: kinds[k](v) if isinstance(v, str) else v for k, v in p.items()})
+
+        OPERATORS[name] = run_
+        return f
+
+    return add
+
+
+def _register() -> None:
+    from ..operators import matching, sensors, shapes
+    from ..operators.raster import pixels
+    from ..sources import files
+
+    yes = lambda v: str(v).lower() not in ("false", "0", "")
+    box = lambda v: tuple(int(x) for x in v.split(","))
+    _sensor("pix", colors=int)(sensors.pix)
+    _sensor("scene_stats", colors=int)(lambda images, **p: sensors.scene_stats(pixels(images), **p))
+    _sensor("ascii", cols=int, rows=int, color=yes)(lambda images, **p: sensors.ascii(pixels(images), **p))
+    _sensor("edge", sigma=float, threshold=int, most=int, max_points=int)(sensors.edge_density)
+    _sensor("edge_elements", sigma=float, threshold=int, most=int, max_points=int, first=int)(sensors.edge_elements)
+    _sensor("saliency", top_n=int, min_score=float)(sensors.saliency)
+    _sensor("depth", bins=int, region=box)(sensors.depth)
+    _sensor("segment", min_area=float, most=int)(sensors.segment)
+    _sensor("layout", min_conf=float, most=int)(sensors.layout_boxes)
+    _sensor("icons", min_conf=float, most=int)(sensors.icons)
+    _sensor("ocr", min_conf=float, most=int)(shapes.ocr_lines)
+    _sensor("dom", most=int)(files.dom)
+    _sensor("wall", colors=int)(sensors.wall)
+    _sensor("geometry")(shapes.svg_shapes)
+    _sensor("audit3d", gap_mm=float, method=str)(shapes.audit3d)
+    OPERATORS["fusion"] = lambda frames, a="a", b="b", alpha="0.3": matching.fuse(_frame(frames, a), _frame(frames, b), ["report_id"], float(alpha))
+    OPERATORS["diff"] = lambda frames, images="images", compare="compare", threshold="30": sensors.differences(_frame(frames, images), _frame(frames, compare), int(threshold))
+
+
+_register()
+
+
+def trimmed(elements: DataFrame, first: int, order: list) -> DataFrame:
+    """The first elements of each report in order (a limit that is the feature), with no more than the fields a
+    reader needs, captions cut to 40 characters."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    kept = [c for c in ("report_id", "id", "x1", "y1", "x2", "y2", "center", "text", "caption", "type", "conf", "sources", "assertion", "bus", "path") if c in elements.columns]
+    d = elements.withColumn("_k", F.row_number().over(W.partitionBy("report_id").orderBy(*order))).where(F.col("_k") <= first).select(*kept)
+    return d.withColumn("caption", F.substring("caption", 1, 40)) if "caption" in kept else d
+
+
+def analyze(a11y: DataFrame, vision: DataFrame, k: int = 10, most_nodes: int = 15) -> DataFrame:
+    """Perception of each report: its accessible nodes that can be used, the first most_nodes in their order, or, where
+    it has none, what vision saw (report_id, id, x1..y2, center, text, conf, sources), the k surest. channel says which."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from ..operators.matching import assertion
     from ..sources.files import interactive
 
-    nodes = interactive(a11y).select("report_id", "ord", "text", "x1", "y1", "x2", "y2", "conf")
-    rest = vision.select(*nodes.columns).join(nodes.select("report_id").distinct(), "report_id", "left_anti")
-    return top(nodes.unionByName(rest), ["report_id"], "conf", k)
+    nodes = interactive(a11y).withColumn("id", (F.row_number().over(W.partitionBy("report_id").orderBy("ord")) - 1).cast("long"))
+    rest = vision.join(nodes.select("report_id").distinct(), "report_id", "left_anti")
+    rest = rest if "assertion" in rest.columns else rest.withColumn("assertion", assertion(F.col("sources"), F.col("conf")))
+    seen = trimmed(nodes, most_nodes, ["id"]).withColumn("channel", F.lit("a11y"))
+    return seen.unionByName(trimmed(rest, k, [F.desc("conf"), "id"]).withColumn("channel", F.lit("vision")), allowMissingColumns=True)
 
 
 def confirmed(fused: DataFrame) -> DataFrame:

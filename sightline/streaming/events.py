@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.groups import per_group
-
 #: How a line begins and what it is.
 PREFIXES = (
     ("Workspaces changed", "workspaces_changed"),
@@ -51,14 +50,33 @@ def throttled(events: list[tuple], width: float) -> list[tuple]:
 
 def throttle(df: DataFrame, key: str, width: float) -> DataFrame:
     """Batch form over key, ts (seconds, double), kind, is_trigger, tie. A window depends on
-    where the last one opened, so a key is folded in order; keys are the parallel unit."""
+    where the last one opened, so a key is folded in order; keys are the parallel unit, and
+    only the open window is held, however many events a key has."""
     kind = dict(df.dtypes)[key]
-
-    def one(k, c):
-        got = throttled(list(zip(c["ts"], c["kind"], c["is_trigger"], c["tie"], strict=True)), width)
-        return [(k[0], t, name, tie) for t, name, _, tie in got]
-
-    return per_group(df.select(key, "ts", "kind", "is_trigger", "tie"), [key], ["ts", "tie"], one, f"{key} {kind}, ts double, kind string, tie long")
+    names = [key, "ts", "kind", "tie"]
+
+    def run(batches):
+        now = start = pick = None  # the key, when its window opened, the event it gives so far
+        for batch in batches:
+            out = []
+            for k, t, name, hit, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if start is None or k != now or t - start >= width:
+                    if start is not None:
+                        out.append(pick)
+                    now, start, pick = k, t, (k, t, name, tie)
+                elif hit:
+                    pick = (k, t, name, tie)
+            yield made(out, batch.schema)
+            last = batch.schema
+        if start is not None:
+            yield made([pick], last)
+
+    def made(rows, schema):
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(cols, names, strict=True)], names=names)
+
+    d = df.select(key, F.col("ts").cast("double").alias("ts"), "kind", F.coalesce("is_trigger", F.lit(False)).alias("is_trigger"), F.col("tie").cast("long").alias("tie"))
+    return d.repartition(key).sortWithinPartitions(key, "ts", "tie").mapInArrow(run, f"{key} {kind}, ts double, kind string, tie long")
 
 
 def throttle_stream(stream: DataFrame, by: str, width: float) -> DataFrame:

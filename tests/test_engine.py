@@ -146,7 +146,8 @@ def test_match_and_fuse(spark):
     a, b = spark.createDataFrame(row(10, 0), kind), spark.createDataFrame(row(11, 2), kind)
     got = M.match(a, b, ["report_id"]).collect()
     assert sorted((r["a_ord"], r["b_ord"]) for r in got) == [(i, i) for i in range(10)] and min(r["iou"] for r in got) > 0.8
-    f = M.fuse(a, b, ["report_id"]).collect()
+    f = M.in_order(M.fuse(a, b, ["report_id"]), ["report_id"]).collect()
+    assert [r["a_ord"] for r in f] == [*range(10), None]
     assert sum(r["type"] == "match" and r["verdict"] == "confirmed" for r in f) == 10 and sum(r["type"] == "only_b" for r in f) == 1
 
 
@@ -690,6 +691,26 @@ def test_tasks(spark):
         tasks.load('{"name": "bad name", "steps": []}')
 
 
+def test_sensors_as_steps(spark):
+    a = np.zeros((20, 30), int)
+    a[:, 15:] = 200
+    frames = {"images": frames_of(spark, picture(a)), "later": frames_of(spark, picture(a * 0))}
+    step = lambda name, *words: {"as": name, "cmd": [name, *words]}
+    task = {"name": "all", "steps": [step("scene_stats", "--colors", "2"), step("ascii", "--cols", "6", "--rows", "2", "--color", "true"), step("pix"), step("edge", "--threshold", "10"), step("saliency", "--images", "$images", "--top-n", "1"), step("diff", "--compare", "$later")]}
+    out, errors = tasks.run(task, frames)
+    assert not errors and out["ascii"].first()["lines"] == ["%%%:::"] * 2 or out["ascii"].first()["chars"] == 12
+    assert out["scene_stats"].first()["layout"] == ["right_sidebar"] and out["pix"].first()["superpixels"] == 10
+    assert tuple(out["saliency"].first())[1:6] == (0, 15, 0, 29, 19) and out["diff"].first()["count"] == 300 and out["edge"].first()["edge_points"] == 18
+
+
+def test_prompts(spark, tmp_path):
+    (tmp_path / "vocab.json").write_text(json.dumps({"a": 1, "b</w>": 2, "ab</w>": 3, "1</w>": 4, "!</w>": 5, "c</w>": 6, "b": 7}))
+    (tmp_path / "merges.txt").write_text("#version: 0.2\na b</w>\n")
+    ids = X.prompt_ids(str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"), 6)
+    got = [r["i"] for r in spark.createDataFrame([("ab c1!",), ("",)], "t string").select(ids("t").alias("i")).collect()]
+    assert got == [[49406, 3, 6, 4, 5, 49407], [49406, 49407, 0, 0, 0, 0]]
+
+
 def test_box_join_finds_all_pairs(spark):
     rng = np.random.default_rng(2)
     b = rng.integers(0, 900, (300, 2))
@@ -698,6 +719,8 @@ def test_box_join_finds_all_pairs(spark):
     got = {(r["a_ord"], r["b_ord"]) for r in J.box_join(d, d, ["report_id"], 100.0, F.col("a_ord") < F.col("b_ord")).select("a_ord", "b_ord").collect()}
     want = {(p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and min(p[4], q[4]) > max(p[2], q[2]) and min(p[5], q[5]) > max(p[3], q[3])}
     assert got == want
+    for few in (500, 20):  # by key, and by cells
+        assert {(r["a_ord"], r["b_ord"]) for r in J.overlap_pairs(d, 0.0, 0.0, 100.0, few).collect()} == want
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
