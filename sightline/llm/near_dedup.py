@@ -10,12 +10,16 @@ minima, mergeable by maximum, equal with a chance that follows the Jaccard liken
    class (its smallest doc_id, nulls last) is a label beside it.
 2. Classes meet in buckets: BANDS runs of ROWS registers. At 80 % likeness a pair
    misses every bucket with a chance below 1e-6: (1 - 0.8^5)^35.
-3. A bucket is compared in blocks of about BLOCK classes or BLOCK_ITEMS shingles, so that
-   no task holds a bucket, and no pair is emitted. A pair lives in the first band it shares; it is dropped if
-   its set sizes forbid the likeness or if the joint likelihood of its registers over
-   all likenesses at or above the threshold lies EVIDENCE below that over all.
-4. What is left is compared on full sets, in the same blocks, likeliest first; a pair
-   already linked through others is skipped, which leaves components as they are.
+3. Each class of a bucket is compared with the bucket's hub, its smallest number: first by
+   sketch (a pair is dropped if its set sizes forbid the likeness or if the joint likelihood
+   of its registers over all likenesses at or above the threshold lies EVIDENCE below that over
+   all), then on full sets. A group of near copies is one component after that, at a row a class.
+4. Buckets in which classes of different components are left are compared in blocks of about
+   BLOCK classes or BLOCK_ITEMS shingles, so that no task holds a bucket and no pair is emitted:
+   a component with a block's worth of a bucket has blocks of its own, which don't meet each
+   other, and the rest share blocks. A pair lives in the first band it shares and passes the same
+   two tests, likeliest first; a pair linked already through others is skipped, which leaves
+   components as they are.
 5. Components of the links spread by alternating star contractions.
 
 Lower case is A-Z; words are runs without white space. Fewer than five words are one
@@ -144,67 +148,133 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield last, pa.Table.from_batches(held)
 
 
-def _likely(i: int, j: int, band: int, side: np.ndarray, size: np.ndarray, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, equal registers) of the pairs of a block pair that may be linked and share no earlier band."""
-    left = np.flatnonzero(side == i)
-    right = left if i == j else np.flatnonzero(side == j)
+def _alike(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether sketches p and q, rows of registers of sets of n and m shingles, may be of linked sets, how many registers are equal)."""
+    equal = (p == q).sum(axis=1)
+    keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (equal >= M * percent / 100 - 6 * np.sqrt(M * percent / 100 * (1 - percent / 100)))
+    some = np.flatnonzero(keep)
+    if len(some):
+        keep[some] = evidence((p[some] > q[some]).sum(axis=1), (p[some] < q[some]).sum(axis=1), n[some] / (n[some] + m[some]), percent / 100) <= EVIDENCE
+    return keep, equal
+
+
+def _likely(band: int, left: np.ndarray, right: np.ndarray, size: np.ndarray, root: np.ndarray, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, equal registers) of the pairs of rows left and right that may be linked, are of different
+    components and share no earlier band."""
     out = []
     for at in range(0, len(left), 64):
         x = left[at : at + 64]
-        fits = 100 * np.minimum(size[x][:, None], size[right]) >= percent * np.maximum(size[x][:, None], size[right])
-        if i == j:
+        fits = (100 * np.minimum(size[x][:, None], size[right]) >= percent * np.maximum(size[x][:, None], size[right])) & (root[x][:, None] != root[right])
+        if left is right:
             fits &= x[:, None] < right
         a, b = np.nonzero(fits)
         a, b = x[a], right[b]
         for part in range(0, len(a), 16384):
             p, q = a[part : part + 16384], b[part : part + 16384]
-            same = regs[p] == regs[q]
-            equal = same.sum(axis=1)
-            earlier = same[:, : band * ROWS].reshape(len(p), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(p), bool)
-            keep = ~earlier & (equal >= M * percent / 100 - 6 * np.sqrt(M * percent / 100 * (1 - percent / 100)))
-            p, q, equal = p[keep], q[keep], equal[keep]
-            if len(p):
-                keep = evidence((regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1), size[p] / (size[p] + size[q]), percent / 100) <= EVIDENCE
-                out.append((p[keep], q[keep], equal[keep]))
+            earlier = (regs[p, : band * ROWS] == regs[q, : band * ROWS]).reshape(len(p), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(p), bool)
+            p, q = p[~earlier], q[~earlier]
+            keep, equal = _alike(regs[p], regs[q], size[p], size[q], percent)
+            out.append((p[keep], q[keep], equal[keep]))
     return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
 
 
-def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(-1, M)
-    return tuple(np.asarray(rows.column(c)) for c in ("id", "side", "n")) + (regs,)
+def _registers(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, M)
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """band, key, i, j, id, side: the classes of every bucket of two or more, dealt into pairs of blocks."""
+def _buckets(classes: DataFrame) -> DataFrame:
+    """band, key, id of the classes in buckets of two or more."""
     runs = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.expr(f"substring(regs, {k * ROWS + 1}, {ROWS})")).alias("key")) for k in range(BANDS)])
-    bands = classes.select("id", "n", F.explode(runs).alias("r")).select("r.band", "r.key", "id", "n")
-    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("items")).where("count > 1")
-    blocks = F.least("count", F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS))).cast("int")
-    dealt = bands.drop("n").join(full.select("band", "key", blocks.alias("blocks")), ["band", "key"])
-    dealt = dealt.withColumn("side", F.pmod(F.hash("id"), F.col("blocks")))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "side"
-    )
+    bands = classes.select("id", F.explode(runs).alias("r")).select("r.band", "r.key", "id")
+    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("hub")).where("count > 1")
+    return bands.join(full, ["band", "key"])
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """x, y: links between classes, enough to connect all that are linked."""
-    key = ["band", "key", "i", "j"]
+def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, items (the shingles) of classes asked for: a pass over the texts."""
+    wanted = ids.join(classes.select("id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "id")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+
+    def items(batches):
+        for batch in batches:
+            sets = [shingles(word_numbers(folded((t or "").encode()))[0], WORDS).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    return stored(texts.select("id", "text").mapInArrow(items, "id long, items binary").dropDuplicates(["id"]), "near-sets")
+
+
+def _hub_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """x, y: links of classes with the hub of a bucket of theirs."""
+
+    def likely(batches):
+        for batch in batches:
+            n, m = (np.asarray(batch.column(i)) for i in (2, 3))
+            keep, _ = _alike(_registers(batch.column(4)), _registers(batch.column(5)), n, m, percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    def verify(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(s, np.uint64) for s in batch.column(i).to_pylist()] for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([linked(p, q, percent) for p, q in zip(a, b, strict=True)], pa.bool_()))
+
+    light = classes.select("id", "n", "regs")
+    side = lambda d, c, *cols: d.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in cols])
+    pairs = buckets.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
+    pairs = pairs.join(side(light, "x", "n", "regs"), "x").join(side(light, "y", "n", "regs"), "y").select("x", "y", "x_n", "y_n", "x_regs", "y_regs")
+    found = stored(pairs.mapInArrow(likely, "x long, y long"), "hub-candidates")
+    full = _sets(docs, classes, found.select(F.col("x").alias("id")).union(found.select("y")).distinct())
+    both = found.join(side(full, "x", "items"), "x").join(side(full, "y", "items"), "y")
+    return stored(both.select("x", "y", "x_items", "y_items").mapInArrow(verify, "x long, y long"), "hub-links")
+
+
+_PAIR = ["band", "key", "ig", "ik", "jg", "jk"]
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """band, key, a block pair (ig, ik, jg, jk), id, g, k: the classes (band, key, id, n, root) of buckets
+    with several components, dealt into pairs of blocks. A block is (g, k): g a component that has a block's worth of the
+    bucket, or -1, and k a number in it."""
+    bucket = ["band", "key"]
+    groups = named.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items"))
+    worth = F.greatest(F.ceil(F.col("c") / BLOCK), F.least("c", F.ceil(F.col("items") / BLOCK_ITEMS)))
+    groups = groups.withColumn("g", F.when((F.col("c") >= BLOCK) | (worth > 1), F.col("root")).otherwise(F.lit(-1)))
+    several = groups.groupBy(*bucket).agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all")).where("roots > 1 AND all > 2").select(*bucket)
+    own = groups.join(several, bucket)
+    sizes = own.groupBy(*bucket, "g").agg(F.sum("c").alias("c"), F.sum("items").alias("items")).withColumn("blocks", worth.cast("int"))
+    every = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("g").alias("g"), k.alias("k")))))
+    met = sizes.join(sizes.groupBy(*bucket).agg(every.alias("every")), bucket)
+    met = met.select(*bucket, "g", "blocks", F.filter("every", lambda b: (b["g"] != F.col("g")) | (F.col("g") == -1)).alias("others"))
+    placed = named.join(own.select(*bucket, "root", "g"), [*bucket, "root"]).join(met, [*bucket, "g"])
+    d = placed.withColumn("k", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("other", F.explode("others"))
+    mine = F.struct("g", "k")
+    i, j = F.least(mine, "other"), F.greatest(mine, "other")
+    return d.select(*bucket, i["g"].alias("ig"), i["k"].alias("ik"), j["g"].alias("jg"), j["k"].alias("jk"), "id", "g", "k")
+
+
+def _block_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """x, y: links between classes of different components, enough to connect all that are linked."""
+
+    def pairs(key, rows):
+        band, _, ig, ik, jg, jk = key
+        ids, g, k, size, root = (np.asarray(rows.column(c)) for c in ("id", "g", "k", "n", "root"))
+        left = np.flatnonzero((g == ig) & (k == ik))
+        right = left if (ig, ik) == (jg, jk) else np.flatnonzero((g == jg) & (k == jk))
+        return ids, _likely(band, left, right, size, root, _registers(rows.column("regs")), percent)
 
     def candidates(batches):
-        for (band, k, i, j), rows in _groups(batches, 4):
-            ids, side, size, regs = _columns(rows)
-            x, y, _ = _likely(i, j, band, side, size, regs, percent)
+        for key, rows in _groups(batches, len(_PAIR)):
+            _, (x, y, _) = pairs(key, rows)
             at = np.unique(np.concatenate([x, y])).astype(int)
             if len(at):
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([v] * n, t) for v, t in ((band, pa.int32()), (k, pa.int64()), (i, pa.int32()), (j, pa.int32()))] + [pa.array(ids[at], pa.int64()), pa.array(side[at], pa.int32())], names=[*key, "id", "side"])
+                yield from rows.select([*_PAIR, "id", "g", "k"]).take(at).combine_chunks().to_batches()
 
     def verify(batches):
-        for (band, _, i, j), rows in _groups(batches, 4):
-            ids, side, size, regs = _columns(rows)
+        for key, rows in _groups(batches, len(_PAIR)):
+            ids, (x, y, equal) = pairs(key, rows)
             sets = [np.frombuffer(s, np.uint64) for s in rows.column("items").to_pylist()]
-            x, y, equal = _likely(i, j, band, side, size, regs, percent)
             up, out = list(range(len(ids))), []
 
             def root(v):
@@ -221,23 +291,24 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
 
-    light = classes.select("id", "n", "regs")
-    dealt = _blocks(classes).join(light, "id").select(*key, "id", "side", "n", "regs")
-    found = stored(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(candidates, "band int, key long, i int, j int, id long, side int"), "near-candidates")
-    wanted = found.select("id").distinct().join(classes.select("id", F.col("doc_id").alias("__sl_id"), F.col("text_key").alias("__sl_key")), "id")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    facts = classes.select("id", "n", "regs").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = buckets.where("count > 2").select("band", "key", "id").join(facts.select("id", "n", "root"), "id")
+    columns = [*_PAIR, "id", "g", "k", "n", "root", "regs"]
+    dealt = _blocks(named).join(facts, "id").select(*columns)
+    kinds = "band int, key long, ig long, ik int, jg long, jk int, id long, g long, k int"
+    found = stored(dealt.repartition(*_PAIR).sortWithinPartitions(*_PAIR).mapInArrow(candidates, kinds), "near-candidates")
+    full = _sets(docs, classes, found.select("id").distinct())
+    both = found.join(full.join(facts, "id"), "id").select(*columns, "items")
+    return both.repartition(*_PAIR).sortWithinPartitions(*_PAIR).mapInArrow(verify, "x long, y long").distinct()
 
-    def items(batches):
-        for batch in batches:
-            sets = [shingles(word_numbers(folded((t or "").encode()))[0], WORDS).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__sl_id")) & (F.col("text_key") == F.col("__sl_key")))
-    full = stored(texts.select("id", "text").mapInArrow(items, "id long, items binary").dropDuplicates(["id"]), "near-sets")
-    both = found.join(full.join(light, "id"), "id").select(*key, "id", "side", "n", "regs", "items")
-    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "x long, y long").distinct()
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """x, y: links between classes, enough to connect all that are linked."""
+    buckets = stored(_buckets(classes), "buckets")
+    hubs = _hub_links(docs, classes, buckets, percent)
+    roots = stored(components(hubs), "hub-roots")
+    roots = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    return hubs.unionByName(_block_links(docs, classes, buckets, roots, percent))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -391,6 +391,27 @@ def test_links_by_brute_force_with_ids_in_disorder(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(d, percent).collect()} == brute_groups(rows, percent)
 
 
+def test_links_in_small_blocks_and_through_hubs(spark, monkeypatch):
+    """Hot buckets: many classes near each other, some only through others; blocks of a few classes."""
+    rng = random.Random(24)
+    base, rows = some(rng, 300).split(), []
+    for i in range(90):  # most are near the base, some near another one, chains reach out step by step
+        w = list(base) if i < 50 else list(rows[-1][1].split()) if i < 70 else some(rng, 300).split() if i in (70, 80) else list(rows[70 if i < 80 else 80][1].split())
+        for _ in range(rng.randint(1, 7)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(999)}"
+        rows.append((i, " ".join(w), "s"))
+    rng.shuffle(rows)
+    rows = [(1000 - k, t, s) for k, (_, t, s) in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {p: brute_groups(rows, p) for p in (80, 85, 93)}
+    assert len({c for _, c in want[93].values()}) > 5
+    for block, items in ((512, 2_000_000), (4, 2_000_000), (7, 900)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_ITEMS", items)
+        for p in want if block == 4 else (85,):
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(d, p).collect()} == want[p], (block, p)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
