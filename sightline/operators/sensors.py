@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import color as C
-from . import joins as J
 from . import matching as M
 from . import raster as R
 from . import shapes as S
@@ -323,11 +322,6 @@ def shape_histogram(shapes: DataFrame, keys: list[str]) -> DataFrame:
     return shapes.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_in_set(vectors: DataFrame, k: int = 2) -> DataFrame:
-    """vec_id, rank, other, sim: the most similar others of each vector."""
-    return J.nearest(vectors, k)
-
-
 def z_statistics(z: DataFrame, w: int, h: int) -> DataFrame:
     """z (camera_id, x, y, z: depths seen, as `shapes.z_buffer` gives them) -> a row a camera: near, far, median, deviation,
     depth in the middle (the median if nothing is there), share of pixels seen and a histogram of ten bins (6 digits, the share 4)."""

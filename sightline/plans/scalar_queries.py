@@ -126,9 +126,9 @@ def evidence_masses(spark, sf):
 
 
 @query(f"""WITH {P.ELEMENTS_SQL}, r AS (SELECT report_id, ord, conf, count(*) OVER (PARTITION BY report_id) AS n FROM el)
-SELECT report_id, max(n) > 0 AND arg_min(conf, ord) >= 0.9 AS confirmed, arg_min(conf, ord) AS new_conf, max(n) AS local_elements FROM r GROUP BY report_id""")
+SELECT report_id, arg_min(conf - 0.3, ord) >= 0.5 AS confirmed, arg_min(conf - 0.3, ord) AS new_conf, max(n) AS local_elements FROM r GROUP BY report_id""")
 def probe_confirmed(spark, sf):
-    return N.confirmed(P.elements(spark, sf).select("report_id", F.col("ord").alias("id"), F.when(F.col("conf") >= 0.9, F.col("conf")).otherwise(F.col("conf")).alias("conf"))).select("report_id", (F.col("confirmed") & (F.col("new_conf") >= 0.9)).alias("confirmed"), "new_conf", "local_elements")
+    return N.confirmed(P.elements(spark, sf).select("report_id", F.col("ord").alias("id"), (F.col("conf") - 0.3).alias("conf")))
 
 
 @query(f"""WITH {P.ELEMENTS_SQL} SELECT report_id, ord, x1, (x1 + x2) / 2 AS cx, 1.0 AS conf, 'a11y' AS sources FROM el WHERE x2 > x1 + 60 AND (ord % 2 = 0 OR kind = 'dom')""")

@@ -127,6 +127,27 @@ def test_contrast_and_score(spark):
     assert U.design_score(e, f).first()["design_score"] == 50.0
 
 
+def test_thresholds_are_tuned():
+    best, score = U.tune(lambda p: 1 - abs(p["tol"] - 4) / 10 - abs(p["k"] - 1.8), {"tol": [2, 3, 4, 5], "k": [1.5, 1.8, 2.0]})
+    assert best == {"tol": 4, "k": 1.8} and score == 1.0
+
+
+def test_envelopes(spark, tmp_path):
+    e = spark.createDataFrame([("r", 1, "b"), ("r", 0, "a"), ("s", 0, "c")], "report_id string, ord int, text string")
+    f = spark.createDataFrame([("r", "overlap")], "report_id string, rule string")
+    m = spark.createDataFrame([("r", 2), ("t", 0)], "report_id string, n int")
+    d = reports.envelope("rules", e, f, m)
+    reports.write_json(d, str(tmp_path / "out"))
+    got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    one = next(x for x in got if x.get("findings"))
+    assert len(got) == 3 and one["schema"] == "vision-report/v3" and [x["text"] for x in one["elements"]] == ["a", "b"] and one["metrics"] == {"n": 2}
+
+
+def test_boxes_of_arrays(spark):
+    r = one(spark, *B.of_array(F.array(*lits(1, 2, 3, 4))), B.area(B.of_array(F.array(*lits(1, 2, 3, 5)))))
+    assert tuple(r) == (1.0, 2.0, 3.0, 4.0, 6.0)
+
+
 def test_assignment_is_optimal():
     import itertools
 
