@@ -29,8 +29,8 @@ length per byte, null for empty texts.
 Null and empty texts hold the end alone. Null doc_ids are training rows, as their text is
 no number. With no training text every decision has probability 1/2 and the base score is
 even over nothing known. Repeated rows are scored alike, a row each, and so are rows that
-share a doc_id by their own texts. A very long text is read whole by one task (some 60 bytes
-of memory for each of its own). Other columns are ignored.
+share a doc_id by their own texts. A very long text is read in parts of about GULP bytes that end
+with white space, one after the other in one task. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import WS, read, stored
 from .textbits import _FOLD, word_numbers
 
 DEPTH, OFTEN, SHARE = 5, 1 << 19, 1 / 8
@@ -207,9 +207,29 @@ def _gulps(batches: Iterator[pa.RecordBatch], column: int, gulp: int) -> Iterato
         yield held, texts
 
 
-def _runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, starts, folded bytes joined by spaces): the codes of all positions, text by text."""
-    pad = b"\n" * depth
+_SPACES = np.zeros(256, bool)
+_SPACES[list(WS.encode())] = True
+
+
+def _parts(texts: list[bytes], depth: int, size: int) -> Iterator[tuple[list[bytes], bytes, bool]]:
+    """(texts, the bytes before the first, whether they end here): the texts as they are, but a single one longer than
+    size in parts, each of which ends with the last white space before its size is reached, or the next one after."""
+    if len(texts) > 1 or len(texts[0]) <= size:
+        yield texts, b"\n" * depth, True
+        return
+    text, at = texts[0], 0
+    space = np.flatnonzero(_SPACES[np.frombuffer(text, np.uint8)]) + 1
+    while at < len(text):
+        k = int(np.searchsorted(space, at + size, "right"))
+        end = len(text) if at + size >= len(text) else int(space[k - 1]) if k and space[k - 1] > at else int(space[k]) if k < len(space) else len(text)
+        yield [text[at:end]], (b"\n" * depth + text[max(0, at - depth) : at])[-depth:], end == len(text)
+        at = end
+
+
+def _runs(texts: list[bytes], depth: int, before: bytes | None = None, ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, folded bytes joined by spaces): the codes of all positions, text by text. before:
+    the bytes before each, line feeds by default; ends: whether an end follows."""
+    pad = b"\n" * depth if before is None else before
     raw = _FOLD[np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8)]
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + depth + 1)])
@@ -221,8 +241,12 @@ def _runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     real = np.ones(len(raw), bool)
     for k in range(depth):
         real[begin[:-1] + k] = False
+    if not ends:
+        real[begin[1:] - 1] = False
+    for k in range(depth):  # what stands before is no word of the text
+        raw[begin[:-1] + k] = 32
     raw[begin[1:] - 1] = 32  # the ends part the words of neighbours
-    return codes[real], np.concatenate([[0], np.cumsum(sizes + 1)])[:-1], raw
+    return codes[real], np.concatenate([[0], np.cumsum(sizes + ends)])[:-1], raw
 
 
 def held_out() -> Column:
@@ -238,16 +262,17 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
         for _, texts in _gulps(batches, 0, GULP):
-            codes, _, raw = _runs(texts, depth)
-            held[0].append(np.unique(codes, return_counts=True))
-            del codes  # the words need the room
-            keys, n = np.unique(word_numbers(raw)[0], return_counts=True)
-            held[1].append((np.append(keys, np.uint64(0)), np.append(n, len(texts))))
-            for kind, parts in held.items():
-                if sum(len(k) for k, _ in parts) >= HELD:
-                    parts[:] = [_merged(parts)]
-                    if len(parts[0][0]) > HELD // 2:
-                        yield batch(kind, *parts.pop())
+            for some, before, ends in _parts(texts, depth, GULP):
+                codes, _, raw = _runs(some, depth, before, ends)
+                held[0].append(np.unique(codes, return_counts=True))
+                del codes  # the words need the room
+                keys, n = np.unique(word_numbers(raw)[0], return_counts=True)
+                held[1].append((np.append(keys, np.zeros(int(ends), np.uint64)), np.append(n, np.full(int(ends), len(some)))))
+                for kind, parts in held.items():
+                    if sum(len(k) for k, _ in parts) >= HELD:
+                        parts[:] = [_merged(parts)]
+                        if len(parts[0][0]) > HELD // 2:
+                            yield batch(kind, *parts.pop())
         for kind, parts in held.items():
             if parts:
                 yield batch(kind, *_merged(parts))
@@ -483,32 +508,37 @@ def _reader(often, depth: int, tokens: int, distinct: int):
                     lists.append(pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, 2, np.int8)), pa.nulls(n, pa.int64()), *cols, *lists], names=["chunk", "kind", "key", *_TEXT])
 
-        for group, texts in _gulps(batches, 1, GULP):
-            codes, starts, raw = _runs(texts, depth)
+        def measured(texts, before, ends):
+            """Sums of what is common, by text: (score, base, known, tokens), then what is asked for with its texts, runs and words."""
+            codes, starts, raw = _runs(texts, depth, before, ends)
             at = index.find(codes)
             known = at >= 0
-            total = np.add.reduceat(np.where(known, worth[at], 0.0) if len(worth) else np.zeros(len(codes)), starts)
+            value = np.where(known, worth[at], 0.0) if len(worth) else np.zeros(len(codes))
+            total = np.add.reduceat(value, starts) if len(codes) else np.zeros(len(texts))
             lost = np.flatnonzero(~known)
-            of = np.searchsorted(starts, lost, "right") - 1
-            asks = [(codes[lost].view(np.int64), of)]
-            del codes, at, known
+            asks = [(codes[lost].view(np.int64), np.searchsorted(starts, lost, "right") - 1)]
+            del codes, at, known, value
             numbers, places = word_numbers(raw)
             begin = np.concatenate([[0], np.cumsum([len(t) + depth + 1 for t in texts])])
-            doc = np.append(np.searchsorted(begin, places, "right") - 1, np.arange(len(texts)))
-            numbers = np.append(numbers, np.zeros(len(texts), np.uint64))
+            doc = np.append(np.searchsorted(begin, places, "right") - 1, np.arange(len(texts) * ends))
+            numbers = np.append(numbers, np.zeros(len(texts) * ends, np.uint64))
             order = np.argsort(doc, kind="stable")
-            numbers, doc = numbers[order], doc[order]
+            numbers, doc = numbers[order], doc[order].astype(np.int64)
             at = named.find(numbers)
             known = at >= 0
             c = counts[at[known]] if len(counts) else np.zeros(0)
             base = np.bincount(doc[known], np.log10(c + 0.1) - even, len(texts)).astype(float)
-            found = np.bincount(doc[known], minlength=len(texts))
             asks.append((numbers[~known].view(np.int64), doc[~known]))
-            count = np.bincount(doc, minlength=len(texts))
+            return [total, base, np.bincount(doc[known], minlength=len(texts)), np.bincount(doc, minlength=len(texts))], asks
+
+        for group, texts in _gulps(batches, 1, GULP):
+            done = [measured(*part) for part in _parts(texts, depth, GULP)]
+            total, base, found, count = (sum(sums[i] for sums, _ in done) for i in range(4))
+            asks = [tuple(np.concatenate([asked[kind][i] for _, asked in done]) for i in (0, 1)) for kind in (0, 1)]
             ids = pa.concat_arrays([b.column(0) for b in group])
             cols = [ids, pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(count.astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(base), pa.array(total)]
             held.append((cols, asks))
-            size, bytes_ = size + sum(len(a) for a, _ in asks), bytes_ + len(raw)
+            size, bytes_ = size + sum(len(a) for a, _ in asks), bytes_ + sum(map(len, texts))
             if size >= HELD or bytes_ >= CHUNK:
                 yield from close()
                 held.clear()

@@ -560,6 +560,21 @@ def test_ctw_scores_by_definition_however_the_model_is_dealt(spark, monkeypatch)
         assert got.keys() == want[depth].keys() and all(math.isclose(got[i], want[depth][i], rel_tol=1e-5, abs_tol=1e-6) for i in got), (depth, often, split)
 
 
+def test_long_texts_are_read_in_parts():
+    rng = random.Random(6)
+    for text in (some(rng, 400).encode(), b"x" * 500 + b" y " + b"z" * 700, b"a b " * 60, b"word" * 50, b" " * 300):
+        for depth, size in ((5, 64), (3, 7), (2, 10**6)):
+            whole, _, raw = ctw._runs([text], depth)
+            got, words_, n = [], [], 0
+            for texts, before, ends in ctw._parts([text], depth, size):
+                codes, starts, part = ctw._runs(texts, depth, before, ends)
+                got.append(codes)
+                words_.append(ctw.word_numbers(part)[0])
+                n += len(texts[0])
+                assert starts.tolist() == [0] and (len(texts[0]) <= size or b" " not in texts[0][:-1])
+            assert n == len(text) and (np.concatenate(got) == whole).all() and (np.concatenate(words_) == ctw.word_numbers(raw)[0]).all()
+
+
 def test_parts_are_gathered_whole(monkeypatch):
     import pyarrow as pa
 
