@@ -14,12 +14,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report an order, an element a line. The order of lines is fixed by number, part and supplier."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    # named before they are dealt by it, so that later steps by report find them dealt
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
+    w = W.partitionBy("report_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     x1, y1 = (F.col("l_partkey") * 37) % 800, (F.col("l_suppkey") * 53) % 600
     kind = F.when(F.col("l_returnflag") == "A", "ocr").when(F.col("l_returnflag") == "N", "dom").otherwise("detect")
     return li.select(
-        F.col("l_orderkey").alias("report_id"),
+        "report_id",
         (F.row_number().over(w) - 1).alias("ord"),
         x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
         (x1 + 20 + 4 * F.col("l_quantity")).cast("double").alias("x2"), (y1 + 10 + 12 * F.col("l_linenumber")).cast("double").alias("y2"),
@@ -93,10 +94,10 @@ gr AS (SELECT *, (19595 * r + 38470 * g + 7471 * b + 32768) // 65536 AS gray FRO
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report a supplier: some 600 boxes in seven rows, a row a line number."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("report_id"), "l_quantity")
     x1, y1 = (F.col("l_orderkey") * 37) % 8000, 90 * F.col("l_linenumber") + F.col("l_partkey") % 3
-    w = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    return li.select(F.col("l_suppkey").alias("report_id"), (F.row_number().over(w) - 1).alias("ord"), *[c.cast("double").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x1 + 1 + F.col("l_quantity") % 9, "x2"), (y1 + 30, "y2"))])
+    w = W.partitionBy("report_id").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    return li.select("report_id", (F.row_number().over(w) - 1).alias("ord"), *[c.cast("double").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x1 + 1 + F.col("l_quantity") % 9, "x2"), (y1 + 30, "y2"))])
 
 
 DENSE_SQL = """de AS (SELECT l_suppkey AS report_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS ord, l_linenumber AS line,
