@@ -292,7 +292,7 @@ def _block_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, roots:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
 
     facts = classes.select("id", "n", "regs").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = buckets.where("count > 2").select("band", "key", "id").join(facts.select("id", "n", "root"), "id")
+    named = stored(buckets.where("count > 2").select("band", "key", "id").join(facts.select("id", "n", "root"), "id"), "members")  # read several times below
     columns = [*_PAIR, "id", "g", "k", "n", "root", "regs"]
     dealt = _blocks(named).join(facts, "id").select(*columns)
     kinds = "band int, key long, ig long, ik int, jg long, jk int, id long, g long, k int"
