@@ -30,8 +30,8 @@ from .common import range_blocks, stored
 MAX_LEN, END_ID = 2048, 1
 #: Pieces of a range block, about; blocks and lengths up to which their numbers are sent to every executor.
 BLOCK_PIECES, BROADCAST_BLOCKS = 250_000, 100_000
-#: Words kept with their ids in each Python worker, about 120 MB.
-CACHE = 600_000
+#: Words kept with their ids in each Python worker, about 60 MB.
+CACHE = 300_000
 #: The vocabulary's own word rule, written out for ASCII and Latin-1 letters; a text with other characters goes to the library whole.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\rA-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
 _OTHER = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
