@@ -371,7 +371,7 @@ def test_audit3d_of_all_sizes_split_cells_and_points_left_behind(spark, few, mos
     assert {r[3] for r in got} == {"obb-sat", "mesh-kdtree", "aabb-fallback"} and all(math.isclose(r[4], want[r[:2]][2], abs_tol=2e-3) for r in got)
 
 
-@pytest.mark.parametrize("name", ["audit_3d"])
+@pytest.mark.parametrize("name", ["audit_3d_boxes", "audit_3d"])
 def test_3d_audits_send_no_cells_or_points_to_every_task(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
     below = [next(x for x in plan[i + 1 :] if not re.search(r"(Project|Filter) ", x)) for i, x in enumerate(plan) if "BroadcastExchange" in x]
