@@ -369,9 +369,11 @@ def test_audit3d_of_all_sizes_split_cells_and_points_left_behind(spark, few, mos
     got = [(r["a_ord"], r["b_ord"], r["rule"], r["method"], r["distance_mm"]) for r in found.collect()]
     assert sorted(r[:4] for r in got) == sorted((*k, *v[:2]) for k, v in want.items()) and len(want) > 100
     assert {r[3] for r in got} == {"obb-sat", "mesh-kdtree", "aabb-fallback"} and all(math.isclose(r[4], want[r[:2]][2], abs_tol=2e-3) for r in got)
+    r = S.audit3d_metrics(found).first()
+    assert [r["interference"], r["tight_gap"], r["clearance"]] == [sum(v[0] == k for v in want.values()) for k in ("interference", "tight_gap", "clearance")]
 
 
-@pytest.mark.parametrize("name", ["audit_3d_boxes", "audit_3d"])
+@pytest.mark.parametrize("name", ["audit_3d_boxes", "audit_3d", "audit_3d_metrics"])
 def test_3d_audits_send_no_cells_or_points_to_every_task(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
     below = [next(x for x in plan[i + 1 :] if not re.search(r"(Project|Filter) ", x)) for i, x in enumerate(plan) if "BroadcastExchange" in x]
